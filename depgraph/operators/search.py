@@ -44,6 +44,10 @@ def module_search(modules: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return hits.limit(limit).select("name", "lastSegment", "score")
 
 
+def _has_prefix(tokens: str, term: str) -> Column:
+    return F.exists(tokens, lambda token: token.startswith(term))
+
+
 def decl_search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Attributed declarations with a name token starting with any query token.
 
@@ -54,7 +58,7 @@ def decl_search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     tokens = C.words(F.lower(F.concat_ws(" ", "name", "shortName")))
     score = F.lit(0)
     for term in terms:
-        score = score + F.exists("tokens", lambda t, term=term: t.startswith(term)).cast("int")
+        score = score + _has_prefix("tokens", term).cast("int")
     scored = attributed(nodes).select("name", "kind", "module", tokens.alias("tokens")).withColumn(
         "score", score.cast("bigint")
     )

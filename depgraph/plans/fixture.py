@@ -99,7 +99,8 @@ SELECT 4 * pk AS seq, name, p_brand || ' -> ' || p_type || ' ' || CAST(p_size AS
        CASE WHEN pk % 46 = 0 THEN 'use d' || CAST(pk + 1 AS STRING) END AS message,
        CASE WHEN pk % 46 = 0 THEN '2024-0' || CAST(1 + pk % 9 AS STRING) || '-01' END AS since,
        CASE WHEN pk % 37 = 0 THEN {declaration_name('pk {div} 2')} END AS additiveVersion,
-       CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS nExtends,
+       CASE WHEN p_size % 5 = 0 AND pk >= p_size THEN 1 ELSE 0 END
+         + CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END AS nExtends,
        CASE WHEN {HAS_MEMBERS} THEN 1 ELSE 0 END AS nConstructors
 FROM {{base}}
 UNION ALL
@@ -195,18 +196,6 @@ TABLES = {
 }
 
 
-def duckdb_ctes() -> str:
-    """The derived tables as CTE definitions for DuckDB (no leading WITH)."""
-    names = ["part", "lineitem", *TABLES]
-    parts = []
-    for name, text in TABLES.items():
-        sql = text.replace("{div}", "//")
-        for source in names:
-            sql = sql.replace(f"{{{source}}}", source)
-        parts.append(f"{name} AS ({sql})")
-    return ",\n".join(parts)
-
-
 def spark_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The derived tables as DataFrames over the Parquet files in ``sf_dir``."""
     known = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("part", "lineitem")}

@@ -11,7 +11,6 @@ import time
 import uuid
 from dataclasses import fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,21 +50,30 @@ def read_graph(spark: SparkSession, base: str) -> Graph:
     return Graph(**{f.name: spark.read.parquet(f"{base}/{f.name}") for f in fields(Graph)})
 
 
+def _file_system(spark: SparkSession, location: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, location: str) -> bool:
+    path, files = _file_system(spark, location)
+    return files.exists(path)
+
+
 def drop_graph(spark: SparkSession, base: str) -> None:
     """Remove all graph tables, derived edges and pointers below ``base``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _file_system(spark, base)
+    files.delete(path, True)
 
 
 # ---- pointers ----------------------------------------------------------------------------------
 
 def current_pointer(spark: SparkSession, base: str):
     """The newest pointer row, or None where nothing is stored."""
-    try:
-        pointers = spark.read.schema(_POINTER).parquet(f"{base}/pointer")
-        return pointers.orderBy(F.desc("version")).first()
-    except AnalysisException:
+    if not _exists(spark, f"{base}/pointer"):
         return None
+    pointers = spark.read.schema(_POINTER).parquet(f"{base}/pointer")
+    return pointers.orderBy(F.desc("version")).first()
 
 
 def kg_version(spark: SparkSession, base: str) -> int | None:
