@@ -18,6 +18,10 @@ from depgraph.session import Rounds, materialize, materialize_with
 
 # A node's order key grows by one id per level; it is replaced by a rank this often.
 _KEY_LEVELS = 16
+# Rounds expressed in one job before its rows are written.  Inside a job a round's
+# shuffle is read by the later rounds, so a round is still computed once.
+_ROUNDS_PER_WRITE = 4
+_ROUNDS_PER_CHECK = 10
 
 
 class EmptyGraph(RuntimeError):
@@ -79,11 +83,12 @@ def peel(
     """Place nodes level by level, dependencies first.
 
     Returns (id, level[, key]) of the placed nodes and (id) of the nodes that lie on
-    or behind a cycle.  A round matches the newly placed nodes with the edges and
-    updates the count of missing dependencies of the nodes still pending; placed
-    nodes are never touched again.  ``key`` orders the nodes of one level as a
-    first-in-first-out peel in id order would pop them: by the last-popped
-    dependency, which always lies on the level before, then by id.
+    or behind a cycle.  A round turns the edges of the newly placed nodes into one
+    message per importer and adds them to the counts of missing dependencies of the
+    nodes still pending, in one grouped pass; placed nodes are never touched again.
+    ``key`` orders the nodes of one level as a first-in-first-out peel in id order
+    would pop them: by the last-popped dependency, which always lies on the level
+    before, then by id.
     """
     needed = edges.groupBy(F.col("importer").alias("id")).agg(F.count(F.lit(1)).alias("needed"))
     key = F.array("id") if keep_order else F.lit(None).cast("array<bigint>")
@@ -102,14 +107,18 @@ def peel(
             break
         if keep_order and level % _KEY_LEVELS == _KEY_LEVELS - 1:
             placed = _short_keys(placed)
-        news = placed.join(edges, placed["id"] == edges["dep"]).groupBy("importer").agg(
-            F.count(F.lit(1)).alias("met"), F.max("key").alias("best")
+        met = placed.select(F.col("id").alias("dep"), "key").join(edges, "dep").select(
+            F.col("importer").alias("id"), F.lit(-1).cast("bigint").alias("missing"), "key"
         )
-        left = F.col("missing") - F.coalesce("met", F.lit(0))
-        grown = F.when(left == 0, F.array_append("best", F.col("id"))) if keep_order else F.col("key")
-        state = pending.join(news, pending["id"] == news["importer"], "left").select(
-            "id", left.alias("missing"), grown.alias("key")
+        waiting = pending.select("id", "missing", F.lit(None).cast("array<bigint>").alias("key"))
+        counted = waiting.unionByName(met).groupBy("id").agg(
+            F.sum("missing").alias("missing"), *([F.max("key").alias("best")] if keep_order else [])
         )
+        key = (
+            F.when(F.col("missing") == 0, F.array_append("best", F.col("id"))) if keep_order
+            else F.lit(None).cast("array<bigint>")
+        )
+        state = counted.select("id", "missing", key.alias("key"))
         level += 1
     columns = ["id", "level", "key"] if keep_order else ["id", "level"]
     return rounds.all().filter("missing = 0").select(*columns), pending.select("id")
@@ -173,7 +182,8 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
         up = leveled.filter(F.col("dlevel") == level).select(
             "importer", F.col("dep").alias("mid"), F.col("ilevel").alias("at")
         )
-        step = own.join(up, "mid").select("importer", "dep", "at").distinct()
+        # repeats are left to the distinct of the reading level: one shuffle per round
+        step = own.join(up, "mid").select("importer", "dep", "at")
         handed.add(step.sortWithinPartitions("at"))
     pairs = leveled.select("importer", "dep", F.lit(True).alias("direct"), F.lit(False).alias("via"))
     if len(handed):
@@ -219,15 +229,24 @@ def pagerank(
     )
     current = nodes.select("id", F.lit(1.0 / n).alias("v"))
     rounds = Rounds(nodes.sparkSession, "rank")
-    for step in range(1, max_iter + 1):
-        moved = current.join(weighted, current["id"] == weighted["importer"]).groupBy(
-            F.col("dep").alias("id")
-        ).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        current, counts = rounds.add(moved.withColumn("step", F.lit(step)), rows=F.count(F.lit(1)))
-        if not counts["rows"]:
+    done = 0
+    while done < max_iter:
+        steps: list[DataFrame] = []
+        for step in range(done + 1, min(done + _ROUNDS_PER_WRITE, max_iter) + 1):
+            current = current.select(F.col("id").alias("importer"), "v").join(weighted, "importer").groupBy(
+                F.col("dep").alias("id")
+            ).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+            steps.append(current.withColumn("step", F.lit(step)))
+        done += len(steps)
+        rows = steps[0]
+        for part in steps[1:]:
+            rows = rows.unionByName(part)
+        table, counts = rounds.add(rows, last=F.count_if(F.col("step") == done))
+        if not counts["last"]:
             break
+        current = table.filter(F.col("step") == done).select("id", "v")
 
-    vector = [f"v{step}" for step in range(len(rounds) + 1)]
+    vector = [f"v{step}" for step in range(done + 1)]
     start = nodes.select("id", F.lit(1.0 / n).alias("v"), F.lit(0).alias("step"))
     long = start.unionByName(rounds.all())
     wide = long.groupBy("id").agg(*[
@@ -242,13 +261,26 @@ def pagerank(
     sums = wide.filter("dangling").agg(*[F.sum(name).alias(name) for name in vector]).first()
     loose = [sums[name] or 0.0 for name in vector]
     weights = _round_weights(loose, n, alpha, max_iter)
-    scores = [_weighted(vector, row) for row in weights]
-    changes = wide.agg(*[
-        F.sum(F.abs(after - before)).alias(f"d{i}")
-        for i, (before, after) in enumerate(zip(scores, scores[1:]))
-    ]).first()
-    last = next((i for i, change in enumerate(changes) if change < tol), max_iter - 1) + 1
-    return wide.select("id", scores[last].alias("score"))
+    last = _first_settled(wide, vector, weights, tol)
+    return wide.select("id", F.expr(_weighted(vector, weights[last])).alias("score"))
+
+
+def _first_settled(
+    wide: DataFrame, vector: Sequence[str], weights: Sequence[Sequence[float]], tol: float
+) -> int:
+    """The first round whose total change is below ``tol``, else the last round."""
+    rounds = len(weights) - 1
+    for first in range(1, rounds + 1, _ROUNDS_PER_CHECK):
+        block = range(first, min(first + _ROUNDS_PER_CHECK, rounds + 1))
+        moves = [[b - a for a, b in zip(weights[step - 1], weights[step])] for step in block]
+        row = wide.agg(*[
+            F.expr(f"sum(abs({_weighted(vector, move)}))").alias(f"d{step}")
+            for step, move in zip(block, moves)
+        ]).first()
+        for step, change in zip(block, row):
+            if change < tol:
+                return step
+    return rounds
 
 
 def _round_weights(loose: Sequence[float], n: int, alpha: float, rounds: int) -> list[list[float]]:
@@ -268,9 +300,7 @@ def _round_weights(loose: Sequence[float], n: int, alpha: float, rounds: int) ->
     return weights
 
 
-def _weighted(vector: Sequence[str], row: Sequence[float]):
-    total = F.lit(0.0)
-    for name, weight in zip(vector, row):
-        if weight:
-            total = total + F.col(name) * F.lit(weight)
-    return total
+def _weighted(vector: Sequence[str], weights: Sequence[float]) -> str:
+    """SQL text of the weighted sum of the vector columns."""
+    terms = [f"{name} * {weight!r}D" for name, weight in zip(vector, weights) if weight]
+    return " + ".join(terms) or "0D"
