@@ -306,32 +306,25 @@ def depends_on(feeds: Feeds, nodes: DataFrame) -> DataFrame:
     return dependency_rows(attributed.unionByName(legacy.select(*attributed.columns)))
 
 
-def build_graph(feeds: Feeds, keep=lambda name, table: table) -> Graph:
-    """All node and edge tables; ``keep(name, table)`` may store a table on the way."""
-    declarations = keep("declarations", declaration_nodes(feeds))
-    modules = keep("modules", module_nodes(feeds))
+def build_graph(feeds: Feeds, keep=lambda tables: tables) -> Graph:
+    """All node and edge tables; ``keep`` may store a dict of tables and return the stored ones."""
     namespaces, tree = namespace_tree(feeds.namespaces)
-    namespaces = keep("namespaces", namespaces)
+    nodes = keep({
+        "declarations": declaration_nodes(feeds), "modules": module_nodes(feeds), "namespaces": namespaces,
+    })
+    declarations = nodes["declarations"]
     types = type_names(feeds.declarations)
-    return Graph(
-        modules=modules,
-        namespaces=namespaces,
-        declarations=declarations,
-        depends_on=keep("depends_on", depends_on(feeds, declarations)),
-        imports=keep("imports", import_edges(feeds.imports)),
-        in_namespace=keep("in_namespace", in_namespace(feeds.declarations, namespaces)),
-        subnamespace_of=keep("subnamespace_of", tree),
-        defined_in=keep("defined_in", defined_in(feeds.declarations, modules)),
-        extends=keep("extends", edge_endpoints(extends_rows(feeds.extends), declarations)),
-        instantiates=keep(
-            "instantiates", edge_endpoints(instantiates_rows(feeds.extract), declarations)
-        ),
-        deprecated_by=keep(
-            "deprecated_by", edge_endpoints(deprecated_by_rows(feeds.extract), declarations)
-        ),
-        has_additive_version=keep(
-            "has_additive_version", edge_endpoints(additive_rows(feeds.extract), declarations)
-        ),
-        has_field=keep("has_field", member_rows(feeds.fields, types)),
-        has_constructor=keep("has_constructor", member_rows(feeds.constructors, types)),
-    )
+    edges = keep({
+        "depends_on": depends_on(feeds, declarations),
+        "imports": import_edges(feeds.imports),
+        "in_namespace": in_namespace(feeds.declarations, nodes["namespaces"]),
+        "subnamespace_of": tree,
+        "defined_in": defined_in(feeds.declarations, nodes["modules"]),
+        "extends": edge_endpoints(extends_rows(feeds.extends), declarations),
+        "instantiates": edge_endpoints(instantiates_rows(feeds.extract), declarations),
+        "deprecated_by": edge_endpoints(deprecated_by_rows(feeds.extract), declarations),
+        "has_additive_version": edge_endpoints(additive_rows(feeds.extract), declarations),
+        "has_field": member_rows(feeds.fields, types),
+        "has_constructor": member_rows(feeds.constructors, types),
+    })
+    return Graph(**nodes, **edges)

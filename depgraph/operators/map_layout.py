@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -151,11 +152,25 @@ def module_map(
     graph: G.ModuleGraph | None = None, levels: DataFrame | None = None,
     pairs: DataFrame | None = None, scores: DataFrame | None = None,
 ) -> ModuleMap:
-    """The whole map; stages computed earlier may be passed in."""
+    """The whole map; stages computed earlier may be passed in.
+
+    Rank and structure edges do not depend on the levels, so their jobs are submitted
+    next to the level and closure jobs and share the cluster with them.
+    """
     graph = graph or G.module_graph(feeds.modules, feeds.imports, root)
-    levels = levels if levels is not None else G.topological_levels(graph)
-    pairs = pairs if pairs is not None else G.closure(graph.edges, levels)
-    scores = scores if scores is not None else G.pagerank(graph.nodes, graph.edges, graph.modules)
+
+    def ranked() -> DataFrame:
+        return materialize(G.pagerank(graph.nodes, graph.edges, graph.modules), "scores")
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        structure_job = pool.submit(
+            lambda: materialize(structure_edges(feeds, graph.nodes), "map_structure")
+        )
+        scores_job = pool.submit(ranked) if scores is None else None
+        levels = levels if levels is not None else G.topological_levels(graph)
+        pairs = pairs if pairs is not None else G.closure(graph.edges, levels)
+        structure = structure_job.result()
+        scores = scores if scores_job is None else scores_job.result()
 
     order = G.topological_order(levels)
     xs = node_x(G.closure_sizes(graph.nodes, pairs), levels)
@@ -173,7 +188,6 @@ def module_map(
     )
     nodes = materialize(nodes, "map_nodes")
     reduced = materialize(named_edges(G.transitive_reduction(pairs), graph.nodes), "map_edges")
-    structure = materialize(structure_edges(feeds, graph.nodes), "map_structure")
     stats = map_stats(nodes, graph.edges, reduced, structure, graph.external_imports, bad_lines)
     return ModuleMap(nodes, reduced, structure, topics, stats)
 

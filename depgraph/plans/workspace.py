@@ -12,7 +12,7 @@ from depgraph.operators import build
 from depgraph.operators import map_layout as M
 from depgraph.operators import module_graph as G
 from depgraph.plans import fixture
-from depgraph.session import materialize, new_path, tune
+from depgraph.session import materialize, materialize_all, new_path, tune
 from depgraph.sources import files, store
 from depgraph.sources.feeds import Feeds
 
@@ -27,7 +27,8 @@ class Workspace:
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
         derived = fixture.spark_tables(self.spark, self.sf_dir)
-        return {name: materialize(table, name) for name, table in derived.items() if name != "base"}
+        del derived["base"]
+        return materialize_all(derived)
 
     @cached_property
     def feeds(self) -> Feeds:
@@ -42,7 +43,7 @@ class Workspace:
 
     @cached_property
     def graph(self) -> build.Graph:
-        return build.build_graph(self.feeds, lambda name, table: materialize(table, name))
+        return build.build_graph(self.feeds, materialize_all)
 
     @cached_property
     def topics(self) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -68,6 +69,13 @@ def materialize_with(
     return table, observed.get
 
 
+def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write independent tables side by side; their jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        written = pool.map(lambda item: materialize(item[1], item[0]), tables.items())
+        return dict(zip(tables, written))
+
+
 class Rounds:
     """The tables written by the rounds of one loop, readable as a single scan."""
 
