@@ -59,12 +59,7 @@ def scan_sources(
 
     Files below a directory called ``skip_part`` are left out.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(root)
-    )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
     return files.select(path.alias("path"), F.col("value").alias("text")).filter(
         ~F.array_contains(F.split("path", "/"), skip_part)
