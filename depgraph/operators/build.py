@@ -220,7 +220,9 @@ def declaration_nodes(feeds: Feeds) -> DataFrame:
     distinct first, so a hub that a third of all edges point at is one row here.
     """
     types = type_names(feeds.declarations)
-    parsed = parsed_nodes(feeds.declarations).select("name", F.struct(*_PROPS).alias("parsed"))
+    parsed = decl_props(feeds.declarations).select(
+        "name", F.struct(*_PROPS).alias("parsed"), F.struct("seq", "module", "startLine").alias("place")
+    )
     members = member_rows(feeds.fields, types).select(F.col("dst").alias("name"), F.lit(0).alias("member"))
     makers = member_rows(feeds.constructors, types).select(
         F.col("dst").alias("name"), F.lit(1).alias("member")
@@ -238,7 +240,7 @@ def declaration_nodes(feeds: Feeds) -> DataFrame:
 
     attributed = F.col("attributed")
     per_name = mentions.groupBy("name").agg(
-        F.max("parsed").alias("parsed"),
+        F.max_by("parsed", "place").alias("parsed"),
         F.max("member").alias("member"),
         F.bool_or(F.coalesce("depended", F.lit(False))).alias("depended"),
         F.bool_or(F.coalesce("related", F.lit(False))).alias("related"),

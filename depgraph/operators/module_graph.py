@@ -193,7 +193,9 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
     merged = pairs.groupBy(F.col("importer").alias("node"), "dep").agg(
         F.max("direct").alias("direct"), F.max("via").alias("via")
     )
-    return materialize(merged, "closure")
+    finished = materialize(merged, "closure")
+    handed.drop()
+    return finished
 
 
 def closure_sizes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -258,6 +260,7 @@ def pagerank(
         wide.join(importing, "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))),
         "vectors",
     )
+    rounds.drop()
     sums = wide.filter("dangling").agg(*[F.sum(name).alias(name) for name in vector]).first()
     loose = [sums[name] or 0.0 for name in vector]
     weights = _round_weights(loose, n, alpha, max_iter)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from depgraph.functions import checks
 from depgraph.functions import columns as C
 from depgraph.operators.build import Graph
+from depgraph.session import materialize
 
 EXTERNAL = "(external)"
 
@@ -47,10 +49,11 @@ def deps_cross(graph: Graph, names: DataFrame, direction: str = "in", limit: int
     limit = checks.clamp(limit, checks.DEPS_LIMIT)
     near, far = ("dst", "src") if direction == "in" else ("src", "dst")
     nodes = graph.declarations.select("name", "kind", "module")
-    own = nodes.join(names.select("name").distinct(), "name", "leftsemi").select(
+    # written first, so its real size decides whether the edges have to move at all
+    own = materialize(nodes.join(names.select("name").distinct(), "name", "leftsemi").select(
         F.col("name").alias("self"), F.col("kind").alias("selfKind"), F.col("module").alias("selfModule")
-    )
-    pairs = graph.depends_on.select(F.col(near).alias("self"), F.col(far).alias("other")).distinct()
+    ), "asked")
+    pairs = graph.depends_on.select(F.col(near).alias("self"), F.col(far).alias("other"))
     other = nodes.select(
         F.col("name").alias("other"), F.col("kind").alias("otherKind"), F.col("module").alias("otherModule")
     )
@@ -58,7 +61,8 @@ def deps_cross(graph: Graph, names: DataFrame, direction: str = "in", limit: int
         F.col("otherModule").isNull() | F.col("selfModule").isNull()
         | (F.col("otherModule") != F.col("selfModule"))
     )
-    rows = pairs.join(own, "self").join(other, "other").filter(crossing).select(
+    # the few asked names cut the edges down before repeated pairs are removed
+    rows = pairs.join(own, "self").distinct().join(other, "other").filter(crossing).select(
         "self", "selfKind", "other", "otherKind",
         F.coalesce("otherModule", F.lit(EXTERNAL)).alias("otherModule"),
     )
@@ -75,16 +79,18 @@ def decl_deps(graph: Graph, name: str, direction: str = "in", limit: int = 200)
     """The dependency rows of one declaration; an unknown name is an error."""
     if graph.declarations.filter(F.col("name") == name).isEmpty():
         raise checks.UnknownName(f"unknown declaration: {name}")
-    return deps_cross(graph, names_frame(graph, [name]), direction, limit)
+    near = "dst" if checks.direction(direction) == "in" else "src"
+    touching = replace(graph, depends_on=graph.depends_on.filter(F.col(near) == name))
+    return deps_cross(touching, names_frame(graph, [name]), direction, limit)
 
 
 def dep_strip(graph: Graph, a: str, b: str, limit: int = 500) -> DataFrame:
     """Declaration edges from module a to module b, distinct, ordered and limited."""
     checks.distinct_pair(a, b)
     nodes = graph.declarations.select("name", "kind", "module")
-    src = nodes.filter(F.col("module") == a).select(
+    src = materialize(nodes.filter(F.col("module") == a).select(
         F.col("name").alias("src"), F.col("kind").alias("srcKind")
-    )
+    ), "strip")
     dst = nodes.filter(F.col("module") == b).select(
         F.col("name").alias("dst"), F.col("kind").alias("dstKind")
     )

@@ -47,8 +47,28 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
+def _scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/depgraph-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, location: str):
+    """(path, file system) of a location, through the session's Hadoop settings."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, location: str) -> None:
+    path, files = file_system(spark, location)
+    files.delete(path, True)
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results must be stored before."""
+    discard(spark, _scratch_dir(spark))
 
 
 def materialize(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFrame:
@@ -100,3 +120,7 @@ class Rounds:
 
     def all(self) -> DataFrame:
         return self._spark.read.schema(self._schema).parquet(*self._paths)
+
+    def drop(self) -> None:
+        """Delete the tables, once everything read from them has been written elsewhere."""
+        discard(self._spark, self._base)

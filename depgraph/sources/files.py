@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,5 +160,7 @@ def topic_dim(spark: SparkSession, rows=None) -> DataFrame:
 
 def write_modules_jsonl(modules: DataFrame, path: str) -> int:
     """Write one JSON object per module; returns the number written."""
-    modules.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return modules.sparkSession.read.text(path).count()
+    written = Observation()
+    counted = modules.observe(written, F.count(F.lit(1)).alias("modules"))
+    counted.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return written.get["modules"]

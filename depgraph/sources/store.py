@@ -23,10 +23,11 @@ from depgraph.operators.map_layout import (
     ordered_structure,
     structure_by_index,
 )
+from depgraph.session import discard, file_system
 
 _POINTER = "version bigint, folder string, generatedAt string, label string, modules bigint"
 _MAP_TABLES = ("nodes", "edges", "structure", "topics", "stats")
-_SORT_KEYS = {"declarations": "name", "modules": "name", "namespaces": "name", "defined_in": "name"}
+_NODE_TABLES = ("declarations", "modules", "namespaces")
 
 
 def write_graph(graph: Graph, base: str) -> None:
@@ -35,35 +36,28 @@ def write_graph(graph: Graph, base: str) -> None:
     ``depends_on`` is written a second time ordered by target, for lookups of dependents.
     """
     for name, table in graph.tables().items():
-        key = _SORT_KEYS.get(name) or table.columns[0]
-        _ordered(table, key).write.mode("overwrite").parquet(f"{base}/{name}")
-    _ordered(graph.depends_on, "dst").write.mode("overwrite").parquet(f"{base}/depended_on_by")
+        # both ends of an edge take part in the range bounds, so a hub is split over files
+        keys = ["name"] if name in _NODE_TABLES else table.columns[:2]
+        _ordered(table, *keys).write.mode("overwrite").parquet(f"{base}/{name}")
+    _ordered(graph.depends_on, "dst", "src").write.mode("overwrite").parquet(f"{base}/depended_on_by")
 
 
 def _ordered(table: DataFrame, *keys: str) -> DataFrame:
-    # all columns take part in the range bounds, so one hot key is split over many files
-    rest = [c for c in table.columns if c not in keys]
-    return table.repartitionByRange(*keys, *rest).sortWithinPartitions(*keys, *rest)
+    return table.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def read_graph(spark: SparkSession, base: str) -> Graph:
     return Graph(**{f.name: spark.read.parquet(f"{base}/{f.name}") for f in fields(Graph)})
 
 
-def _file_system(spark: SparkSession, location: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _exists(spark: SparkSession, location: str) -> bool:
-    path, files = _file_system(spark, location)
+    path, files = file_system(spark, location)
     return files.exists(path)
 
 
 def drop_graph(spark: SparkSession, base: str) -> None:
     """Remove all graph tables, derived edges and pointers below ``base``."""
-    path, files = _file_system(spark, base)
-    files.delete(path, True)
+    discard(spark, base)
 
 
 # ---- pointers ----------------------------------------------------------------------------------
