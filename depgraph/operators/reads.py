@@ -30,9 +30,10 @@ def names_frame(graph: Graph, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(name,) for name in names], "name string")
 
 
-def busiest(graph: Graph, k: int) -> DataFrame:
-    """The k declarations with the most incoming dependency edges."""
-    counted = graph.depends_on.groupBy(F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+def busiest(graph: Graph, k: int, direction: str = "in") -> DataFrame:
+    """The k attributed declarations with the most incoming or outgoing dependency edges."""
+    near = "dst" if checks.direction(direction) == "in" else "src"
+    counted = graph.depends_on.groupBy(F.col(near).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(attributed(graph.declarations).select("name"), "name", "leftsemi").orderBy(
         F.desc("n"), "name"
     ).limit(k).select("name")
@@ -71,8 +72,10 @@ def deps_cross(graph: Graph, names: DataFrame, direction: str = "in", limit: int
 
 
 def deps_grouped(rows: DataFrame) -> DataFrame:
-    """Groups of limited dependency rows by the other side's module, with their size."""
-    return rows.groupBy("self", "otherModule").agg(F.count(F.lit(1)).alias("edges"))
+    """Limited dependency rows grouped by the other side's module; ``total`` is taken after the limit."""
+    groups = rows.groupBy("self", "otherModule").agg(F.count(F.lit(1)).alias("edges"))
+    # at most DEPS_LIMIT groups per name are left here
+    return groups.withColumn("total", F.sum("edges").over(Window.partitionBy("self")))
 
 
 def decl_deps(graph: Graph, name: str, direction: str = "in", limit: int = 200) -> DataFrame:
@@ -101,7 +104,10 @@ def dep_strip(graph: Graph, a: str, b: str, limit: int = 500) -> DataFrame:
 
 
 def strip_grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("src", "srcKind").agg(F.count(F.lit(1)).alias("edges"))
+    """Limited strip rows grouped by source; ``total`` is taken after the limit."""
+    groups = rows.groupBy("src", "srcKind").agg(F.count(F.lit(1)).alias("edges"))
+    # at most STRIP_LIMIT groups are left here
+    return groups.withColumn("total", F.sum("edges").over(Window.partitionBy()))
 
 
 def module_strips(graph: Graph) -> DataFrame:

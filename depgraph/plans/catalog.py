@@ -538,10 +538,10 @@ def _(w):
 
 _CROSS = """SELECT p.{near} AS self, s.kind AS selfKind, p.{far} AS other, o.kind AS otherKind,
     coalesce(o.module, '(external)') AS otherModule FROM pairs p JOIN nodes s ON s.name = p.{near}
-    JOIN nodes o ON o.name = p.{far} WHERE p.{near} IN (SELECT name FROM busiest)
+    JOIN nodes o ON o.name = p.{far} WHERE p.{near} IN (SELECT name FROM {asked})
     AND (o.module IS NULL OR s.module IS NULL OR o.module <> s.module)"""
-_CROSS_IN = _CROSS.format(near="dst", far="src")
-_CROSS_OUT = _CROSS.format(near="src", far="dst")
+_CROSS_IN = _CROSS.format(near="dst", far="src", asked="busiest")
+_CROSS_OUT = _CROSS.format(near="src", far="dst", asked="busiest_out")
 _LIMITED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY self ORDER BY otherModule, other) AS place
     FROM ({cross})) WHERE place <= {limit}"""
 
@@ -554,7 +554,7 @@ def _(w):
 
 @query("J14_deps_cross_out", _LIMITED.format(cross=_CROSS_OUT, limit=1000))
 def _(w):
-    rows = R.deps_cross(w.graph, R.busiest(w.graph, 10), "out", 5000)
+    rows = R.deps_cross(w.graph, R.busiest(w.graph, 10, "out"), "out", 5000)
     return rows.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -646,13 +646,15 @@ def _(w):
     return B.degrees(w.blocks.edges)
 
 
-@query("A6_deps_grouped", "SELECT self, otherModule, count(*) AS edges FROM ("
+@query("A6_deps_grouped", "SELECT self, otherModule, count(*) AS edges, "
+       "sum(count(*)) OVER (PARTITION BY self)::BIGINT AS total FROM ("
        + _LIMITED.format(cross=_CROSS_IN, limit=200) + ") GROUP BY self, otherModule")
 def _(w):
     return R.deps_grouped(R.deps_cross(w.graph, R.busiest(w.graph, 10), "in", 200))
 
 
-@query("A7_strip_grouped", """SELECT src, srcKind, count(*) AS edges FROM (SELECT DISTINCT p.src, a.kind AS srcKind,
+@query("A7_strip_grouped", """SELECT src, srcKind, count(*) AS edges,
+    sum(count(*)) OVER ()::BIGINT AS total FROM (SELECT DISTINCT p.src, a.kind AS srcKind,
     p.dst FROM pairs p JOIN nodes a ON a.name = p.src JOIN nodes b ON b.name = p.dst
     WHERE a.module = 'Root.Beta.M00001' AND b.module = 'Root.Alpha.M00000' ORDER BY p.src, p.dst LIMIT 500)
     GROUP BY src, srcKind""")

@@ -61,6 +61,9 @@ CTES: dict[str, str] = {
     "pairs": "SELECT DISTINCT src, dst FROM depends",
     "busiest": """SELECT dst AS name FROM depends WHERE dst IN (SELECT name FROM nodes WHERE module IS NOT NULL)
         GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 10""",
+    "busiest_out": """SELECT src AS name FROM depends
+        WHERE src IN (SELECT name FROM nodes WHERE module IS NOT NULL)
+        GROUP BY src ORDER BY count(*) DESC, src LIMIT 10""",
     "gmodules": "SELECT module AS name FROM modules UNION SELECT name FROM imports",
     "namespace_parts": """SELECT DISTINCT [x FOR x IN string_split(module, '.') IF x <> ''] AS parts
         FROM modules""",

@@ -144,9 +144,11 @@ def read_extract(spark: SparkSession, path) -> tuple[DataFrame, int]:
 
 
 def read_extract_loose(spark: SparkSession, path) -> DataFrame:
-    """Declaration feed with undecodable lines dropped silently."""
-    scanned = _with_seq(_scan_json(spark, path, schemas.EXTRACT_FEED, "DROPMALFORMED"))
-    return materialize(_defaults(scanned, schemas.EXTRACT_FEED).filter("name IS NOT NULL"), "feed")
+    """Declaration feed with bad bytes replaced and undecodable lines dropped silently."""
+    lines = spark.read.text(path, lineSep="\n")
+    decoded = F.from_json(F.make_valid_utf8("value"), schemas.EXTRACT_FEED)
+    records = _with_seq(lines.select(decoded.alias("r")).select("r.*").filter("name IS NOT NULL"))
+    return materialize(_defaults(records, schemas.EXTRACT_FEED), "feed")
 
 
 def topic_dim(spark: SparkSession, rows=None) -> DataFrame:

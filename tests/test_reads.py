@@ -28,7 +28,7 @@ def test_dependencies_leave_the_module(graph):
         ("b1", "Root.B", "theorem"), ("ext", "(external)", "theorem"),
     ]
     into = R.decl_deps(graph, "b1", "in")
-    assert rows(R.deps_grouped(into)) == [("b1", "Root.A", 2)]
+    assert rows(R.deps_grouped(into)) == [("b1", "Root.A", 2, 2)]
     assert R.decl_deps(graph, "b1", "in", limit=1).count() == 1
     assert rows(R.decl_deps(graph, "ext", "in"), "other") == [("a1",)]
     with pytest.raises(checks.UnknownName):
@@ -40,7 +40,7 @@ def test_dependencies_leave_the_module(graph):
 def test_strip_batch_detail_and_health(graph):
     strip = R.dep_strip(graph, "Root.A", "Root.B")
     assert [tuple(r) for r in strip.collect()] == [("a1", "theorem", "b1", "lemma"), ("a2", "def", "b1", "lemma")]
-    assert rows(R.strip_grouped(strip)) == [("a1", "theorem", 1), ("a2", "def", 1)]
+    assert rows(R.strip_grouped(strip)) == [("a1", "theorem", 1, 2), ("a2", "def", 1, 2)]
     with pytest.raises(checks.QueryError):
         R.dep_strip(graph, "Root.A", "Root.A")
     batch = R.decls_batch(graph, ["a1", "zz", "b1", "a1"], ["name", "sourceUrl"])
@@ -117,3 +117,16 @@ def test_decl_search_and_text_index(graph):
     assert S.decl_search(graph.declarations, "!!").count() == 0
     index = S.text_index(graph.declarations)
     assert ("first", "a1", 1) in rows(index)
+
+
+def test_a_hub_keeps_its_limit_and_order(spark, make_feeds):
+    hub = "hub"
+    modules = [module("Root.H", declarations=[declaration(hub)])]
+    records = [record(hub, 0, module="Root.H")]
+    records += [record(f"d{i:05d}", i + 1, [hub], module=f"Root.M{i % 7}") for i in range(3000)]
+    graph = build.build_graph(make_feeds(modules, records))
+    expected = sorted((f"Root.M{i % 7}", f"d{i:05d}") for i in range(3000))[:50]
+    found = R.decl_deps(graph, hub, "in", limit=50).orderBy("place").collect()
+    assert [(r["otherModule"], r["other"]) for r in found] == expected
+    everyone = spark.createDataFrame([(hub,)], "name string")
+    assert R.deps_cross(graph, everyone, "in", 5000).count() == 1000

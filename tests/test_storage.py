@@ -54,6 +54,12 @@ def test_extract_lines(spark, tmp_path):
     assert rows(files.read_extract_loose(spark, path), "name") == [("a",), ("b",), ("x",)]
 
 
+def test_loose_reader_replaces_bad_bytes(spark, tmp_path):
+    path = tmp_path / "bytes.jsonl"
+    path.write_bytes(b'{"name": "a\xff", "typeSignature": "t"}\nnot json\n\n{"name": "b\x0cc"}\n')
+    assert [r["name"] for r in files.read_extract_loose(spark, str(path)).collect()] == ["a\ufffd"]
+
+
 def test_topics_always_have_a_default(spark):
     assert files.topic_dim(spark).count() == 28
     assert rows(files.topic_dim(spark, [("A", "a", 1.0, "c")]), "priority", "id") == [(0, "A"), (1, "_default")]
