@@ -95,7 +95,8 @@ def peel(
     state = nodes.select("id").join(needed, "id", "left").select(
         "id", F.coalesce("needed", F.lit(0)).alias("missing"), key.alias("key")
     )
-    rounds = Rounds(nodes.sparkSession, "peel")
+    spark = nodes.sparkSession
+    rounds = Rounds(spark, "peel")
     level = 0
     while True:
         table, counts = rounds.add(
@@ -107,23 +108,30 @@ def peel(
             break
         if keep_order and level % _KEY_LEVELS == _KEY_LEVELS - 1:
             placed = _short_keys(placed)
-        met = placed.select(F.col("id").alias("dep"), "key").join(edges, "dep").select(
-            F.col("importer").alias("id"), F.lit(-1).cast("bigint").alias("missing"), "key"
+        state = spark.sql(
+            _ORDERED_ROUND if keep_order else _PLAIN_ROUND, placed=placed, pending=pending, edges=edges
         )
-        waiting = pending.select("id", "missing", F.lit(None).cast("array<bigint>").alias("key"))
-        counted = waiting.unionByName(met).groupBy("id").agg(
-            F.sum("missing").alias("missing"), *([F.max("key").alias("best")] if keep_order else [])
-        )
-        key = (
-            F.when(F.col("missing") == 0, F.array_append("best", F.col("id"))) if keep_order
-            else F.lit(None).cast("array<bigint>")
-        )
-        state = counted.select("id", "missing", key.alias("key"))
         level += 1
     columns = ["id", "level", "key"] if keep_order else ["id", "level"]
     return rounds.all().filter("missing = 0").select(*columns), pending.select("id")
 
 
+_ORDERED_ROUND = """
+SELECT id, missing, CASE WHEN missing = 0 THEN array_append(best, id) END AS key FROM (
+  SELECT id, sum(missing) AS missing, max(key) AS best FROM (
+    SELECT id, missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM {pending}
+    UNION ALL
+    SELECT e.importer, -1, p.key FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id)
+  GROUP BY id)"""
+
+_PLAIN_ROUND = """
+SELECT id, sum(missing) AS missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM (
+  SELECT id, missing FROM {pending}
+  UNION ALL
+  SELECT e.importer, -1 FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id)
+GROUP BY id"""
+
+
 def _short_keys(placed: DataFrame) -> DataFrame:
     """Replace the order keys of one level by their ranks."""
     ranked = dense_index(placed, ["key"], "rank")
@@ -154,6 +162,17 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- closure and reduction --------------------------------------------------------------------
 
+# Pairs of the nodes on one level, handed to the importers of those nodes.  Repeats are
+# left to the DISTINCT of the level that reads them: one shuffle per round.
+_HAND_UP = """
+SELECT up.importer, own.dep, up.ilevel AS at FROM (
+  SELECT DISTINCT importer AS mid, dep FROM (
+    SELECT importer, dep FROM {leveled} WHERE ilevel = {level}
+    UNION ALL
+    SELECT importer, dep FROM {received} WHERE at = {level})) AS own
+JOIN {leveled} AS up ON up.dep = own.mid AND up.dlevel = {level}"""
+
+
 def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """All (node, dep) pairs with flags ``direct`` (an edge) and ``via`` (through another dep).
 
@@ -173,18 +192,11 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
     )
     top = leveled.agg(F.max("dlevel")).first()[0]
     handed = Rounds(spark, "handed")
+    received = leveled.select("importer", "dep", F.col("ilevel").alias("at")).limit(0)
     for level in range(1, (top or 0) + 1):
-        pairs = leveled.filter(F.col("ilevel") == level).select("importer", "dep")
-        if len(handed):
-            received = handed.all().filter(F.col("at") == level)
-            pairs = pairs.unionByName(received.select("importer", "dep"))
-        own = pairs.distinct().select(F.col("importer").alias("mid"), "dep")
-        up = leveled.filter(F.col("dlevel") == level).select(
-            "importer", F.col("dep").alias("mid"), F.col("ilevel").alias("at")
-        )
-        # repeats are left to the distinct of the reading level: one shuffle per round
-        step = own.join(up, "mid").select("importer", "dep", "at")
+        step = spark.sql(_HAND_UP, leveled=leveled, received=received, level=level)
         handed.add(step.sortWithinPartitions("at"))
+        received = handed.all()
     pairs = leveled.select("importer", "dep", F.lit(True).alias("direct"), F.lit(False).alias("via"))
     if len(handed):
         pairs = pairs.unionByName(
