@@ -690,19 +690,19 @@ def _(w):
 
 
 _HOPS = """hop AS (SELECT name AS origin, name AS node, 0 AS hops FROM busiest
-    UNION SELECT h.origin, p.src, h.hops + 1 FROM hop h JOIN pairs p ON p.dst = h.node WHERE h.hops < 3)"""
+    UNION SELECT h.origin, p.src, h.hops + 1 FROM hop h JOIN pairs p ON p.dst = h.node WHERE h.hops < 4)"""
 
 
 def _reach(w: Workspace) -> DataFrame:
     edges = w.graph.depends_on.select("src", "dst")
-    return V.k_hop(edges, R.busiest(w.graph, 10), 3, backwards=True)
+    return V.k_hop(edges, R.busiest(w.graph, 10), 4, backwards=True)
 
 
 _K_HOP = "SELECT DISTINCT origin, node FROM hop WHERE hops > 0"
 
 
 def _with_hops(sql: str) -> str:
-    """``sql`` over the recursive table of dependents within three hops."""
+    """``sql`` over the recursive table of dependents within four hops."""
     return with_ctes("SELECT * FROM busiest, pairs").rsplit(" SELECT * FROM busiest, pairs", 1)[0] + (
         f", {_HOPS} {sql}"
     )

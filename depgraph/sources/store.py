@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from depgraph.operators.map_layout import (
     ordered_structure,
     structure_by_index,
 )
+from depgraph.operators.reads import decl_deps
 from depgraph.session import discard, file_system
 
 _POINTER = "version bigint, folder string, generatedAt string, label string, modules bigint"
@@ -55,6 +56,16 @@ def _exists(spark: SparkSession, location: str) -> bool:
     return files.exists(path)
 
 
+def lookup_deps(
+    spark: SparkSession, base: str, name: str, direction: str = "in", limit: int = 200
+) -> DataFrame:
+    """Dependency rows of one declaration from the stored copy ordered for the direction."""
+    graph = read_graph(spark, base)
+    if direction == "in":
+        graph = replace(graph, depends_on=spark.read.parquet(f"{base}/depended_on_by"))
+    return decl_deps(graph, name, direction, limit)
+
+
 def drop_graph(spark: SparkSession, base: str) -> None:
     """Remove all graph tables, derived edges and pointers below ``base``."""
     discard(spark, base)

@@ -109,6 +109,8 @@ def test_graph_round_trip(spark, tmp_path, make_feeds):
     back = store.read_graph(spark, str(tmp_path / "g"))
     for name, table in graph.tables().items():
         assert rows(getattr(back, name), *table.columns) == rows(table)
+    assert rows(store.lookup_deps(spark, str(tmp_path / "g"), "b"), "other") == [("a",)]
+    assert rows(store.lookup_deps(spark, str(tmp_path / "g"), "a", "out"), "other") == [("b",)]
 
 
 def test_stream_ends_in_the_state_of_a_batch_load(spark, tmp_path, make_feeds):
