@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.functions import checks
@@ -18,11 +18,11 @@ from depgraph.operators import reads as R
 from depgraph.operators import search as S
 from depgraph.operators import structure as X
 from depgraph.operators import traversal as V
-from depgraph.operators.ranking import dense_index, position_in_group
+from depgraph.operators.ranking import dense_index
 from depgraph.plans import fixture
 from depgraph.plans.oracle_ctes import with_ctes
 from depgraph.plans.workspace import Workspace, workspace
-from depgraph.session import materialize, new_path
+from depgraph.session import new_path
 from depgraph.sources import feeds as E
 from depgraph.sources import files, store
 from depgraph.streaming import incremental
