@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,21 @@ def lower_ascii(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def text_tables(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
+    """The rows of a task in order, as tables of about ``limit`` bytes of text, whole rows each."""
+    waiting, held = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for row, size in enumerate(sizes):
+            held += int(size)
+            if held >= limit:
+                waiting.append(batch.slice(start, row + 1 - start))
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting, held, start = [], 0, row + 1
+        if start < batch.num_rows:
+            waiting.append(batch.slice(start))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()

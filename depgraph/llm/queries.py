@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgraph.llm import mixing, sharding, urls
+from depgraph.llm import decontamination, mixing, quality, sharding, urls
 from depgraph.llm.common import prepare, table
 
 #: Rules of the url query: host, path, verdict.
@@ -24,12 +24,37 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document, its tail probabilities, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
+    graded = quality.grade(docs, model, carry=["doc_id"])
+    tails = F.col("quality.tails")
+    return graded.select(
+        "doc_id", F.col("quality.expected_grade").alias("expected_grade"),
+        tails[0].alias("p_not_toxic"), tails[1].alias("p_good"), (tails[1] >= 0.5).alias("keep"),
+    )
+
+
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in verbatim matches of benchmark windows, and the items matched."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    report = decontamination.annotate(docs, items, carry=["doc_id"])
+    found = F.col("contamination.items")
+    return report.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit",
+        F.size(found).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict and rule of every page's url."""
     prepare(spark)
@@ -63,7 +88,9 @@ FROM numbered LEFT JOIN fits USING (row_no)
 
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op5_mix_to_weights": op5_mix_to_weights,
+    "op6_suffix_decontamination": op6_suffix_decontamination,
     "op7_url_rules": op7_url_rules,
 }
 

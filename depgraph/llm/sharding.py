@@ -27,6 +27,8 @@ from depgraph.session import materialize
 LARGE = 1 / 500
 #: Groups that a cell of small groups holds on average.
 CELL_GROUPS = 20_000
+#: Weight of bytes, words and rows in the dot product.
+WEIGHTS = np.array([8.0, 1.0, 1.0])
 _DEMAND = ["bytes", "words", "rows"]
 
 
@@ -50,7 +52,7 @@ def _fill(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
     """Shard of each demand, in the order given; ``residual`` (shards x 3) is used up."""
     out = np.empty(len(demand), dtype=np.int32)
     for i, item in enumerate(demand):
-        best = int(np.argmax(residual @ item))
+        best = int(np.argmax(residual @ (item * WEIGHTS)))
         residual[best] -= item
         out[i] = best
     return out
@@ -65,7 +67,7 @@ def _place_large(large: list, totals: np.ndarray, shards: int) -> tuple[list, np
         one = np.array([row.bytes, row.words, row.rows], dtype=float) / scale / row.rows
         left, first = row.rows, 0
         while left:
-            score = residual @ one
+            score = residual @ (one * WEIGHTS)
             fits = (residual + 1e-12 >= one * left).all(axis=1)
             if fits.any():
                 best, copies = int(np.argmax(np.where(fits, score, -np.inf))), left
