@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgraph.llm import decontamination, mixing, quality, sharding, urls
+from depgraph.llm import decontamination, mixing, quality, sharding, shingle_join, urls
 from depgraph.llm.common import prepare, table
 
 #: Rules of the url query: host, path, verdict.
@@ -36,6 +36,11 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; links need 100 * intersection >= 85 * union."""
+    return shingle_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ FROM numbered LEFT JOIN fits USING (row_no)
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_shingle_jaccard": op3_shingle_jaccard,
     "op5_mix_to_weights": op5_mix_to_weights,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op7_url_rules": op7_url_rules,
