@@ -190,7 +190,7 @@ def _join_runs(runs: np.ndarray) -> np.ndarray:
     fresh = np.ones(len(item), dtype=bool)
     fresh[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
     head = np.flatnonzero(fresh)
-    last = np.append(head[1:], len(item)) - 1
+    last = np.append(head, len(item))[1:] - 1
     return np.stack([item[head], diagonal[head], place[head], place[last] + length[last] - place[head]])
 
 
