@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgraph.llm import decontamination, mixing, quality, sharding, shingle_join, urls
+from depgraph.llm import (
+    decontamination, lm_scores, mixing, quality, sharding, shingle_join, token_files, urls,
+)
 from depgraph.llm.common import prepare, table
 
 #: Rules of the url query: host, path, verdict.
@@ -38,7 +40,8 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document; links need 100 * intersection >= 85 * union."""
-    return shingle_join.similar_documents(table(spark, sf_dir, "documents"))
+    joined = shingle_join.similar_documents(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,22 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff log score of every document against all others, in total and by word."""
+    scored = lm_scores.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select(
+        "doc_id", "n_words", "n_full", F.round("log_score", 4).alias("log_score"),
+        F.round(F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1)), 6).alias("log_score_per_word"),
+    )
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, found in flat token files written from all documents."""
+    blocks = token_files.write_token_blocks(table(spark, sf_dir, "documents"))
+    counts = token_files.token_counts(blocks)
+    return counts.join(token_files.document_names(blocks), ["file", "document"]).select("doc_id", "n_tokens", "closed")
+
+
 _OP7_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -91,6 +110,103 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM numbered LEFT JOIN fits USING (row_no)
 """
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+_OP3_SQL = f"""
+WITH RECURSIVE listed AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM listed WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY x, y
+),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * both_have >= 85 * (p.n + q.n - both_have)
+),
+reach AS (
+  SELECT doc_id AS start, doc_id AS node FROM documents
+  UNION SELECT start, y FROM reach JOIN links ON node = x
+),
+degrees AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, coalesce(g.n_links, 0) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT start, min(node) AS component_id FROM reach GROUP BY start) r ON r.start = d.doc_id
+LEFT JOIN degrees g ON g.x = d.doc_id
+"""
+
+_OP6_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+_OP6_SQL = f"""
+WITH listed AS (SELECT doc_id, coalesce({_OP6_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id, {_OP6_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+        FROM items WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT m FROM windows),
+places AS (
+  SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM listed, lengths WHERE len(w) >= m)
+),
+hits AS (SELECT doc_id, m, i, item_id FROM places JOIN windows USING (m, win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, m, i FROM hits)) GROUP BY doc_id
+),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM listed l LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+_OP8_SQL = f"""
+WITH listed AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+places AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed),
+history AS (
+  SELECT *, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM places WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+),
+counted AS (
+  SELECT *,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, doc_id) AS c1,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY v, w, doc_id) AS c2,
+    count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY u, v, w, doc_id) AS c3,
+    count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
+  FROM history
+),
+ordered AS (
+  SELECT *, lag(c1) OVER p AS h1, lag(c2) OVER p AS h2 FROM counted WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+),
+scored AS (
+  SELECT doc_id, i, c3,
+    CASE
+      WHEN i >= 3 AND c3 > 0 THEN ln(c3 / h2)
+      ELSE CASE WHEN i >= 3 THEN ln(0.4) ELSE 0 END + CASE
+        WHEN i >= 2 AND c2 > 0 THEN ln(c2 / h1)
+        ELSE CASE WHEN i >= 2 THEN ln(0.4) ELSE 0 END + CASE WHEN c1 > 0 THEN ln(c1 / n) ELSE ln(1 / (n + 1)) END
+      END
+    END AS log_score
+  FROM ordered
+),
+summed AS (
+  SELECT doc_id, sum(log_score) AS log_score, count(*) FILTER (i >= 3 AND c3 > 0) AS n_full FROM scored GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_full, 0) AS n_full,
+       round(coalesce(log_score, 0), 4) AS log_score,
+       round(coalesce(log_score, 0) / greatest(len(words), 1), 6) AS log_score_per_word
+FROM listed LEFT JOIN summed USING (doc_id)
+"""
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -98,6 +214,11 @@ QUERIES = {
     "op5_mix_to_weights": op5_mix_to_weights,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op7_url_rules": op7_url_rules,
+    "op8_backoff_scores": op8_backoff_scores,
+    "op9_separator_scan": op9_separator_scan,
 }
 
-ORACLES = {"op7_url_rules": _OP7_SQL}
+ORACLES = {
+    "op3_shingle_jaccard": _OP3_SQL, "op6_suffix_decontamination": _OP6_SQL, "op7_url_rules": _OP7_SQL,
+    "op8_backoff_scores": _OP8_SQL,
+}
