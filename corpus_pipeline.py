@@ -1,4 +1,105 @@
-"""Corpus pipeline; its stages follow."""
+"""From raw documents to mixed, sharded training data, in five stages.
 
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLES: dict = {}
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes every result as
+Parquet into the shared folder and reads it again as the next stage's documents.  All stages but the
+last return the columns of ``documents``.  Tables other than documents are read below ``sf_dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from depgraph.llm import decontamination, mixing, quality, sharding, shingle_join
+from depgraph.llm.common import table
+from depgraph.session import materialize
+
+#: Near duplicates: words of a shingle, and the similarity in percent from which documents are one group.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Least probability of the highest grade that a document needs to stay.
+GOOD = 0.5
+SHARDS = 8
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the highest grade (neither toxic nor of low quality) is at least GOOD.
+
+    The grader is fitted on the labelled ones among the documents.  Null and empty texts are graded by shape.
+    """
+    model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
+    graded = quality.grade(docs, model)
+    return graded.filter(F.col("quality.tails")[1] >= GOOD).select(*docs.columns)
+
+
+def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest number of each group of near duplicates; repeated rows stay once.
+
+    Documents without words are no one's duplicates.  Rows without a number stay unless one with a number
+    is similar.
+    """
+    groups = materialize(shingle_join.similar_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "similar")
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, as the mix of their sources takes their words.
+
+    A document of which the mix takes t of s words appears t / s times: the whole part as it is, the rest
+    as a chance that depends on the document's number alone.  Documents without words appear once.
+    """
+    taken = mixing.taken_words(mixing.mix_sources(docs)).groupBy("doc_id").agg(
+        (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"), F.sum("size").alias("size")
+    ).withColumnRenamed("doc_id", "mixed_id")
+    chance = F.pmod(F.xxhash64(F.lit(29), "mixed_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    whole = F.floor("share")
+    copies = F.when(F.col("size") == 0, 1).otherwise(whole + (chance < F.col("share") - whole).cast("long"))
+    counted = taken.withColumn("copies", copies.cast("int")).filter("copies > 0").select("mixed_id", "copies")
+    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["mixed_id"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of the documents, and shard and slot (gapless from 0 in each shard)."""
+    placed = sharding.shard_documents(docs, SHARDS)
+    keys = ["doc_id", "text_crc32", "bytes"]
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_crc32"].eqNullSafe(b["text_crc32"]) & (a["bytes"] == b["bytes"])
+
+    texts = docs.withColumns({
+        "text_crc32": F.crc32(F.col("text").cast("binary")), "bytes": sharding.byte_size(F.col("text")),
+    }).dropDuplicates(keys)
+    slots = placed.select(*keys, "shard", "slot")
+    return texts.join(slots, same(texts, slots)).select(*(texts[c] for c in docs.columns), slots["shard"], slots["slot"])
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_first_of_similar),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_to_targets),
+    ("sharding", assign_shards),
+]
+
+#: The grader's weights come from an optimiser, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
+
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.llm import (
-    decontamination, lm_scores, mixing, quality, sharding, shingle_join, token_files, urls,
+    chat, decontamination, lm_scores, mixing, quality, search, sharding, shingle_join, token_files, urls,
 )
 from depgraph.llm.common import prepare, table
 
@@ -44,6 +44,16 @@ def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all conversations, shown as raw transcripts, with the roles and turns found in them."""
+    shown = chat.as_transcripts(table(spark, sf_dir, "conversations"))
+    lines = chat.transcript_lines(shown)
+    found = chat.canonical(chat.recover_roles(lines, chat.fit(lines)))
+    return found.select(
+        F.col("conv").cast("long").alias("conv_id"), "turn", "at", "message", F.col("role").alias("given_role"), "found_role", "piece",
+    )
+
+
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -110,6 +120,13 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM numbered LEFT JOIN fits USING (row_no)
 """
 
+def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose number is divisible by 50, taken as a query."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries, 10)
+
+
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 _OP3_SQL = f"""
@@ -207,18 +224,40 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_full, 0) AS n_f
 FROM listed LEFT JOIN summed USING (doc_id)
 """
 
+_OP10_SQL = f"""
+WITH listed AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+terms AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS w FROM listed) GROUP BY doc_id, w),
+stats AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS mean FROM listed),
+idfs AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms, stats GROUP BY w, n),
+parts AS (
+  SELECT t.doc_id, t.w,
+    round(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(words) / mean)) * 1000000)::BIGINT AS part
+  FROM terms t JOIN idfs USING (w) JOIN listed USING (doc_id), stats
+),
+scored AS (
+  SELECT q.doc_id AS query_id, p.doc_id, sum(part)::BIGINT AS score
+  FROM terms q JOIN parts p USING (w) WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, p.doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS "rank" FROM scored WHERE score > 0
+)
+SELECT query_id, "rank", doc_id, score FROM ranked WHERE "rank" <= 10
+"""
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_shingle_jaccard": op3_shingle_jaccard,
+    "op4_transcript_roles": op4_transcript_roles,
     "op5_mix_to_weights": op5_mix_to_weights,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_backoff_scores": op8_backoff_scores,
     "op9_separator_scan": op9_separator_scan,
+    "op10_bm25_top_k": op10_bm25_top_k,
 }
 
 ORACLES = {
     "op3_shingle_jaccard": _OP3_SQL, "op6_suffix_decontamination": _OP6_SQL, "op7_url_rules": _OP7_SQL,
-    "op8_backoff_scores": _OP8_SQL,
+    "op8_backoff_scores": _OP8_SQL, "op10_bm25_top_k": _OP10_SQL,
 }

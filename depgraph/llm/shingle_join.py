@@ -33,8 +33,8 @@ from depgraph.operators.ranking import dense_index, running_total
 from depgraph.session import materialize
 
 SHINGLE_WORDS = 4
-#: Links need PART * intersection >= WHOLE * union with these two (85 of 100).
-PART, WHOLE = 100, 85
+#: Links need 100 * intersection >= PERCENT * union.
+PERCENT = 85
 TABLE_BYTES = 8 << 20
 #: Shingles a hash bucket holds, and a block of a family, on average.
 BUCKET_SHINGLES = 3_000_000
@@ -166,7 +166,7 @@ def _count(rows: pd.DataFrame, replies: int) -> pd.DataFrame:
 _CANDIDATES = "signature binary, n_shingles long, own long, prefix array<long>, codes binary"
 
 
-def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
+def _prefixes(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Classes whose first shingles, rare first, hold one that other classes have too."""
     heads = np.concatenate([np.frombuffer(h, dtype=_PACKED) for h in rows["heads"]])
     code = np.concatenate([np.frombuffer(c, dtype=np.uint64) for c in rows["codes"]])
@@ -180,17 +180,17 @@ def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i, size in enumerate(sizes.tolist()):
         own = size - int(edge[i + 1] - edge[i])
-        take = size - -(-WHOLE * size // PART) + 1 - own
+        take = size - -(-percent * size // 100) + 1 - own
         if take > 0:
             mine = code[edge[i]:edge[i + 1]]
             out.append((names[i].tobytes(), size, own, mine[:take].view(np.int64).tolist(), mine.tobytes()))
     return pd.DataFrame(out, columns=["signature", "n_shingles", "own", "prefix", "codes"])
 
 
-def _families(candidates: DataFrame) -> DataFrame:
+def _families(candidates: DataFrame, percent: int) -> DataFrame:
     """node, root: candidate classes tied together by the blocks of the index lists."""
     size, place = F.col("n_shingles"), F.col("own") + F.col("at")
-    indexing = size - F.ceil(size * (2 * WHOLE) / F.lit(PART + WHOLE)).cast("long") + 1
+    indexing = size - F.ceil(size * (2 * percent) / F.lit(100 + percent)).cast("long") + 1
     postings = (
         candidates.select("id", "n_shingles", "own", F.posexplode("prefix").alias("at", "code"))
         .select("code", "n_shingles", (place >= indexing).cast("int").alias("deep"), "id")
@@ -208,7 +208,7 @@ def _families(candidates: DataFrame) -> DataFrame:
     nearest = F.coalesce("before", "carried")
     return components(
         tied.select("id", size, nearest.alias("near"))
-        .filter(F.col("near").isNotNull() & (F.col("near.n_shingles") * PART >= size * WHOLE))
+        .filter(F.col("near").isNotNull() & (F.col("near.n_shingles") * 100 >= size * percent))
         .select(F.col("id").alias("u"), F.col("near.id").alias("v"))
     )
 
@@ -235,7 +235,7 @@ class _Index:
         return np.bincount(self.owners[at], minlength=self.count)
 
 
-def linked_pairs(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def linked_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(set, the sets it links to) of every set; ``sizes`` counts shingles no other set has, too."""
     index = _Index(sets)
     own = np.array(list(map(len, index.sets)), dtype=np.int64)
@@ -253,7 +253,7 @@ def linked_pairs(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[in
             else:
                 found = base
             union = sizes[follower] + sizes - found
-            linked = PART * found >= WHOLE * union
+            linked = 100 * found >= percent * union
             linked[follower] = False
             waiting[follower] = False
             yield int(follower), np.flatnonzero(linked)
@@ -262,7 +262,7 @@ def linked_pairs(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[in
             yield pivot, np.zeros(0, dtype=np.int64)
 
 
-def _verify(rows: pd.DataFrame) -> pd.DataFrame:
+def _verify(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Of the families (or pairs of blocks) of a unit: root and links of each member."""
     out = []
     for _, unit in rows.groupby(["family", "low", "high"], sort=True):
@@ -279,7 +279,7 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
                 i = root[i]
             return i
 
-        for i, near in linked_pairs(sets, unit["n_shingles"].to_numpy()):
+        for i, near in linked_pairs(sets, unit["n_shingles"].to_numpy(), percent):
             if low != high:
                 near = near[block[near] != block[i]]
             links[i] += copies[near].sum()
@@ -292,7 +292,7 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _links(members: DataFrame) -> DataFrame:
+def _links(members: DataFrame, percent: int) -> DataFrame:
     """id, root, links of the candidate classes of all families (id, family, n_shingles, copies, codes)."""
     sized = members.withColumn("weight", (F.octet_length("codes") / 8 + 1).cast("long"))
     placed = running_total(sized, ["n_shingles", "id"], "before", F.col("weight"), ["family"])
@@ -312,11 +312,13 @@ def _links(members: DataFrame) -> DataFrame:
     return (
         units.withColumn("unit", F.when(F.col("last") == 0, small).otherwise(large))
         .select("unit", "family", "low", "high", "block", "id", "n_shingles", "copies", "codes")
-        .groupBy("unit").applyInPandas(_verify, "id long, root long, links long")
+        .groupBy("unit").applyInPandas(lambda rows: _verify(rows, percent), "id long, root long, links long")
     )
 
 
-def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_documents(
+    docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id",
+) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), copies (documents with the
     same set, itself included) and n_links (documents it links to) of every document.
 
@@ -336,9 +338,9 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, text: str = "
     replies = max(1, buckets // 2)
     reply = "kind long, heads binary, codes binary, classes binary"
     counted = _requests(docs, buckets, width, text).groupBy("kind").applyInPandas(lambda rows: _count(rows, replies), reply)
-    found = materialize(counted.groupBy("kind").applyInPandas(_prefixes, _CANDIDATES), "candidates")
+    found = materialize(counted.groupBy("kind").applyInPandas(lambda rows: _prefixes(rows, percent), _CANDIDATES), "candidates")
     candidates = materialize(dense_index(found, ["signature"], "id"), "numbered-candidates")
-    families = _families(candidates)
+    families = _families(candidates, percent)
     roots = families.select("root").distinct()
     tied = families.unionByName(roots.select(F.col("root").alias("node"), "root"))
     members = (
@@ -347,7 +349,7 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, text: str = "
         .join(classes.select("signature", "copies"), "signature")
         .drop("signature")
     )
-    links = materialize(_links(members), "links")
+    links = materialize(_links(members, percent), "links")
     joined = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     home = (
