@@ -209,7 +209,7 @@ def _report(words: list[list[bytes]], blocks: list, window: int) -> list[dict]:
             hits[doc]["matches"].append(
                 {"item_id": tests.names[item], "word": word, "item_word": place - diagonal, "words": length}
             )
-        if len(blocks) == 1:
+        if len(blocks) == 1:  # the common case needs no merging
             for row, n in zip(hits, n_hit.tolist()):
                 row["n_hit"] = n
     if len(blocks) > 1:

@@ -27,8 +27,10 @@ SAMPLE_ROWS = 8_000
 SLOTS = 1 << 20
 #: Slots seen in fewer sampled documents get no weight.
 MIN_DOCUMENTS = 3
+#: Standard errors by which a slot's documents must differ in mean grade from all to get a weight.
+LEAST_SHIFT = 3.0
 STEPS = 250
-PENALTY = 2e-4
+PENALTY = 2e-5
 TABLE_BYTES = 4 << 20
 
 _SHAPES = 64
@@ -84,6 +86,9 @@ class Grader:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int) -> Grader:
     """Maximum likelihood of the cumulative logit with an L2 penalty, by Adam on all rows at once.
 
+    Words can only lower a score, so a short text without any remarkable word is not held to be bad.
+    Rare grades weigh more, by the square root of what would balance them.
+
     Without rows, or with one grade only, the thresholds say how often each grade was met (plus one).
     """
     counts = np.bincount(grades, minlength=levels) + 1.0
@@ -96,14 +101,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
     owner = np.repeat(np.arange(len(rows)), sizes)
     used, slots = np.unique(slots, return_inverse=True)
-    often = np.bincount(slots) >= MIN_DOCUMENTS
-    kept = often[slots]
+    # slots whose documents' mean grade is no further from that of all than chance would have it say nothing
+    seen = np.bincount(slots)
+    mean, spread = grades.mean(), max(grades.std(), 1e-9)
+    shift = np.bincount(slots, weights=(grades - mean)[owner]) / np.sqrt(seen) / spread
+    kept = ((seen >= MIN_DOCUMENTS) & (np.abs(shift) >= LEAST_SHIFT))[slots]
     slots, values, owner = slots[kept], values[kept], owner[kept]
     w = np.zeros(len(used))
     gaps = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(gaps), np.zeros_like(gaps)]
     lower, upper = np.maximum(grades - 1, 0), np.minimum(grades, levels - 2)
-    balance = counts.sum() / levels / counts[grades]
+    balance = np.sqrt(counts.sum() / levels / counts[grades])
+    words = used >= _SHAPES
     for step in range(1, STEPS + 1):
         t = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
         s = np.bincount(owner, weights=w[slots] * values, minlength=len(rows))
@@ -121,6 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        w[words] = np.minimum(w[words], 0)
     weights[used] = w
     return Grader(weights, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])))
 

@@ -28,7 +28,7 @@ LARGE = 1 / 500
 #: Groups that a cell of small groups holds on average.
 CELL_GROUPS = 20_000
 #: Weight of bytes, words and rows in the dot product.
-WEIGHTS = np.array([8.0, 1.0, 1.0])
+WEIGHTS = np.array([128.0, 2.0, 1.0])
 _DEMAND = ["bytes", "words", "rows"]
 
 
