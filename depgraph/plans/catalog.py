@@ -75,7 +75,7 @@ def _relations(w: Workspace) -> DataFrame:
     LEFT JOIN (SELECT module, count(*) AS n FROM imports GROUP BY module) i ON i.module = m.module""")
 def _(w):
     path = new_path(w.spark, "feed")
-    files.write_modules_jsonl(fixture.module_feed(w.tables).drop("seq", "part"), path)
+    files.write_modules_jsonl(fixture.module_feed(w.tables).drop("seq"), path)
     modules, _bad = files.read_modules(w.spark, path)
     sizes = modules.groupBy("module", "path").agg(
         F.max("title").alias("title"), F.bool_or("isDeprecated").alias("isDeprecated"),
@@ -87,7 +87,7 @@ def _(w):
 @query("S3_read_modules_strict", "SELECT module, path FROM modules")
 def _(w):
     path = new_path(w.spark, "feed")
-    files.write_modules_jsonl(fixture.module_feed(w.tables).drop("seq", "part"), path)
+    files.write_modules_jsonl(fixture.module_feed(w.tables).drop("seq"), path)
     return files.read_modules_strict(w.spark, path).select("module", "path").distinct()
 
 
@@ -114,7 +114,7 @@ def _(w):
     return w.topics
 
 
-@query("S7_write_modules_jsonl", "SELECT count(*) AS written FROM (SELECT DISTINCT path FROM file_paths UNION SELECT '/src/' || path FROM modules)")
+@query("S7_write_modules_jsonl", "SELECT count(*) AS written FROM modules")
 def _(w):
     records = P.assemble_modules(w.sources, SOURCE_ROOT)
     count = files.write_modules_jsonl(records, new_path(w.spark, "structure"))
@@ -206,7 +206,7 @@ def _(w):
     coalesce(tag_a || '|' || tag_b, '') AS tags, author_a || '|' || author_b AS authors, isDeprecated
     FROM modules""")
 def _(w):
-    meta = P.module_meta(w.sources, SOURCE_ROOT).filter(F.size("authors") > 0)
+    meta = P.module_meta(w.sources, SOURCE_ROOT)
     return meta.withColumn("tags", F.array_join("tags", "|")).withColumn(
         "authors", F.array_join("authors", "|")
     )
@@ -236,9 +236,7 @@ def _(w):
 
 @query("T5_module_name", "SELECT '/src/' || path AS path, module FROM modules")
 def _(w):
-    return w.sources.select("path", P.module_name(F.col("path"), SOURCE_ROOT).alias("module")).filter(
-        ~F.col("module").rlike(r"\.Part\d+$")
-    )
+    return w.sources.select("path", P.module_name(F.col("path"), SOURCE_ROOT).alias("module"))
 
 
 @query("T6_namespaces_seen", """SELECT module, namespace, min(start_line) AS firstLine FROM file_spans
@@ -253,7 +251,7 @@ def _(w):
     FROM modules m LEFT JOIN file_imports i ON i.module = m.module LEFT JOIN (SELECT module, count(*) AS n
     FROM file_spans WHERE NOT nameless OR kind = 'instance' GROUP BY module) d ON d.module = m.module""")
 def _(w):
-    records = P.assemble_modules(w.sources, SOURCE_ROOT).filter(F.size("authors") > 0)
+    records = P.assemble_modules(w.sources, SOURCE_ROOT)
     return records.select(
         "path", "module", "title", F.array_join("namespaces", "|").alias("namespaces"),
         F.size("declarations").cast("bigint").alias("declarations"),

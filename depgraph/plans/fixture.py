@@ -2,9 +2,12 @@
 
 The driver's tables hold no dependency graph, so both the Spark queries and the
 DuckDB oracles start from the SQL texts below.  Every row of both tables takes
-part.  Parts become declarations, blocks of ten part keys become modules, and
-each order line makes its part depend on a smaller part key (so the module graph
-has no cycle); low keys become hubs that a large share of all edges point at.
+part.  Parts become declarations, blocks of ten part keys become modules.  Each
+order line makes its part depend on a smaller part key, and the part's module
+import a module of about a quarter, half or three quarters of its number.  So the
+module graph has no cycle, every module has at most six such imports, paths grow
+with the logarithm of the number of modules, and low numbers are hubs that a large
+share of all edges point at.
 
 The texts use only integer arithmetic and functions both engines share;
 ``{div}`` is the integer division of the engine.
@@ -112,7 +115,9 @@ SELECT 4 * pk + 2, name || '.f1', 'field of ' || p_name, module, NULL, NULL, FAL
        NULL, 0, 0
 FROM {{base}} WHERE {HAS_MEMBERS}"""
 
-_LINE_TARGET = "((l_orderkey % l_partkey) * (l_orderkey % l_partkey)) {div} l_partkey"
+_KEY = "greatest(l_partkey, 1)"
+_LINE_TARGET = f"((l_orderkey % {_KEY}) * (l_orderkey % {_KEY})) {{div}} {_KEY}"
+_LINE_IMPORT = "greatest(((l_partkey {div} 10) * (1 + l_orderkey % 3)) {div} 4 - l_linenumber % 2, 0)"
 _LINE_MODULE = (
     f"CASE WHEN l_partkey % 31 <> 0 THEN {module_name('l_partkey {div} 10')} END"
 )
@@ -123,7 +128,7 @@ SELECT 4 * l_partkey AS seq, {declaration_name('l_partkey')} AS src,
        {declaration_name('target')} AS dst, inType, inValue
 FROM (SELECT l_partkey, {_LINE_TARGET} AS target, bool_or(l_returnflag = 'R') AS inType,
              bool_or(l_returnflag <> 'R') AS inValue
-      FROM {{lineitem}} WHERE l_partkey > 0 GROUP BY 1, 2) AS lines
+      FROM {{lineitem}} GROUP BY 1, 2) AS lines
 UNION ALL
 SELECT 4 * l_partkey, {declaration_name('l_partkey')}, {_LINE_MODULE},
        'Ext.s' || CAST(l_suppkey AS STRING), FALSE, TRUE
@@ -151,8 +156,7 @@ FROM {{base}} WHERE pk % 19 = 0 AND o >= 3"""
 _IMPORTS = f"""
 SELECT {module_name('sb')} AS module, {module_name('db')} AS name, (sb + db) % 2 = 0 AS isPublic,
        sb % 13 = 0 AS isDeprecated, db AS pos
-FROM (SELECT DISTINCT l_partkey {{div}} 10 AS sb, ({_LINE_TARGET}) {{div}} 10 AS db
-      FROM {{lineitem}} WHERE l_partkey > 0 AND l_returnflag = 'R' AND l_quantity = 50) AS pairs
+FROM (SELECT DISTINCT l_partkey {{div}} 10 AS sb, {_LINE_IMPORT} AS db FROM {{lineitem}}) AS pairs
 WHERE sb > db
 UNION ALL
 SELECT module, 'Ext.Core', FALSE, FALSE, CAST(-1 AS BIGINT) FROM {{modules}} WHERE seq % 5 = 0
@@ -256,31 +260,24 @@ def extract_feed(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def module_feed(tables: dict[str, DataFrame]) -> DataFrame:
-    """Nested module records; a module holds at most one block of declarations."""
-    rows = module_rows(tables)
+    """Nested module records: a module's imports, and its block of declarations."""
     item = [c for c in declaration_rows(tables).columns if c not in ("seq", "module")]
     declarations = declaration_rows(tables).groupBy("module").agg(
         F.array_sort(F.collect_list(F.struct("seq", *item))).alias("d")
     ).select("module", F.transform("d", lambda d: d.dropFields("seq")).alias("declarations"))
-    parts = tables["imports"].withColumn("part", F.floor(F.greatest("pos", F.lit(0)) / _ITEMS))
-    imports = parts.groupBy("module", "part").agg(
+    imports = tables["imports"].groupBy("module").agg(
         F.array_sort(F.collect_list(F.struct("pos", "name", "isPublic", "isDeprecated"))).alias("i")
-    ).select("module", "part", F.transform("i", lambda i: i.dropFields("pos")).alias("imports"))
-    first = rows.join(declarations, "module", "left").withColumn("part", F.lit(0).cast("bigint"))
-    every = first.join(imports, ["module", "part"], "full_outer")
-    return every.filter("path IS NOT NULL").withColumn("namespaces", F.array("module"))
+    ).select("module", F.transform("i", lambda i: i.dropFields("pos")).alias("imports"))
+    every = module_rows(tables).join(declarations, "module", "left").join(imports, "module", "left")
+    return every.withColumn("namespaces", F.array("module"))
 
 
 def raw_sources(tables: dict[str, DataFrame], root: str = "/src") -> DataFrame:
-    """(path, text): one source file per module, rendered from the flat tables.
-
-    Imports beyond the first key range go to extra files with a header only.
-    """
+    """(path, text): one source file per module, rendered from the flat tables."""
     text = F.concat_ws(
         " ", F.when(F.col("isPublic"), F.lit("public")), F.lit("import"), F.col("name")
     )
-    parts = tables["imports"].withColumn("part", F.floor(F.greatest("pos", F.lit(0)) / _ITEMS))
-    imports = parts.groupBy("module", "part").agg(
+    imports = tables["imports"].groupBy("module").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("pos", text.alias("line")))), lambda i: i["line"]
         ), "\n").alias("imports")
@@ -313,12 +310,5 @@ def raw_sources(tables: dict[str, DataFrame], root: str = "/src") -> DataFrame:
         F.concat(F.lit("end "), F.col("module")),
     )
     modules = tables["modules"].join(bodies, "module", "left")
-    first = modules.withColumn("part", F.lit(0).cast("bigint")).join(imports, ["module", "part"], "left")
-    files = first.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), full.alias("text"))
-    more = imports.filter("part > 0").join(tables["modules"].select("module", "path"), "module")
-    extra = more.select(
-        F.concat(F.lit(f"{root}/"), F.regexp_replace("path", r"\.src$", ""), F.lit("/Part"),
-                 F.col("part").cast("string"), F.lit(".src")).alias("path"),
-        F.col("imports").alias("text"),
-    )
-    return files.unionByName(extra)
+    files = modules.join(imports, "module", "left")
+    return files.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), full.alias("text"))

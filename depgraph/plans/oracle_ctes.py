@@ -213,7 +213,7 @@ CTES |= {
         OVER (ORDER BY module, part, i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS o
         FROM bpieces""",
     # ---- rendered sources
-    "file_imports": """SELECT module, count(*) AS n FROM imports WHERE greatest(pos, 0) // 512 = 0 GROUP BY module""",
+    "file_imports": "SELECT module, count(*) AS n FROM imports GROUP BY module",
     "file_decls": """SELECT d.*, '/src/' || d.sourceFile AS path, d.seq % 29 = 0 AS nameless,
         5 + coalesce(i.n, 0) + CASE WHEN m.docstring IS NOT NULL THEN 9 ELSE 0 END
           + CASE WHEN m.isDeprecated THEN 1 ELSE 0 END + 1
@@ -224,9 +224,8 @@ CTES |= {
         FROM declarations d JOIN modules m ON m.module = d.module LEFT JOIN file_imports i ON i.module = d.module""",
     "file_spans": """SELECT *, coalesce(lead(start_line) OVER (PARTITION BY module ORDER BY start_line), n_lines + 1)
         AS end_line FROM file_decls""",
-    "file_paths": """SELECT DISTINCT '/src/' || CASE WHEN greatest(pos, 0) // 512 = 0 THEN m.path
-        ELSE left(m.path, length(m.path) - 4) || '/Part' || CAST(greatest(pos, 0) // 512 AS VARCHAR) || '.src' END AS path,
-        i.module, i.name, i.isPublic FROM imports i JOIN modules m ON m.module = i.module""",
+    "file_paths": """SELECT '/src/' || m.path AS path, i.module, i.name, i.isPublic FROM imports i
+        JOIN modules m ON m.module = i.module""",
 }
 
 _ALL = {**dict.fromkeys(fixture.TABLES), **CTES}
