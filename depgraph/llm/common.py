@@ -38,6 +38,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+class Numbers(dict):
+    """Numbers things in the order they are first looked up."""
+
+    def __missing__(self, thing) -> int:
+        number = self[thing] = len(self)
+        return number
+
+
 def text_tables(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     """The rows of a task in order, as tables of about ``limit`` bytes of text, whole rows each."""
     waiting, held = [], 0

@@ -6,8 +6,10 @@
    answers each list with the totals.
 3. The answers come back to the chunk, are joined to its n-grams and summed for each document.
 
-Lists travel as sorted 56-bit fingerprints, stored as differences, so that a frequent n-gram costs
-one entry a chunk however often it occurs.  All n-grams are counted, none is cut off.
+Lists travel as sorted fingerprints, stored as differences, so that a frequent n-gram costs one entry
+a chunk however often it occurs.  All n-grams are counted, none is cut off.  Fingerprints have 24 bits
+more than it takes to number all n-grams (and 52 at least), so the chance that an n-gram shares its
+fingerprint with another stays below one in ten million at any size, until 64 bits are reached.
 
 A document's own occurrences are taken off every count before it is scored, else each n-gram would
 have been seen and no score would ever back off.
@@ -16,6 +18,7 @@ have been seen and no score would ever back off.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from depgraph.llm.common import prepare, text_tables
-from depgraph.session import materialize
+from depgraph.llm.common import Numbers, prepare, text_tables
+from depgraph.session import new_path
 
 ORDER = 3
 #: Factor of each step back to a shorter history.
 BACKOFF = 0.4
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 #: Entries that a hash bucket holds on average.
-BUCKET_ENTRIES = 3_000_000
-_BITS = np.uint64(56)
+BUCKET_ENTRIES = 2_000_000
+#: Words of a chunk that are scored at a time.
+SLICE_WORDS = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,54 +65,67 @@ def _chunks(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, part in enumerate(text_tables(batches, "text", CHUNK_BYTES)):
-            seen: dict[bytes, int] = {}
+            seen = Numbers()
             streams = []
             for text in part.column("text").to_pylist():
                 words = text.encode().lower().split() if text else []
-                streams.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.uint32, count=len(words)))
+                streams.append(np.fromiter(map(seen.__getitem__, words), dtype=np.uint32, count=len(words)))
             codes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), dtype=np.uint64, count=len(seen))
-            stream = np.concatenate(streams)
-            rank = np.empty(len(codes), dtype=np.uint32)
-            by_count = np.argsort(-np.bincount(stream, minlength=len(codes)), kind="stable")
-            rank[by_count] = np.arange(len(codes), dtype=np.uint32)
+            codes, rank = np.unique(codes, return_inverse=True)
+            stream = rank.astype(np.uint32)[np.concatenate(streams)]
             lengths = np.array(list(map(len, streams)), dtype=np.int64)
             names = part.column("doc_id")
             yield pa.record_batch([
                 pa.array([f"{task}-{number}"]), pa.array([names.to_pylist()], pa.list_(names.type)),
-                pa.array([_squeeze(lengths)], pa.binary()), pa.array([codes[by_count].tobytes()], pa.binary()),
-                pa.array([_squeeze(rank[stream])], pa.binary()),
+                pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(np.diff(codes, prepend=np.uint64(0)))], pa.binary()),
+                pa.array([_squeeze(stream)], pa.binary()),
             ], ["chunk", "doc_ids", "lengths", "codes", "words"])
 
     return docs.select("doc_id", "text").mapInArrow(pack, schema)
 
 
-def _ngrams(lengths: bytes, codes: bytes, words: bytes, order: int):
-    """Lengths of the documents, and for each order the place and the fingerprint of every n-gram."""
-    size = _unsqueeze(lengths, np.int64)
-    code = np.frombuffer(codes, dtype=np.uint64)[_unsqueeze(words, np.uint32)]
-    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    grams = []
+def _stir(mark: np.ndarray, shift: int) -> None:
+    mark ^= mark >> np.uint64(shift)
+    mark *= _MULTIPLIER
+
+
+def _stored_by_chunk(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table bucketed by their name, so that the answers come to them and they never move."""
+    spark = chunks.sparkSession
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = chunks.write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "lm-chunks"))
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
+def _ngrams(size: np.ndarray, codes: bytes, words: bytes, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, one after the other, the place of every n-gram's last word and its fingerprint."""
+    code = np.cumsum(_unsqueeze(codes, np.uint64), dtype=np.uint64)[_unsqueeze(words, np.uint32)]
+    place = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     with np.errstate(over="ignore"):
         for n in range(1, order + 1):
-            at = np.flatnonzero(place >= n - 1)
+            at = np.flatnonzero(place >= n - 1).astype(np.int32)
             mark = np.full(len(at), n, dtype=np.uint64)
             for k in range(n):
-                mark = (mark ^ (mark >> np.uint64(29))) * _MULTIPLIER + code[at - (n - 1) + k]
-            mark = (mark ^ (mark >> np.uint64(32))) * _MULTIPLIER
-            grams.append((at, (mark ^ (mark >> np.uint64(29))) >> (np.uint64(64) - _BITS)))
-    return size, grams
+                _stir(mark, 29)
+                mark += code[at - (n - 1 - k)]
+            _stir(mark, 32)
+            mark ^= mark >> np.uint64(29)
+            mark >>= np.uint64(64 - bits)
+            yield at, mark
 
 
-def _lists(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+def _lists(chunks: DataFrame, order: int, bits: int, buckets: int) -> DataFrame:
     """bucket, chunk, n, marks, times: the distinct n-grams of every chunk with their counts."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, grams = _ngrams(row["lengths"], row["codes"], row["words"], order)
-                for n, (_, mark) in enumerate(grams, 1):
+                size = _unsqueeze(row["lengths"], np.int64)
+                for n, (_, mark) in enumerate(_ngrams(size, row["codes"], row["words"], order, bits), 1):
                     own, times = np.unique(mark, return_counts=True)
-                    bucket = ((own >> (_BITS - np.uint64(24))) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                    bucket = ((own >> np.uint64(bits - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
                     edge = np.searchsorted(bucket, np.arange(buckets + 1))
                     out = {"bucket": [], "chunk": [], "n": [], "marks": [], "times": []}
                     for b in np.flatnonzero(np.diff(edge)).tolist():
@@ -143,34 +160,43 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _score(chunk: pd.DataFrame, answers: pd.DataFrame, order: int, words_of_all: int) -> pd.DataFrame:
+def _score(chunk: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int, words_of_all: int) -> pd.DataFrame:
     """Log scores of the documents of a chunk."""
     row = chunk.iloc[0]
-    size, grams = _ngrams(row["lengths"], row["codes"], row["words"], order)
-    doc = np.repeat(np.arange(len(size)), size)
-    rest = words_of_all - size[doc]
-    seen = [rest.astype(np.float64)]  # occurrences elsewhere of the n-gram that ends here, by order
-    for n, (at, mark) in enumerate(grams, 1):
-        parts = answers[answers["n"] == n].sort_values("bucket")["totals"]
-        count = np.zeros(len(doc))
+    size = _unsqueeze(row["lengths"], np.int64)
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    logs, before = np.zeros(len(doc)), np.zeros(len(doc))
+    full = np.zeros(len(doc), dtype=bool)
+    ends = np.cumsum(size)
+    parts_of_chunk = np.flatnonzero(np.diff(ends // SLICE_WORDS, append=-1))  # documents that end a slice
+    docs_edge = np.concatenate([[0], ends[parts_of_chunk]])
+    for n, (at, mark) in enumerate(_ngrams(size, row["codes"], row["words"], order, bits), 1):
+        seen = np.zeros(len(doc))  # occurrences elsewhere of the n-gram that ends here
         if len(at):
-            totals = np.concatenate([_unsqueeze(t, np.uint64) for t in parts]).astype(np.int64)
-            names, which = np.unique(mark, return_inverse=True)
-            _, pair, times = np.unique(which * len(size) + doc[at], return_inverse=True, return_counts=True)
-            count[at] = totals[which] - times[pair]
-        seen.append(count)
-    logs = np.log(np.where(seen[1] > 0, seen[1], 1.0) / np.where(seen[1] > 0, np.maximum(rest, 1), rest + 1))
-    depth = np.where(seen[1] > 0, 1, 0)
-    for n in range(2, order + 1):
-        at = grams[n - 1][0]
-        history = seen[n - 1][at - 1]
-        found = seen[n][at] > 0
-        logs[at] = np.where(found, np.log(np.where(found, seen[n][at], 1.0) / np.where(found, history, 1.0)), math.log(BACKOFF) + logs[at])
-        depth[at] = np.where(found, n, depth[at])
+            parts = answers[answers["n"] == n].sort_values("bucket")["totals"]
+            totals = np.concatenate([_unsqueeze(t, np.uint64) for t in parts]).astype(np.float64)
+            which = np.unique(mark, return_inverse=True)[1]
+            del mark
+            for low in range(0, len(docs_edge) - 1):
+                a, b = np.searchsorted(at, docs_edge[low:low + 2])
+                pair = which[a:b] * len(size) + doc[at[a:b]]
+                _, own, times = np.unique(pair, return_inverse=True, return_counts=True)
+                seen[at[a:b]] = totals[which[a:b]] - times[own]
+            del which, totals
+        found = seen[at] > 0
+        if n == 1:
+            rest = (words_of_all - size)[doc].astype(np.float64)
+            logs[at] = np.where(found, np.log(np.maximum(seen[at], 1) / np.maximum(rest, 1)), -np.log(rest + 1))
+        else:
+            ratio = np.maximum(seen[at], 1) / np.maximum(before[at - 1], 1)
+            logs[at] = np.where(found, np.log(ratio), math.log(BACKOFF) + logs[at])
+        if n == order:
+            full[at] = found
+        before = seen
     return pd.DataFrame({
         "doc_id": list(row["doc_ids"]), "n_words": size,
         "log_score": np.bincount(doc, weights=logs, minlength=len(size)),
-        "n_full": np.bincount(doc, weights=depth == order, minlength=len(size)).astype(np.int64),
+        "n_full": np.bincount(doc, weights=full, minlength=len(size)).astype(np.int64),
     })
 
 
@@ -187,17 +213,17 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     empty result.
     """
     prepare(docs.sparkSession)
-    chunks = materialize(_chunks(docs), "lm-chunks")
+    chunks = _stored_by_chunk(_chunks(docs))
     counted = chunks.mapInArrow(_sizes, "words long").agg(F.sum("words")).first()[0] or 0
     buckets = max(1, math.ceil(counted * (order - 1) / BUCKET_ENTRIES))
     reply = "chunk string, bucket long, n long, totals binary"
-    answers = _lists(chunks, order, buckets).groupBy("bucket").applyInPandas(_count, reply)
+    bits = min(64, max(52, math.ceil(math.log2(max(2, counted * order))) + 24))
+    answers = _lists(chunks, order, bits, buckets).groupBy("bucket").applyInPandas(_count, reply)
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType)])
     schema = schema.add("n_words", LongType()).add("log_score", "double").add("n_full", LongType())
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        lambda chunk, answer: _score(chunk, answer, order, counted), schema
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda chunk, answer: _score(chunk, answer, order, bits, counted), schema
     )
-    return scored
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
