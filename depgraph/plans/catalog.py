@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depgraph import schemas
 from depgraph.functions import checks
 from depgraph.functions import columns as C
 from depgraph.operators import blocks as B
@@ -69,6 +70,24 @@ def _relations(w: Workspace) -> DataFrame:
 
 # ---- sources and sinks ---------------------------------------------------------------------
 
+@query("S1_scan_sources", """SELECT 'a + b%20' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Größe' ELSE '+' END AS label,
+    'nation ' || CAST(s_nationkey AS VARCHAR) || chr(10) || 'é' || chr(10) AS text FROM supplier WHERE s_suppkey % 5 <> 3""")
+def _(w):
+    """Text files with blanks, plus and percent signs in their paths; those in a build folder are left out."""
+    folder = new_path(w.spark, "tree")
+    key = F.col("s_suppkey")
+    sources = _table(w.spark, w.sf_dir, "supplier").select(
+        F.concat(F.lit("a + b%20"), "s_name", F.when(key % 2 == 0, " Größe").otherwise("+")).alias("label"),
+        F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"), F.lit("\né")).alias("text"),
+        (key % 5 == 3).alias("skip"),
+    )
+    sources.filter("NOT skip").drop("skip").write.partitionBy("label").text(f"{folder}/src")
+    sources.filter("skip").drop("skip").write.partitionBy("label").text(f"{folder}/src/.lake/more")
+    found = files.scan_sources(w.spark, f"{folder}/src", ".txt")
+    label = F.url_decode(F.replace(F.regexp_extract("path", "/label=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    return found.select(label.alias("label"), "text")
+
+
 @query("S2_read_modules", """SELECT m.module, m.path, m.title, m.isDeprecated,
     coalesce(d.n, 0) AS declarations, coalesce(i.n, 0) AS imports FROM modules m
     LEFT JOIN (SELECT module, count(*) AS n FROM declarations GROUP BY module) d ON d.module = m.module
@@ -109,9 +128,16 @@ def _(w):
     return E.explode_deps(records).select("seq", "src", "dst", "inType", "inValue")
 
 
-@query("S6_topic_dim", "SELECT CAST(priority AS BIGINT) AS priority, id, label, y, color FROM topics")
+@query("S6_topic_dim", """SELECT CAST(r_regionkey AS BIGINT) AS priority, r_name AS id, 'Topic ' || r_name AS label,
+    10.0::DOUBLE * r_regionkey AS y, '#00000' || CAST(r_regionkey AS VARCHAR) AS color FROM region
+    UNION ALL SELECT max(r_regionkey) + 1, '_default', 'Other', 140.0::DOUBLE, '#202020' FROM region""")
 def _(w):
-    return w.topics
+    key = F.col("r_regionkey")
+    return files.topic_table(_table(w.spark, w.sf_dir, "region").select(
+        key.cast("bigint").alias("priority"), F.col("r_name").alias("id"),
+        F.concat(F.lit("Topic "), "r_name").alias("label"), (key * F.lit(10.0)).alias("y"),
+        F.concat(F.lit("#00000"), key.cast("string")).alias("color"),
+    ))
 
 
 @query("S7_write_modules_jsonl", "SELECT count(*) AS written FROM modules")
@@ -195,6 +221,49 @@ def _(w):
         JOIN kg_declarations n ON n.name = d.src GROUP BY n.kind, d.context""")
 
 
+def _unnumbered(w: Workspace) -> tuple[str, str]:
+    """Both feeds as JSON files without numbers, some names declared again in later records."""
+    modules = fixture.written_in_order(
+        fixture.module_feed(w.tables), "seq", new_path(w.spark, "modules"), fixture.repeated_modules(w.tables)
+    )
+    return modules, fixture.written_in_order(fixture.extract_feed(w.tables), "seq", new_path(w.spark, "records"))
+
+
+_AGAIN = "n.name IN (SELECT name FROM declarations WHERE seq % 90 = 1)"
+_FEED_NODES = f"""SELECT n.name, CASE WHEN {_AGAIN} THEN 'def' ELSE n.kind END AS kind, n.isExternal, n.module,
+    n.typeSignature, CASE WHEN {_AGAIN} THEN 'Definition' ELSE n.label END AS label,
+    CASE WHEN {_AGAIN} THEN 'again' ELSE n.docstring END AS docstring FROM nodes n"""
+
+
+def _feed_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("name", "kind", "isExternal", "module", "typeSignature", "label", "docstring")
+
+
+@query("S18_feed_order_nodes", _FEED_NODES)
+def _(w):
+    """The node table from written files: the last record of the feed wins, whatever order Spark reads them in."""
+    modules, records = _unnumbered(w)
+    read, _bad = files.read_modules(w.spark, modules)
+    extract, _skipped = files.read_extract(w.spark, records)
+    return _feed_nodes(build.declaration_nodes(E.flatten(read, extract)))
+
+
+@query("S19_feed_order_edges", """SELECT 'depends' AS edge, src, dst, context AS flag FROM depends
+    UNION ALL SELECT 'import', module, name, CASE WHEN arg_max(isPublic, pos) THEN 'public' ELSE '' END
+    FROM imports GROUP BY module, name""")
+def _(w):
+    modules, records = _unnumbered(w)
+    read, _bad = files.read_modules(w.spark, modules)
+    feeds = E.flatten(read, files.read_extract_loose(w.spark, records))
+    depends = build.depends_on(feeds, build.declaration_nodes(feeds).select("name"))
+    imports = build.import_edges(feeds.imports)
+    return depends.select(F.lit("depends").alias("edge"), "src", "dst", F.col("context").alias("flag")).unionByName(
+        imports.select(
+            F.lit("import").alias("edge"), "src", "dst", F.when(F.col("isPublic"), "public").otherwise("").alias("flag")
+        )
+    )
+
+
 @query("S17_verify_store", "SELECT count(*) AS stored, count(*) AS expected, TRUE AS matches FROM mnodes")
 def _(w):
     return store.verify_store(store.read_map(w.spark, w.stored_map).nodes, w.module_graph.modules)
@@ -992,11 +1061,12 @@ def _(w):
 
 # ---- streaming ------------------------------------------------------------------------------------------------------------------
 
-@query("ST1_incremental_load", """SELECT name, kind, isExternal, module, typeSignature, label FROM nodes""")
+@query("ST1_incremental_load", _FEED_NODES)
 def _(w):
-    source = new_path(w.spark, "arriving")
-    fixture.extract_feed(w.tables).repartition(4).write.json(source)
+    """The same end state as a batch load, from a stream over files that carry no numbers."""
+    modules, records = _unnumbered(w)
+    read, _bad = files.read_modules(w.spark, modules)
     base, checkpoint = new_path(w.spark, "landed"), new_path(w.spark, "progress")
-    incremental.land(w.spark, source, base, checkpoint, files_per_batch=2).awaitTermination()
-    nodes = build.declaration_nodes(incremental.landed(w.spark, base, w.feeds))
-    return nodes.select("name", "kind", "isExternal", "module", "typeSignature", "label")
+    incremental.land(w.spark, records, base, checkpoint, files_per_batch=2).awaitTermination()
+    modules_only = E.flatten(read, w.spark.createDataFrame([], schemas.EXTRACT_FEED))
+    return _feed_nodes(build.declaration_nodes(incremental.landed(w.spark, base, modules_only)))

@@ -161,7 +161,9 @@ WHERE sb > db
 UNION ALL
 SELECT module, 'Ext.Core', FALSE, FALSE, CAST(-1 AS BIGINT) FROM {{modules}} WHERE seq % 5 = 0
 UNION ALL
-SELECT module, module, FALSE, FALSE, CAST(-2 AS BIGINT) FROM {{modules}} WHERE seq % 11 = 0"""
+SELECT module, module, FALSE, FALSE, CAST(-2 AS BIGINT) FROM {{modules}} WHERE seq % 11 = 0
+UNION ALL
+SELECT module, 'Ext.Größe.Ω1', TRUE, FALSE, CAST(-3 AS BIGINT) FROM {{modules}} WHERE seq % 6 = 1"""
 
 _EXTENDS = f"""
 SELECT 4 * pk AS seq, name AS src, CASE WHEN pk % 31 <> 0 THEN module END AS module,
@@ -272,6 +274,32 @@ def module_feed(tables: dict[str, DataFrame]) -> DataFrame:
     return every.withColumn("namespaces", F.array("module"))
 
 
+def repeated_modules(tables: dict[str, DataFrame]) -> DataFrame:
+    """Later module records that declare some of the names once more, first in their list and of another kind."""
+    item = ("name", "shortName", "kind", "namespace", "sourceFile", "startLine", "endLine", "sourceText", "docstring")
+    again = tables["declarations"].filter("seq % 90 = 1").selectExpr(
+        "concat('Again.M', seq) AS module", "concat('Again/M', seq, '.src') AS path",
+        "named_struct('name', name, 'shortName', shortName, 'kind', 'def', 'namespace', namespace, 'sourceFile', "
+        "sourceFile, 'startLine', 1L, 'endLine', 2L, 'sourceText', 'again', 'docstring', 'again') AS d",
+    )
+    return again.select("module", "path", F.array(F.struct(*(f"d.{name}" for name in item))).alias("declarations"))
+
+
+def written_in_order(feed: DataFrame, key: str, folder: str, later: DataFrame | None = None) -> str:
+    """Writes a feed without its numbers as JSON files of unlike size, in the order of ``key``.
+
+    Returns a pattern for all files; their paths, and the times they are written, follow the order.
+    """
+    last = feed.agg(F.max(key)).first()[0] or 0
+    cuts = [-1, last // 40, last // 4, last // 3, last]
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = feed.filter(F.col(key).between(low + 1, high)).repartitionByRange(3, key).sortWithinPartitions(key)
+        part.drop("seq").write.json(f"{folder}/{number:03d}")
+    if later is not None:
+        later.coalesce(1).write.json(f"{folder}/900")
+    return f"{folder}/*"
+
+
 def raw_sources(tables: dict[str, DataFrame], root: str = "/src") -> DataFrame:
     """(path, text): one source file per module, rendered from the flat tables."""
     text = F.concat_ws(

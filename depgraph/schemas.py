@@ -21,7 +21,7 @@ DECLARATION_ITEM = _struct(
 )
 
 MODULE_FEED = _struct(
-    module=_STRING, path=_STRING, docstring=_STRING, title=_STRING,
+    seq=_LONG, module=_STRING, path=_STRING, docstring=_STRING, title=_STRING,
     tags=T.ArrayType(_STRING), authors=T.ArrayType(_STRING), isDeprecated=_BOOL,
     imports=T.ArrayType(IMPORT_ITEM), namespaces=T.ArrayType(_STRING),
     declarations=T.ArrayType(DECLARATION_ITEM),
@@ -44,5 +44,11 @@ DECLARATION_REQUIRED = (
     "name", "shortName", "kind", "namespace", "sourceFile", "startLine", "endLine", "sourceText",
 )
 EXTRACT_REQUIRED = ("name", "typeSignature")
+# Fields that every item of a list must have for its record to be readable.
+MODULE_ITEMS_REQUIRED = {"declarations": DECLARATION_REQUIRED, "imports": ("name",)}
+EXTRACT_ITEMS_REQUIRED = {
+    "deps": ("name",), "extends": ("parent", "position"), "fields": ("name", "position"),
+    "constructors": ("name", "position"),
+}
 
 TOPIC = _struct(priority=_LONG, id=_STRING, label=_STRING, y=T.DoubleType(), color=_STRING)

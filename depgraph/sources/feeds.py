@@ -22,6 +22,7 @@ class Feeds:
     namespaces    namespace                      (declared and of declarations)
     imports       module, name, isPublic, isDeprecated, pos
     declarations  seq, module + the declaration columns
+                  (seq and pos: any type whose order is the order of the feed)
     extract       seq, name, typeSignature, module, instantiates, instancePriority,
                   hasDeprecatedBy, replacement, message, since, additiveVersion,
                   nExtends, nConstructors
@@ -44,17 +45,28 @@ class Feeds:
         return Feeds(**{f.name: change(f.name, getattr(self, f.name)) for f in fields(self)})
 
 
+def _feed_number(modules: DataFrame) -> Column:
+    """The record's number; rows made by hand without one are put in an order of their own."""
+    drawn = F.xxhash64("module", "path")
+    return F.coalesce(F.col("seq"), drawn) if "seq" in modules.columns else drawn
+
+
+def _order() -> Column:
+    """Place in the feed: the record, then the item in its list."""
+    return F.struct("feed", F.col("pos").cast("bigint").alias("pos"))
+
+
 def explode_declarations(modules: DataFrame) -> DataFrame:
-    """module.declarations[] -> one row per declaration with its owning module."""
-    items = modules.select("module", F.posexplode("declarations").alias("pos", "d"))
-    return items.select("module", F.col("pos").cast("bigint").alias("seq"), "d.*")
+    """module.declarations[] -> one row per declaration with its owning module and its place in the feed."""
+    feed = _feed_number(modules).alias("feed")
+    items = modules.select("module", feed, F.posexplode("declarations").alias("pos", "d"))
+    return items.select("module", _order().alias("seq"), "d.*")
 
 
 def explode_imports(modules: DataFrame) -> DataFrame:
-    items = modules.select("module", F.posexplode("imports").alias("pos", "i"))
-    return items.select(
-        "module", "i.name", "i.isPublic", "i.isDeprecated", F.col("pos").cast("bigint").alias("pos")
-    )
+    feed = _feed_number(modules).alias("feed")
+    items = modules.select("module", feed, F.posexplode("imports").alias("pos", "i"))
+    return items.select("module", "i.name", "i.isPublic", "i.isDeprecated", _order().alias("pos"))
 
 
 def explode_namespaces(modules: DataFrame) -> DataFrame:
@@ -112,10 +124,9 @@ def extract_scalars(extract: DataFrame) -> DataFrame:
 
 def flatten(modules: DataFrame, extract: DataFrame) -> Feeds:
     """Flat tables of two nested feeds."""
-    rank = F.xxhash64("module", "path") if "seq" not in modules.columns else F.col("seq")
     return Feeds(
         modules=modules.select(
-            rank.alias("seq"), "module", "path", "docstring", "title", "tags", "authors",
+            _feed_number(modules).alias("seq"), "module", "path", "docstring", "title", "tags", "authors",
             "isDeprecated",
         ),
         namespaces=explode_namespaces(modules),

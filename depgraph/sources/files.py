@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depgraph import schemas
-from depgraph.session import materialize, materialize_with
+from depgraph.operators.ranking import dense_index
+from depgraph.session import file_system, materialize, materialize_with
 
 MAX_BAD_LINES = 100
-_BAD = "_bad"
+_BAD = CORRUPT = "_bad"
+_PLACE = ("_file", "_block", "_row")
+# A feed number is the rank of the file block shifted by this many bits, plus the row in the scan task.
+_ROW_BITS = 33
 
 # The built-in topic table (id, label, band y, color) in priority order.
 DEFAULT_TOPICS = (
@@ -52,15 +56,35 @@ class TooManyBadLines(RuntimeError):
     """The module feed holds too many undecodable lines to be trusted."""
 
 
+class HiddenFiles(RuntimeError):
+    """A source folder holds files that Spark's file listing passes over."""
+
+
+def _hidden_sources(spark: SparkSession, root: str, suffix: str, skip_part: str) -> list[str]:
+    """Source files that Spark does not list: their own name, or a folder's, starts with ``_`` or ``.``."""
+    top, files = file_system(spark, root)
+    prefix = files.getFileStatus(top).getPath().toString().rstrip("/") + "/"
+    found, hidden = files.listFiles(top, True), []
+    while found.hasNext():
+        parts = found.next().getPath().toString().removeprefix(prefix).split("/")
+        if parts[-1].endswith(suffix) and skip_part not in parts and any(p[0] in "_." for p in parts):
+            hidden.append("/".join(parts))
+    return hidden
+
+
 def scan_sources(
-    spark: SparkSession, root: str, glob: str = "*.src", skip_part: str = ".lake"
+    spark: SparkSession, root: str, suffix: str = ".src", skip_part: str = ".lake"
 ) -> DataFrame:
-    """Every file under ``root`` matching ``glob`` as one row (path, text).
+    """Every file under ``root`` whose name ends in ``suffix`` as one row (path, text).
 
-    Files below a directory called ``skip_part`` are left out.
+    Files below a directory called ``skip_part`` are left out.  Spark passes over names that start with
+    ``_`` or ``.``; a source file among them is an error, so that none is missed unseen.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
+    if hidden := _hidden_sources(spark, root, suffix, skip_part):
+        raise HiddenFiles(f"rename {len(hidden)} files that would not be read, such as {hidden[0]}")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    path = F.regexp_replace(F.url_decode(encoded), "^file:/+", "/")
     return files.select(path.alias("path"), F.col("value").alias("text")).filter(
         ~F.array_contains(F.split("path", "/"), skip_part)
     )
@@ -79,12 +103,23 @@ def _defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*columns)
 
 
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+
+
+def place_columns() -> list[Column]:
+    """Where a scanned row stands: its file, the block of the file, and (scan order only) the row."""
+    return [
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    ]
+
+
 def _scan_json(spark: SparkSession, path, schema: T.StructType, mode: str) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    reader = spark.read.schema(full if mode == "PERMISSIVE" else schema).option("mode", mode)
+    reader = spark.read.schema(with_corrupt(schema) if mode == "PERMISSIVE" else schema).option("mode", mode)
     if mode == "PERMISSIVE":
         reader = reader.option("columnNameOfCorruptRecord", _BAD)
-    return reader.option("lineSep", "\n").json(path)
+    return reader.option("lineSep", "\n").json(path).select("*", *place_columns())
 
 
 def _lacks(required: Sequence[str]) -> Column:
@@ -94,61 +129,87 @@ def _lacks(required: Sequence[str]) -> Column:
     return missing
 
 
-def _lacks_in_declarations() -> Column:
+def _lacks_in_items(array: str, required: Sequence[str]) -> Column:
     def incomplete(item: Column) -> Column:
         missing = item.isNull()
-        for name in schemas.DECLARATION_REQUIRED:
+        for name in required:
             missing = missing | item[name].isNull()
         return missing
 
-    return F.coalesce(F.exists("declarations", incomplete), F.lit(False))
+    return F.coalesce(F.exists(array, incomplete), F.lit(False))
+
+
+def _bad_module() -> Column:
+    bad = _lacks(schemas.MODULE_REQUIRED)
+    for array, required in schemas.MODULE_ITEMS_REQUIRED.items():
+        bad = bad | _lacks_in_items(array, required)
+    return bad
+
+
+def bad_record() -> Column:
+    """True where a declaration record, or an item of its lists, lacks a required field."""
+    bad = _lacks(schemas.EXTRACT_REQUIRED)
+    for array, required in schemas.EXTRACT_ITEMS_REQUIRED.items():
+        bad = bad | _lacks_in_items(array, required)
+    return bad
+
+
+def in_feed_order(table: DataFrame, first_block: int = 0) -> DataFrame:
+    """Gives every row of a stored scan its feed number, ``seq``, unless the record brings its own.
+
+    Numbers follow the path of the file, then the block in the file, then the row; how Spark packed
+    the blocks into tasks has no influence on the order.
+    """
+    blocks = dense_index(table.select(*_PLACE[:2]).distinct(), _PLACE[:2], "_rank")
+    row = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    number = F.shiftleft(F.col("_rank") + F.lit(first_block).cast("bigint"), _ROW_BITS) + row
+    own = F.col("seq") if "seq" in table.columns else F.lit(None).cast("bigint")
+    return table.join(blocks, list(_PLACE[:2])).withColumn("seq", F.coalesce(own, number)).drop(*_PLACE, "_rank")
+
+
+def next_block(last_number: int | None) -> int:
+    """First rank for blocks that come after the row with this number."""
+    return 0 if last_number is None else (last_number >> _ROW_BITS) + 1
 
 
 def _split_bad(scanned: DataFrame, schema: T.StructType, is_bad: Column) -> tuple[DataFrame, int]:
     """Good rows and the number of bad ones; the text is decoded once and kept as Parquet."""
     flagged = scanned.withColumn("_is_bad", F.col(_BAD).isNotNull() | is_bad)
     table, counts = materialize_with(flagged, "feed", bad=F.count_if("_is_bad"))
-    good = table.filter("NOT _is_bad").drop("_is_bad", _BAD)
+    good = in_feed_order(table.filter("NOT _is_bad").drop("_is_bad", _BAD))
     return _defaults(good, schema), counts["bad"]
 
 
-def _with_seq(scanned: DataFrame) -> DataFrame:
-    """Feed order: the record's own number, else its place in the scan."""
-    return scanned.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
-
-
-def read_modules(spark: SparkSession, path) -> tuple[DataFrame, int]:
-    """Module feed and its count of bad lines; too many bad lines are an error."""
+def read_modules(spark: SparkSession, path, max_bad: int = MAX_BAD_LINES) -> tuple[DataFrame, int]:
+    """Module feed, numbered in feed order, and its count of bad lines; ``max_bad`` of them are an error."""
     scanned = _scan_json(spark, path, schemas.MODULE_FEED, "PERMISSIVE")
-    is_bad = _lacks(schemas.MODULE_REQUIRED) | _lacks_in_declarations()
-    good, bad = _split_bad(scanned, schemas.MODULE_FEED, is_bad)
-    if bad >= MAX_BAD_LINES:
+    good, bad = _split_bad(scanned, schemas.MODULE_FEED, _bad_module())
+    if bad >= max_bad:
         raise TooManyBadLines(f"module feed: {bad} bad lines, aborting")
     return good, bad
 
 
 def read_modules_strict(spark: SparkSession, path) -> DataFrame:
-    """Module feed in which the first bad line is fatal when rows are read."""
+    """Module feed in which the first bad line is fatal."""
     scanned = _scan_json(spark, path, schemas.MODULE_FEED, "FAILFAST")
     checked = F.when(
-        _lacks(schemas.MODULE_REQUIRED) | _lacks_in_declarations(),
-        F.raise_error(F.lit("module record lacks a required field")).cast("string"),
+        _bad_module(), F.raise_error(F.lit("module record lacks a required field")).cast("string")
     ).otherwise(F.col("module"))
-    return _defaults(scanned.withColumn("module", checked), schemas.MODULE_FEED)
+    return _defaults(in_feed_order(materialize(scanned.withColumn("module", checked), "feed")), schemas.MODULE_FEED)
 
 
 def read_extract(spark: SparkSession, path) -> tuple[DataFrame, int]:
-    """Declaration feed and its count of skipped lines."""
-    scanned = _with_seq(_scan_json(spark, path, schemas.EXTRACT_FEED, "PERMISSIVE"))
-    return _split_bad(scanned, schemas.EXTRACT_FEED, _lacks(schemas.EXTRACT_REQUIRED))
+    """Declaration feed, numbered in feed order, and its count of skipped lines."""
+    scanned = _scan_json(spark, path, schemas.EXTRACT_FEED, "PERMISSIVE")
+    return _split_bad(scanned, schemas.EXTRACT_FEED, bad_record())
 
 
 def read_extract_loose(spark: SparkSession, path) -> DataFrame:
     """Declaration feed with bad bytes replaced and undecodable lines dropped silently."""
-    lines = spark.read.text(path, lineSep="\n")
+    lines = spark.read.text(path, lineSep="\n").select("value", *place_columns())
     decoded = F.from_json(F.make_valid_utf8("value"), schemas.EXTRACT_FEED)
-    records = _with_seq(lines.select(decoded.alias("r")).select("r.*").filter("name IS NOT NULL"))
-    return materialize(_defaults(records, schemas.EXTRACT_FEED), "feed")
+    records = lines.select(decoded.alias("r"), *_PLACE).select("r.*", *_PLACE).filter("name IS NOT NULL")
+    return _defaults(in_feed_order(materialize(records, "feed")), schemas.EXTRACT_FEED)
 
 
 def topic_dim(spark: SparkSession, rows=None) -> DataFrame:
@@ -160,6 +221,15 @@ def topic_dim(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(data, schemas.TOPIC)
 
 
+def topic_table(topics: DataFrame) -> DataFrame:
+    """A stored topic table (priority, id, label, y, color) as a dimension: a default row is added if it has none."""
+    spark = topics.sparkSession
+    default = spark.createDataFrame([DEFAULT_TOPIC], "id string, label string, y double, color string")
+    added = default.join(topics.select("id"), "id", "left_anti").join(topics.agg(F.max("priority").alias("p")))
+    known = topics.select(*(F.col(f.name).cast(f.dataType) for f in schemas.TOPIC))
+    return known.unionByName(added.select((F.coalesce("p", F.lit(-1)) + 1).cast("bigint").alias("priority"), "id", "label", "y", "color"))
+
+
 def write_modules_jsonl(modules: DataFrame, path: str) -> int:
     """Write one JSON object per module; returns the number written."""
     written = Observation()
