@@ -7,6 +7,10 @@ an upper bound for every block of documents.  The blocks with the highest bounds
 set the threshold; of the rest only blocks whose bound reaches it are scored.  The best k of each
 shard are merged by query.
 
+Terms that a good part of a shard's documents have would never be skipped for long queries.  They are
+kept as rows of a matrix and added for many queries in one product; a block's bound then holds the
+greatest such sum in the block, which is tighter than the sum of the terms' maxima.
+
 Contributions are whole numbers (millionths), so scores do not depend on the order of additions.
 """
 
@@ -25,15 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from depgraph.llm.common import prepare, text_tables
+from depgraph.llm.common import Numbers, prepare, text_tables
 from depgraph.session import materialize
 
 K1, B = 1.2, 0.75
 UNIT = 1e6
 SHARD_BYTES = 16 << 20
+SHARD_DOCS = 1 << 13
+#: Part of a shard's documents from which a term is kept as a row.
+FREQUENT = 1 / 16
 #: Documents of a block; blocks scored before the threshold is set; terms of a block of queries.
-BLOCK_DOCS = 64
-LEAD_BLOCKS = 4
+BLOCK_DOCS = 128
+LEAD_BLOCKS = 2
 QUERY_TERMS = 2_000_000
 
 
@@ -63,16 +70,15 @@ def build_index(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[bytes, int] = {}
         for part in text_tables(batches, "text", SHARD_BYTES):
-            for a in range(0, part.num_rows, 1 << 16):
-                piece = part.slice(a, 1 << 16)
-                number, owner, which, times, lengths = {}, [], [], [], []
+            for a in range(0, part.num_rows, SHARD_DOCS):
+                piece = part.slice(a, SHARD_DOCS)
+                number, owner, which, times, lengths = Numbers(), [], [], [], []
                 for i, text in enumerate(piece.column("text").to_pylist()):
                     counts = Counter(_words(text))
                     lengths.append(counts.total())
                     owner.append(np.full(len(counts), i, dtype=np.uint16))
-                    which.append(np.fromiter((number.setdefault(w, len(number)) for w in counts), dtype=np.int64, count=len(counts)))
+                    which.append(np.fromiter(map(number.__getitem__, counts), dtype=np.int64, count=len(counts)))
                     times.append(np.minimum(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), 65535).astype(np.uint16))
                 code = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
                 by_code = np.argsort(code)
@@ -158,45 +164,65 @@ def contributions(idf: np.ndarray, times: np.ndarray, lengths: np.ndarray, mean:
 
 
 class _Shard:
-    """Postings of the wanted terms of one shard, with their contributions and block maxima."""
+    """The wanted terms of one shard: frequent ones as rows, the others as postings with block maxima."""
 
     def __init__(self, row: dict, wanted: np.ndarray, idf: np.ndarray, mean: float):
         own = _unpack(row, _INDEX)
         self.doc_ids = own["doc_ids"]
+        self.size = len(self.doc_ids)
         have, at = _match(own["terms"], wanted)
-        first, last = own["edges"][at], own["edges"][at + 1]
-        size = last - first
-        picked = _spread(first, size)
-        self.docs = own["docs"][picked].astype(np.int64)
-        term = np.repeat(np.arange(len(have)), size)
-        self.scores = contributions(idf[have][term], own["times"][picked].astype(np.float64), own["lengths"][self.docs].astype(np.float64), mean)
-        self.blocks = -(-len(self.doc_ids) // BLOCK_DOCS)
-        key = term * self.blocks + self.docs // BLOCK_DOCS
+        first, count = own["edges"][at], own["edges"][at + 1] - own["edges"][at]
+        frequent = count >= max(2, self.size * FREQUENT)
+
+        def postings(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            picked = _spread(first[kept], count[kept])
+            docs = own["docs"][picked].astype(np.int64)
+            scores = contributions(
+                np.repeat(idf[have[kept]], count[kept]), own["times"][picked].astype(np.float64),
+                own["lengths"][docs].astype(np.float64), mean,
+            )
+            return np.repeat(np.arange(int(kept.sum())), count[kept]), docs, scores
+
+        term, docs, scores = postings(frequent)
+        self.rows = np.zeros((int(frequent.sum()), self.size))
+        self.rows[term, docs] = scores
+        self.row_of = np.full(len(wanted), -1, dtype=np.int64)
+        self.row_of[have[frequent]] = np.arange(len(self.rows))
+        term, self.docs, self.scores = postings(~frequent)
+        self.blocks = np.arange(0, self.size, BLOCK_DOCS)
+        key = term * (len(self.blocks) + 1) + self.docs // BLOCK_DOCS
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-        self.entry_block = (key[start] % max(1, self.blocks)).astype(np.int64)
+        self.entry_block = key[start] % (len(self.blocks) + 1)
         self.entry_start, self.entry_size = start, np.diff(np.append(start, len(key)))
         self.entry_most = np.maximum.reduceat(self.scores, start) if len(start) else np.zeros(0)
-        place = np.full(len(wanted), -1, dtype=np.int64)
-        place[have] = np.arange(len(have))
-        self.place = place
-        self.term_edge = np.searchsorted(key[start] // max(1, self.blocks), np.arange(len(have) + 1))
-
-    def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the best k documents for the wanted terms with these numbers."""
+        self.place = np.full(len(wanted), -1, dtype=np.int64)
+        self.place[have[~frequent]] = np.arange(int((~frequent).sum()))
+        self.term_edge = np.searchsorted(term[start], np.arange(int((~frequent).sum()) + 1))
+
+    def top(self, queries: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """doc_ids and scores of the best k documents for each query, a list of numbers of wanted terms."""
+        chosen = np.zeros((len(queries), len(self.rows)))
+        for i, terms in enumerate(queries):
+            row = self.row_of[terms]
+            chosen[i, row[row >= 0]] = 1
+        sums = chosen @ self.rows  # whole numbers below 2 ** 53, so exact in any order
+        return [self._best(score, terms, k) for score, terms in zip(sums, queries)]
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         own = self.place[terms]
         own = own[own >= 0]
         entries = _spread(self.term_edge[own], self.term_edge[own + 1] - self.term_edge[own])
         block = self.entry_block[entries]
-        bound = np.bincount(block, weights=self.entry_most[entries], minlength=self.blocks)
-        lead = np.zeros(self.blocks, dtype=bool)
+        bound = np.maximum.reduceat(score, self.blocks)
+        bound = bound + np.bincount(block, weights=self.entry_most[entries], minlength=len(bound))
+        lead = np.zeros(len(bound), dtype=bool)
         lead[np.argsort(-bound, kind="stable")[:LEAD_BLOCKS]] = True
-        score = self._add(entries[lead[block]])
-        best = score[score > 0]
+        score = score + self._add(entries[lead[block]])
+        best = score[np.repeat(lead, BLOCK_DOCS)[:self.size]]
         least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-        more = ~lead[block] & (bound[block] >= least)
-        if more.any():
-            score += self._add(entries[more])
-        found = np.flatnonzero(score > max(0.0, least - 0.5))
+        more = ~lead & (bound >= max(least, 1.0))
+        score += self._add(entries[more[block]])
+        found = np.flatnonzero(np.repeat(lead | more, BLOCK_DOCS)[:self.size] & (score >= max(least, 1.0)))
         if len(found) > k:
             cut = np.partition(score[found], -k)[-k]
             found = found[score[found] >= cut]
@@ -205,7 +231,7 @@ class _Shard:
 
     def _add(self, entries: np.ndarray) -> np.ndarray:
         at = _spread(self.entry_start[entries], self.entry_size[entries])
-        return np.bincount(self.docs[at], weights=self.scores[at], minlength=len(self.doc_ids))
+        return np.bincount(self.docs[at], weights=self.scores[at], minlength=self.size)
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -234,7 +260,7 @@ def _search_block(index: DataFrame, block: tuple, documents: int, mean: float, k
                 shard = _Shard(row, wanted.value, idf, mean)
                 for a in range(0, len(ids), MERGE_QUERIES):
                     own = range(a, min(a + MERGE_QUERIES, len(ids)))
-                    found = [shard.top(which[edges[q]:edges[q + 1]], k) for q in own]
+                    found = shard.top([which[edges[q]:edges[q + 1]] for q in own], k)
                     sizes = np.array([len(d) for d, _ in found], dtype=np.int64)
                     yield pa.record_batch([
                         pa.array([a], pa.int64()), pa.array([sizes.tobytes()], pa.binary()),
