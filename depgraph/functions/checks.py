@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Bounds of the request arguments, and the fields a request may choose.
 MAX_QUERY_CHARS = 256
 MAX_BATCH_NAMES = 500
 SEARCH_LIMIT, DEPS_LIMIT, STRIP_LIMIT = 100, 1_000, 2_000
@@ -27,6 +31,11 @@ def clamp(limit: int, upper: int) -> int:
     return max(1, min(limit, upper))
 
 
+def clamped(limit: Column, upper: int) -> Column:
+    """As :func:`clamp`, for a column of limits; a missing one is the upper bound."""
+    return F.greatest(F.lit(1), F.least(limit, F.lit(upper)))
+
+
 def query_text(text: str) -> str:
     text = text.strip()
     if len(text) > MAX_QUERY_CHARS:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from depgraph.functions import checks
 from depgraph.functions import columns as C
 from depgraph.operators.build import Graph
-from depgraph.session import materialize
+from depgraph.session import materialize, materialize_with
 
 EXTERNAL = "(external)"
 
@@ -39,15 +39,16 @@ def busiest(graph: Graph, k: int, direction: str = "in") -> DataFrame:
     ).limit(k).select("name")
 
 
-def deps_cross(graph: Graph, names: DataFrame, direction: str = "in", limit: int = 200) -> DataFrame:
-    """Cross-module dependency rows of each name, ordered by (module, name) and limited per name.
+def deps_cross(
+    graph: Graph, names: DataFrame, direction: str = "in", limit: int | None = None
+) -> DataFrame:
+    """Cross-module dependency rows of each name: self and other side, and the edge (from, to) itself.
 
-    Rows whose module is unknown on either side stay and show as ``(external)``.  The
-    limit is a rank filter per name, which Spark applies before the exchange as well,
-    so a hub sends at most ``limit`` rows per task.
+    Rows whose module is unknown on either side stay and show as ``(external)``.  With a ``limit``
+    each name keeps its first rows by (module, name), with their ``place``, and ``cut`` says that
+    there were more; the rank filter also runs before the exchange, so a hub sends few rows.
     """
     checks.direction(direction)
-    limit = checks.clamp(limit, checks.DEPS_LIMIT)
     near, far = ("dst", "src") if direction == "in" else ("src", "dst")
     nodes = graph.declarations.select("name", "kind", "module")
     # written first, so its real size decides whether the edges have to move at all
@@ -62,33 +63,48 @@ def deps_cross(graph: Graph, names: DataFrame, direction: str = "in", limit: int
         F.col("otherModule").isNull() | F.col("selfModule").isNull()
         | (F.col("otherModule") != F.col("selfModule"))
     )
+    source, target = ("other", "self") if direction == "in" else ("self", "other")
     # the few asked names cut the edges down before repeated pairs are removed
     rows = pairs.join(own, "self").distinct().join(other, "other").filter(crossing).select(
         "self", "selfKind", "other", "otherKind",
         F.coalesce("otherModule", F.lit(EXTERNAL)).alias("otherModule"),
+        F.col(source).alias("from"), F.col(f"{source}Kind").alias("fromKind"),
+        F.col(target).alias("to"), F.col(f"{target}Kind").alias("toKind"),
     )
-    place = F.row_number().over(Window.partitionBy("self").orderBy("otherModule", "other"))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit)
+    if limit is None:
+        return rows
+    by_name = Window.partitionBy("self")
+    place = F.row_number().over(by_name.orderBy("otherModule", "other"))
+    # one row beyond the limit is enough to know that there are more
+    few = rows.withColumn("place", place).filter(F.col("place") <= limit + 1)
+    marked = few.withColumn("cut", F.max("place").over(by_name) > limit)
+    return marked.filter(F.col("place") <= limit)
 
 
 def deps_grouped(rows: DataFrame) -> DataFrame:
-    """Limited dependency rows grouped by the other side's module; ``total`` is taken after the limit."""
+    """Dependency rows as groups by the other side's module: every edge of a group, with the number of
+    edges in the group and of the name in all.  Counts combine before the shuffle, so a hub is no hot task.
+    """
+    rows = materialize(rows, "grouped-deps")
     groups = rows.groupBy("self", "otherModule").agg(F.count(F.lit(1)).alias("edges"))
-    # at most DEPS_LIMIT groups per name are left here
-    return groups.withColumn("total", F.sum("edges").over(Window.partitionBy("self")))
+    totals = groups.groupBy("self").agg(F.sum("edges").alias("total"))
+    return (
+        rows.select("self", "otherModule", "from", "fromKind", "to", "toKind")
+        .join(groups, ["self", "otherModule"]).join(totals, "self")
+    )
 
 
 def decl_deps(graph: Graph, name: str, direction: str = "in", limit: int = 200) -> DataFrame:
-    """The dependency rows of one declaration; an unknown name is an error."""
+    """The first dependency rows of one declaration; an unknown name is an error."""
     if graph.declarations.filter(F.col("name") == name).isEmpty():
         raise checks.UnknownName(f"unknown declaration: {name}")
     near = "dst" if checks.direction(direction) == "in" else "src"
     touching = replace(graph, depends_on=graph.depends_on.filter(F.col(near) == name))
-    return deps_cross(touching, names_frame(graph, [name]), direction, limit)
+    return deps_cross(touching, names_frame(graph, [name]), direction, checks.clamp(limit, checks.DEPS_LIMIT))
 
 
-def dep_strip(graph: Graph, a: str, b: str, limit: int = 500) -> DataFrame:
-    """Declaration edges from module a to module b, distinct, ordered and limited."""
+def strip_edges(graph: Graph, a: str, b: str) -> DataFrame:
+    """All distinct declaration edges from module a to module b."""
     checks.distinct_pair(a, b)
     nodes = graph.declarations.select("name", "kind", "module")
     src = materialize(nodes.filter(F.col("module") == a).select(
@@ -97,17 +113,25 @@ def dep_strip(graph: Graph, a: str, b: str, limit: int = 500) -> DataFrame:
     dst = nodes.filter(F.col("module") == b).select(
         F.col("name").alias("dst"), F.col("kind").alias("dstKind")
     )
-    rows = graph.depends_on.select("src", "dst").join(src, "src").join(dst, "dst").select(
+    return graph.depends_on.select("src", "dst").join(src, "src").join(dst, "dst").select(
         "src", "srcKind", "dst", "dstKind"
     ).distinct()
-    return rows.orderBy("src", "dst").limit(checks.clamp(limit, checks.STRIP_LIMIT))
+
+
+def dep_strip(graph: Graph, a: str, b: str, limit: int = 500) -> DataFrame:
+    """The first edges from module a to module b in name order; ``cut`` says that there are more."""
+    limit = checks.clamp(limit, checks.STRIP_LIMIT)
+    few = strip_edges(graph, a, b).orderBy("src", "dst").limit(limit + 1)
+    place = F.row_number().over(Window.orderBy("src", "dst"))  # at most limit + 1 rows are left here
+    marked = few.withColumn("place", place).withColumn("cut", F.max("place").over(Window.partitionBy()) > limit)
+    return marked.filter(F.col("place") <= limit).orderBy("src", "dst").drop("place")
 
 
 def strip_grouped(rows: DataFrame) -> DataFrame:
-    """Limited strip rows grouped by source; ``total`` is taken after the limit."""
-    groups = rows.groupBy("src", "srcKind").agg(F.count(F.lit(1)).alias("edges"))
-    # at most STRIP_LIMIT groups are left here
-    return groups.withColumn("total", F.sum("edges").over(Window.partitionBy()))
+    """Strip rows as groups by source: every edge, with the number of edges of its source and of all."""
+    rows, counts = materialize_with(rows.select("src", "srcKind", "dst", "dstKind"), "grouped-strip", total=F.count(F.lit(1)))
+    groups = rows.groupBy("src").agg(F.count(F.lit(1)).alias("edges"))
+    return rows.join(groups, "src").withColumn("total", F.lit(counts["total"]).cast("bigint"))
 
 
 def module_strips(graph: Graph) -> DataFrame:

@@ -13,8 +13,11 @@ from depgraph.session import Rounds
 
 
 def _walk(start: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
-    """(origin, node) reached from ``start`` (origin, node) along src -> dst within ``rounds``."""
-    steps = edges.select("src", "dst").distinct()
+    """(origin, node) reached from ``start`` (origin, node) along src -> dst within ``rounds``.
+
+    Repeated edges only repeat reached rows, which are made distinct anyway, so the edges are not.
+    """
+    steps = edges.select("src", "dst")
     visited = Rounds(edges.sparkSession, "walk")
     frontier = start.select("origin", "node").distinct()
     while rounds is None or len(visited) < rounds:
@@ -117,8 +120,12 @@ def highlight_tiers(
 
 
 def induced_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
-    """Edges of every relation whose two ends both belong to the selected node set."""
-    chosen = selected.select("node").distinct()
-    return edges.join(chosen, edges["dep"] == chosen["node"], "leftsemi").join(
-        chosen, edges["importer"] == chosen["node"], "leftsemi"
+    """Edges (origin, rel, dep, importer) whose two ends both belong to the node set of an origin.
+
+    ``selected``: origin, node; sets of different origins are kept apart.
+    """
+    chosen = selected.select("origin", "node").distinct()
+    ends = edges.join(chosen.withColumnRenamed("node", "dep"), "dep")
+    return ends.join(chosen.withColumnRenamed("node", "importer"), ["origin", "importer"], "leftsemi").select(
+        "origin", "rel", "dep", "importer"
     )

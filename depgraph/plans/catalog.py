@@ -604,32 +604,55 @@ def _(w):
 
 
 _CROSS = """SELECT p.{near} AS self, s.kind AS selfKind, p.{far} AS other, o.kind AS otherKind,
-    coalesce(o.module, '(external)') AS otherModule FROM pairs p JOIN nodes s ON s.name = p.{near}
+    coalesce(o.module, '(external)') AS otherModule, p.src AS "from", CASE WHEN p.src = s.name THEN s.kind ELSE o.kind END
+    AS fromKind, p.dst AS "to", CASE WHEN p.dst = s.name THEN s.kind ELSE o.kind END AS toKind
+    FROM pairs p JOIN nodes s ON s.name = p.{near}
     JOIN nodes o ON o.name = p.{far} WHERE p.{near} IN (SELECT name FROM {asked})
     AND (o.module IS NULL OR s.module IS NULL OR o.module <> s.module)"""
 _CROSS_IN = _CROSS.format(near="dst", far="src", asked="busiest")
 _CROSS_OUT = _CROSS.format(near="src", far="dst", asked="busiest_out")
-_LIMITED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY self ORDER BY otherModule, other) AS place
-    FROM ({cross})) WHERE place <= {limit}"""
 
 
-@query("J14_deps_cross_in", _LIMITED.format(cross=_CROSS_IN, limit=200))
+@query("J14_deps_cross_in", _CROSS_IN)
 def _(w):
+    return R.deps_cross(w.graph, R.busiest(w.graph, 10), "in")
+
+
+@query("J14_deps_cross_out", _CROSS_OUT)
+def _(w):
+    return R.deps_cross(w.graph, R.busiest(w.graph, 10, "out"), "out")
+
+
+_FIRST = f"""SELECT self, other, place, total > 200 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY self
+    ORDER BY otherModule, other) AS place, count(*) OVER (PARTITION BY self) AS total FROM ({_CROSS_IN})) WHERE place <= 200"""
+
+
+@query("J14_deps_cross_first", _FIRST)
+def _(w):
+    """The first rows of each name, as a page shows them, marked where they were cut."""
     rows = R.deps_cross(w.graph, R.busiest(w.graph, 10), "in", 200)
-    return rows.withColumn("place", F.col("place").cast("bigint"))
+    return rows.select("self", "other", F.col("place").cast("bigint").alias("place"), "cut")
 
 
-@query("J14_deps_cross_out", _LIMITED.format(cross=_CROSS_OUT, limit=1000))
+@query("P18_limits", """SELECT p_partkey, greatest(1, least(7 * p_partkey - 3 * p_size, 1000)) AS deps,
+    greatest(1, least(7 * p_partkey - 3 * p_size, 2000)) AS strip,
+    greatest(1, least(7 * p_partkey - 3 * p_size, 100)) AS search FROM part""")
 def _(w):
-    rows = R.deps_cross(w.graph, R.busiest(w.graph, 10, "out"), "out", 5000)
-    return rows.withColumn("place", F.col("place").cast("bigint"))
+    asked = 7 * F.col("p_partkey") - 3 * F.col("p_size")
+    return _table(w.spark, w.sf_dir, "part").select("p_partkey", *(
+        checks.clamped(asked, upper).cast("bigint").alias(name) for name, upper in
+        (("deps", checks.DEPS_LIMIT), ("strip", checks.STRIP_LIMIT), ("search", checks.SEARCH_LIMIT))
+    ))
 
 
-@query("J15_dep_strip", """SELECT DISTINCT p.src, a.kind AS srcKind, p.dst, b.kind AS dstKind FROM pairs p
+_STRIP = """SELECT DISTINCT p.src, a.kind AS srcKind, p.dst, b.kind AS dstKind FROM pairs p
     JOIN nodes a ON a.name = p.src JOIN nodes b ON b.name = p.dst WHERE a.module = 'Root.Beta.M00001'
-    AND b.module = 'Root.Alpha.M00000' ORDER BY p.src, p.dst LIMIT 500""")
+    AND b.module = 'Root.Alpha.M00000'"""
+
+
+@query("J15_dep_strip", _STRIP)
 def _(w):
-    return R.dep_strip(w.graph, "Root.Beta.M00001", "Root.Alpha.M00000")
+    return R.strip_edges(w.graph, "Root.Beta.M00001", "Root.Alpha.M00000")
 
 
 @query("J15_module_strips", """SELECT a.module AS srcModule, b.module AS dstModule, count(*) AS edges,
@@ -660,11 +683,7 @@ def _(w):
 @query("J18_induced_edges", """SELECT origin, rel, dep, importer FROM relations r JOIN selected a ON a.node = r.dep
     WHERE EXISTS (SELECT 1 FROM selected b WHERE b.origin = a.origin AND b.node = r.importer)""")
 def _(w):
-    chosen = V.selection(_relations(w), _hubs(w)).select("origin", "node")
-    ends = _relations(w).join(chosen.withColumnRenamed("node", "dep"), "dep")
-    return ends.join(chosen.withColumnRenamed("node", "importer"), ["origin", "importer"], "leftsemi").select(
-        "origin", "rel", "dep", "importer"
-    )
+    return V.induced_edges(_relations(w), V.selection(_relations(w), _hubs(w)))
 
 
 @query("J19_hydrate_pairs", """SELECT 'import' AS rel, a.topo AS a, b.topo AS b, a.name AS a_name, b.name AS b_name
@@ -713,20 +732,16 @@ def _(w):
     return B.degrees(w.blocks.edges)
 
 
-@query("A6_deps_grouped", "SELECT self, otherModule, count(*) AS edges, "
-       "sum(count(*)) OVER (PARTITION BY self)::BIGINT AS total FROM ("
-       + _LIMITED.format(cross=_CROSS_IN, limit=200) + ") GROUP BY self, otherModule")
+@query("A6_deps_grouped", f"""SELECT self, otherModule, "from", fromKind, "to", toKind,
+    count(*) OVER (PARTITION BY self, otherModule) AS edges, count(*) OVER (PARTITION BY self) AS total FROM ({_CROSS_IN})""")
 def _(w):
-    return R.deps_grouped(R.deps_cross(w.graph, R.busiest(w.graph, 10), "in", 200))
+    return R.deps_grouped(R.deps_cross(w.graph, R.busiest(w.graph, 10), "in"))
 
 
-@query("A7_strip_grouped", """SELECT src, srcKind, count(*) AS edges,
-    sum(count(*)) OVER ()::BIGINT AS total FROM (SELECT DISTINCT p.src, a.kind AS srcKind,
-    p.dst FROM pairs p JOIN nodes a ON a.name = p.src JOIN nodes b ON b.name = p.dst
-    WHERE a.module = 'Root.Beta.M00001' AND b.module = 'Root.Alpha.M00000' ORDER BY p.src, p.dst LIMIT 500)
-    GROUP BY src, srcKind""")
+@query("A7_strip_grouped", f"""SELECT src, srcKind, dst, dstKind, count(*) OVER (PARTITION BY src) AS edges,
+    count(*) OVER () AS total FROM ({_STRIP})""")
 def _(w):
-    return R.strip_grouped(R.dep_strip(w.graph, "Root.Beta.M00001", "Root.Alpha.M00000"))
+    return R.strip_grouped(R.strip_edges(w.graph, "Root.Beta.M00001", "Root.Alpha.M00000"))
 
 
 @query("A8_health_counts", """SELECT (SELECT count(*) FROM nodes WHERE module IS NOT NULL) AS decls,

@@ -28,8 +28,13 @@ def test_dependencies_leave_the_module(graph):
         ("b1", "Root.B", "theorem"), ("ext", "(external)", "theorem"),
     ]
     into = R.decl_deps(graph, "b1", "in")
-    assert rows(R.deps_grouped(into)) == [("b1", "Root.A", 2, 2)]
-    assert R.decl_deps(graph, "b1", "in", limit=1).count() == 1
+    assert rows(R.deps_grouped(into)) == [
+        ("b1", "Root.A", "a1", "theorem", "b1", "lemma", 2, 2), ("b1", "Root.A", "a2", "def", "b1", "lemma", 2, 2),
+    ]
+    assert rows(into, "other", "cut") == [("a1", False), ("a2", False)]
+    assert rows(R.decl_deps(graph, "b1", "in", limit=1), "other", "cut") == [("a1", True)]
+    every = R.deps_cross(graph, R.names_frame(graph, ["b1"]), "in")
+    assert rows(every, "from", "to") == [("a1", "b1"), ("a2", "b1")]
     assert rows(R.decl_deps(graph, "ext", "in"), "other") == [("a1",)]
     with pytest.raises(checks.UnknownName):
         R.decl_deps(graph, "nobody")
@@ -39,8 +44,11 @@ def test_dependencies_leave_the_module(graph):
 
 def test_strip_batch_detail_and_health(graph):
     strip = R.dep_strip(graph, "Root.A", "Root.B")
-    assert [tuple(r) for r in strip.collect()] == [("a1", "theorem", "b1", "lemma"), ("a2", "def", "b1", "lemma")]
-    assert rows(R.strip_grouped(strip)) == [("a1", "theorem", 1, 2), ("a2", "def", 1, 2)]
+    assert [tuple(r) for r in strip.collect()] == [("a1", "theorem", "b1", "lemma", False), ("a2", "def", "b1", "lemma", False)]
+    assert [tuple(r) for r in R.dep_strip(graph, "Root.A", "Root.B", limit=1).collect()] == [("a1", "theorem", "b1", "lemma", True)]
+    assert rows(R.strip_grouped(R.strip_edges(graph, "Root.A", "Root.B"))) == [
+        ("a1", "theorem", "b1", "lemma", 1, 2), ("a2", "def", "b1", "lemma", 1, 2),
+    ]
     with pytest.raises(checks.QueryError):
         R.dep_strip(graph, "Root.A", "Root.A")
     batch = R.decls_batch(graph, ["a1", "zz", "b1", "a1"], ["name", "sourceUrl"])
@@ -129,4 +137,6 @@ def test_a_hub_keeps_its_limit_and_order(spark, make_feeds):
     found = R.decl_deps(graph, hub, "in", limit=50).orderBy("place").collect()
     assert [(r["otherModule"], r["other"]) for r in found] == expected
     everyone = spark.createDataFrame([(hub,)], "name string")
-    assert R.deps_cross(graph, everyone, "in", 5000).count() == 1000
+    assert R.deps_cross(graph, everyone, "in").count() == 3000
+    page = R.decl_deps(graph, hub, "in", 5000)
+    assert page.count() == 1000 and page.filter("cut").count() == 1000
