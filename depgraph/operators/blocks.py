@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depgraph.functions import columns as C
 from depgraph.operators.build import Graph
 from depgraph.operators.module_graph import peel
-from depgraph.operators.ranking import position_in_group, running_total
+from depgraph.operators.ranking import dense_index, position_in_group, running_total
 from depgraph.operators.structure import module_of_name
 from depgraph.session import materialize
 from depgraph.sources.feeds import Feeds
@@ -98,17 +98,21 @@ def depth_columns(decls: DataFrame, edges: DataFrame) -> DataFrame:
     All modules are peeled together.  Declarations on or behind a cycle share the
     column after the deepest settled one of their module.
     """
-    def key(idx: str):
-        return F.struct("module", F.col(idx).alias("idx"))
-
-    nodes = decls.select(key("idx").alias("id"))
-    arcs = edges.select(key("src_idx").alias("importer"), key("dst_idx").alias("dep"))
-    levels, stuck = peel(nodes, arcs)
-    deepest = levels.groupBy("id.module").agg(F.max("level").alias("deepest"))
-    overflow = stuck.select("id.*").join(deepest, "module", "left").select(
+    ids = materialize(dense_index(decls.select("module", "idx"), ["module", "idx"]), "block_ids")
+
+    def numbered(idx: str, name: str):
+        return ids.select("module", F.col("idx").alias(idx), F.col("id").alias(name))
+
+    arcs = edges.join(numbered("src_idx", "importer"), ["module", "src_idx"]).join(
+        numbered("dst_idx", "dep"), ["module", "dst_idx"]
+    )
+    levels, stuck = peel(ids.select("id"), arcs.select("importer", "dep"))
+    levels = levels.join(ids, "id")
+    deepest = levels.groupBy("module").agg(F.max("level").alias("deepest"))
+    overflow = stuck.join(ids, "id").join(deepest, "module", "left").select(
         "module", "idx", (F.coalesce("deepest", F.lit(0)) + 1).alias("column")
     )
-    return levels.select("id.*", F.col("level").alias("column")).unionByName(overflow)
+    return levels.select("module", "idx", F.col("level").alias("column")).unionByName(overflow)
 
 
 def column_slots(columns: DataFrame) -> DataFrame:

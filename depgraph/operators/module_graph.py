@@ -21,6 +21,7 @@ _KEY_LEVELS = 16
 # Rounds expressed in one job before its rows are written.  Inside a job a round's
 # shuffle is read by the later rounds, so a round is still computed once.
 _ROUNDS_PER_WRITE = 4
+_LEVELS_PER_WRITE = 2
 _ROUNDS_PER_CHECK = 10
 
 
@@ -32,7 +33,7 @@ class ImportCycle(RuntimeError):
     """The import graph has a cycle; ``sample`` names at most ten of its members."""
 
     def __init__(self, sample: list[str]):
-        super().__init__("import cycle detected: " + ", ".join(sample))
+        super().__init__("the modules import each other in a circle: " + ", ".join(sample))
         self.sample = sample
 
 
@@ -67,7 +68,7 @@ def resolve_imports(imports: DataFrame, nodes: DataFrame) -> DataFrame:
 def module_graph(modules: DataFrame, imports: DataFrame, root: str) -> ModuleGraph:
     nodes, counts = materialize_with(name_index(modules, root), "nodes", n=F.count(F.lit(1)))
     if not counts["n"]:
-        raise EmptyGraph(f"no {root}.* modules survived filtering")
+        raise EmptyGraph(f"the feed has no module below {root}")
     resolved, external = materialize_with(
         resolve_imports(imports, nodes), "resolved", n=F.count_if(F.col("dep").isNull())
     )
@@ -86,6 +87,8 @@ def peel(
     or behind a cycle.  A round turns the edges of the newly placed nodes into one
     message per importer and adds them to the counts of missing dependencies of the
     nodes still pending, in one grouped pass; placed nodes are never touched again.
+    Several rounds are one job, and the edges are cut down to those of pending nodes
+    each time half of these are placed, so an edge is read a few times and not once a level.
     ``key`` orders the nodes of one level as a first-in-first-out peel in id order
     would pop them: by the last-popped dependency, which always lies on the level
     before, then by id.
@@ -97,24 +100,39 @@ def peel(
     )
     spark = nodes.sparkSession
     rounds = Rounds(spark, "peel")
-    level = 0
+    text = _ORDERED_ROUND if keep_order else _PLAIN_ROUND
+    first, unranked, at_cut = 0, 0, None
     while True:
+        top = first + _LEVELS_PER_WRITE - 1
+        rows = state.filter("missing = 0").withColumn("level", F.lit(first).cast("bigint"))
+        for level in range(first + 1, top + 1):
+            placed, pending = state.filter("missing = 0"), state.filter("missing > 0")
+            state = spark.sql(text, placed=placed, pending=pending, edges=edges)
+            rows = rows.unionByName(state.filter("missing = 0").withColumn("level", F.lit(level).cast("bigint")))
+        rest = state.filter("missing > 0").withColumn("level", F.lit(_PENDING).cast("bigint"))
         table, counts = rounds.add(
-            state.withColumn("level", F.lit(level).cast("bigint")),
-            placed=F.count_if(F.col("missing") == 0), pending=F.count_if(F.col("missing") > 0),
+            rows.unionByName(rest),
+            newest=F.count_if(F.col("level") == top), pending=F.count_if(F.col("level") == _PENDING),
         )
-        placed, pending = table.filter("missing = 0"), table.filter("missing > 0")
-        if not counts["placed"] or not counts["pending"]:
+        newest, pending = table.filter(F.col("level") == top), table.filter(F.col("level") == _PENDING)
+        if not counts["newest"] or not counts["pending"]:
             break
-        if keep_order and level % _KEY_LEVELS == _KEY_LEVELS - 1:
-            placed = _short_keys(placed)
-        state = spark.sql(
-            _ORDERED_ROUND if keep_order else _PLAIN_ROUND, placed=placed, pending=pending, edges=edges
-        )
-        level += 1
+        unranked += _LEVELS_PER_WRITE
+        if keep_order and unranked + _LEVELS_PER_WRITE > _KEY_LEVELS:
+            newest, unranked = _short_keys(newest), 0
+        if at_cut is None or 2 * counts["pending"] <= at_cut:
+            at_cut = counts["pending"]
+            edges = materialize(edges.join(pending.select(F.col("id").alias("importer")), "importer", "leftsemi"), "open_edges")
+        state = spark.sql(text, placed=newest, pending=pending, edges=edges)
+        first = top + 1
     columns = ["id", "level", "key"] if keep_order else ["id", "level"]
-    return rounds.all().filter("missing = 0").select(*columns), pending.select("id")
+    levels = materialize(rounds.all().filter(F.col("level") != _PENDING).select(*columns), "levels")
+    stuck = materialize(pending.select("id"), "stuck")
+    rounds.drop()
+    return levels, stuck
+
 
+_PENDING = -1
 
 _ORDERED_ROUND = """
 SELECT id, missing, CASE WHEN missing = 0 THEN array_append(best, id) END AS key FROM (
@@ -193,9 +211,13 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
     top = leveled.agg(F.max("dlevel")).first()[0]
     handed = Rounds(spark, "handed")
     received = leveled.select("importer", "dep", F.col("ilevel").alias("at")).limit(0)
-    for level in range(1, (top or 0) + 1):
-        step = spark.sql(_HAND_UP, leveled=leveled, received=received, level=level)
-        handed.add(step.sortWithinPartitions("at"))
+    for first in range(1, (top or 0) + 1, _LEVELS_PER_WRITE):
+        known, steps = received, None
+        for level in range(first, min(first + _LEVELS_PER_WRITE - 1, top) + 1):
+            step = spark.sql(_HAND_UP, leveled=leveled, received=known, level=level)
+            steps = step if steps is None else steps.unionByName(step)
+            known = known.unionByName(step)
+        handed.add(steps.sortWithinPartitions("at"))
         received = handed.all()
     pairs = leveled.select("importer", "dep", F.lit(True).alias("direct"), F.lit(False).alias("via"))
     if len(handed):

@@ -2,8 +2,9 @@
 
 Iterative jobs cut their lineage by writing Parquet tables below the directory
 the session names in ``spark.checkpoint.dir``.  That directory is shared by all
-executors, so a lost executor only costs a re-read, and the file sizes give
-Catalyst exact statistics for its broadcast decisions.
+executors, so a lost executor only costs a re-read.  Catalyst takes the size of a
+stored table for its broadcast decisions; files are compressed, so the size is scaled
+up by a factor that text columns in memory do not exceed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ _SQL_CONF = {
     # split a hot key even where that costs the next operator an extra exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # rows in memory are this many times larger than in a compressed file
+    "spark.sql.sources.fileCompressionFactor": "8.0",
 }
 
 
