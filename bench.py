@@ -44,7 +44,7 @@ def run(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         reads.deps_grouped(rows).collect()
 
     timed("dependency_groups", dependency_groups)
-    timed("module_strips", lambda: materialize(reads.module_strips(graph), "strips"))
+    timed("module_strips", lambda: materialize(reads.module_strips(reads.module_edges(graph)), "strips"))
     timed("node_table", lambda: materialize(build.declaration_nodes(work.feeds), "nodes"))
     return seconds
 

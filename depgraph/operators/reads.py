@@ -134,13 +134,17 @@ def strip_grouped(rows: DataFrame) -> DataFrame:
     return rows.join(groups, "src").withColumn("total", F.lit(counts["total"]).cast("bigint"))
 
 
-def module_strips(graph: Graph) -> DataFrame:
-    """Number of distinct declaration edges for every ordered pair of different modules."""
-    nodes = attributed(graph.declarations).select("name", "module")
-    src = nodes.select(F.col("name").alias("src"), F.col("module").alias("srcModule"))
-    dst = nodes.select(F.col("name").alias("dst"), F.col("module").alias("dstModule"))
-    pairs = graph.depends_on.select("src", "dst").distinct().join(src, "src").join(dst, "dst")
-    return pairs.filter("srcModule <> dstModule").groupBy("srcModule", "dstModule").agg(
+def module_edges(graph: Graph) -> DataFrame:
+    """Distinct declaration edges between attributed declarations, with kinds and modules of both ends."""
+    nodes = attributed(graph.declarations)
+    src = nodes.select(F.col("name").alias("src"), F.col("kind").alias("srcKind"), F.col("module").alias("srcModule"))
+    dst = nodes.select(F.col("name").alias("dst"), F.col("kind").alias("dstKind"), F.col("module").alias("dstModule"))
+    return graph.depends_on.select("src", "dst").distinct().join(src, "src").join(dst, "dst")
+
+
+def module_strips(edges: DataFrame) -> DataFrame:
+    """Number of declaration edges (of :func:`module_edges`) for every ordered pair of different modules."""
+    return edges.filter("srcModule <> dstModule").groupBy("srcModule", "dstModule").agg(
         F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources")
     )
 

@@ -44,26 +44,37 @@ def module_search(modules: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return hits.limit(limit).select("name", "lastSegment", "score")
 
 
-def _has_prefix(tokens: str, term: str) -> Column:
-    return F.exists(tokens, lambda token: token.startswith(term))
+def name_index(nodes: DataFrame) -> DataFrame:
+    """(token, name, kind, module): the words of the names of attributed declarations, once each."""
+    words = F.array_distinct(C.words(F.lower(F.concat_ws(" ", "name", "shortName"))))
+    return attributed(nodes).select(F.explode(words).alias("token"), "name", "kind", "module")
 
 
-def decl_search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Attributed declarations with a name token starting with any query token.
+def _prefix_range(term: str) -> Column:
+    """Tokens that start with ``term``, as a range a stored index can be pruned by."""
+    above = term[:-1] + chr(ord(term[-1]) + 1)
+    return (F.col("token") >= term) & (F.col("token") < above)
+
 
-    The query has few tokens, so each declaration is scored in place: the score is the
-    number of query tokens that some token of its name or short name starts with.
+def search_index(index: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Declarations with a name token starting with any query token; of the first ``limit`` if given.
+
+    The score is the number of query tokens that some token of the name starts with.  Only the ranges
+    of the query's tokens are read from ``index`` (see :func:`name_index`).
     """
     terms = sorted({term.lower() for term in C.query_terms(checks.query_text(text))})
-    tokens = C.words(F.lower(F.concat_ws(" ", "name", "shortName")))
-    score = F.lit(0)
+    wanted, score = F.lit(False), F.lit(0)
     for term in terms:
-        score = score + _has_prefix("tokens", term).cast("int")
-    scored = attributed(nodes).select("name", "kind", "module", tokens.alias("tokens")).withColumn(
-        "score", score.cast("bigint")
-    )
-    hits = scored.filter("score > 0").orderBy(F.desc("score"), "name")
-    return hits.limit(checks.clamp(limit, checks.SEARCH_LIMIT)).select("name", "kind", "module", "score")
+        wanted = wanted | _prefix_range(term)
+        score = score + F.max(_prefix_range(term).cast("int"))
+    scored = index.filter(wanted).groupBy("name", "kind", "module").agg(score.cast("bigint").alias("score"))
+    hits = scored.orderBy(F.desc("score"), "name")
+    return hits if limit is None else hits.limit(limit)
+
+
+def decl_search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """The first declarations that match; for a stored index use :func:`search_index`."""
+    return search_index(name_index(nodes), text, checks.clamp(limit, checks.SEARCH_LIMIT))
 
 
 def mixed_search(modules: DataFrame, decls: DataFrame) -> DataFrame:
@@ -84,9 +95,3 @@ def text_index(nodes: DataFrame) -> DataFrame:
     tokens = nodes.select("name", F.explode(C.words(F.lower(text))).alias("token"))
     return tokens.groupBy("token", "name").agg(F.count(F.lit(1)).alias("hits"))
 
-
-def write_text_index(index: DataFrame, path: str) -> None:
-    """Store the index ordered by token, so a lookup by token or prefix prunes row groups."""
-    index.repartitionByRange("token", "name").sortWithinPartitions("token", "name").write.mode(
-        "overwrite"
-    ).parquet(path)

@@ -140,24 +140,67 @@ def _(w):
     ))
 
 
-@query("S7_write_modules_jsonl", "SELECT count(*) AS written FROM modules")
+@query("S7_write_modules_jsonl", """SELECT m.module, '/src/' || m.path AS path, m.title, coalesce(d.n, 0) AS declarations,
+    coalesce(i.n, 0) AS imports, (SELECT count(*) FROM modules) AS written
+    FROM modules m LEFT JOIN file_imports i ON i.module = m.module LEFT JOIN (SELECT module, count(*) AS n
+    FROM file_spans WHERE NOT nameless OR kind = 'instance' GROUP BY module) d ON d.module = m.module""")
 def _(w):
-    records = P.assemble_modules(w.sources, SOURCE_ROOT)
-    count = files.write_modules_jsonl(records, new_path(w.spark, "structure"))
-    return w.spark.range(1).select(F.lit(count).cast("bigint").alias("written"))
+    """The lines written for parsed sources, read again, with the number the writer reports."""
+    path = new_path(w.spark, "structure")
+    count = files.write_modules_jsonl(P.assemble_modules(w.sources, SOURCE_ROOT), path)
+    lines = w.spark.read.schema(schemas.MODULE_FEED).json(path)
+    return lines.select(
+        "module", "path", "title", F.size("declarations").cast("bigint").alias("declarations"),
+        F.size("imports").cast("bigint").alias("imports"), F.lit(count).cast("bigint").alias("written"),
+    )
 
 
-@query("S8_write_graph", """SELECT 'declarations' AS label, count(*) AS n FROM nodes
-    UNION ALL SELECT 'depends_on', count(*) FROM depends
-    UNION ALL SELECT 'modules', count(*) FROM gmodules
-    UNION ALL SELECT 'namespaces', count(*) FROM namespaces""")
-def _(w):
-    stored = store.read_graph(w.spark, w.stored_graph).tables()
-    counts = [
-        stored[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n")
-        for name in ("declarations", "depends_on", "modules", "namespaces")
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+_STORED_TABLES = {
+    "modules": "SELECT name AS a, '' AS b FROM gmodules", "namespaces": "SELECT name, '' FROM namespaces",
+    "declarations": "SELECT name, coalesce(label, '') || '|' || coalesce(typeSignature, '') FROM nodes",
+    "depends_on": "SELECT src, dst || '|' || context FROM depends",
+    "imports": "SELECT DISTINCT module, name FROM imports",
+    "in_namespace": "SELECT DISTINCT name, namespace FROM declarations WHERE namespace <> ''",
+    "subnamespace_of": "SELECT name, parent FROM namespaces WHERE parent IS NOT NULL",
+    "defined_in": "SELECT DISTINCT name, module FROM declarations",
+    "extends": "SELECT DISTINCT src, dst FROM extends WHERE src IN (SELECT name FROM nodes)",
+    "instantiates": "SELECT DISTINCT name, instantiates FROM extract WHERE instantiates <> ''",
+    "deprecated_by": "SELECT DISTINCT name, replacement FROM extract WHERE hasDeprecatedBy AND replacement IS NOT NULL",
+    "has_additive_version": "SELECT DISTINCT name, additiveVersion FROM extract WHERE additiveVersion <> ''",
+    "has_field": "SELECT DISTINCT src, dst FROM field_rows", "has_constructor": "SELECT DISTINCT src, dst FROM constructor_rows",
+}
+
+
+@query("S8_write_graph", " UNION ALL ".join(
+    f"SELECT '{name}' AS part, t.* FROM ({text}) AS t(a, b)" for name, text in _STORED_TABLES.items()
+))
+def _(w):
+    """Key content of all stored tables of a graph."""
+    rows = None
+    for name, table in store.read_graph(w.spark, w.stored_graph).tables().items():
+        none = F.lit("")
+        second = {
+            "modules": none, "namespaces": none, "depends_on": F.concat_ws("|", "dst", "context"),
+            "declarations": F.concat(F.coalesce("label", none), F.lit("|"), F.coalesce("typeSignature", none)),
+        }.get(name, F.col(table.columns[1] if len(table.columns) > 1 else "name"))
+        part = table.select(F.lit(name).alias("part"), F.col(table.columns[0]).alias("a"), second.alias("b")).distinct()
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("S14_drop_graph", """SELECT 'before' AS moment, TRUE AS stored, count(*) AS modules FROM gmodules
+    UNION ALL SELECT 'after', FALSE, 0""")
+def _(w):
+    """A stored graph, then the same place after it was dropped."""
+    base = new_path(w.spark, "dropped")
+    store.write_graph(w.graph, base)
+    modules = store.read_graph(w.spark, base).modules.count()
+    before = store.current_pointer(w.spark, base, "graph") is not None
+    store.drop_graph(w.spark, base)
+    after = store.current_pointer(w.spark, base, "graph") is not None
+    return w.spark.createDataFrame(
+        [("before", before, modules), ("after", after, 0)], "moment string, stored boolean, modules bigint"
+    )
 
 
 @query("S9_write_map", """SELECT topo, name, topic, round(x, 6) AS x, declCount, docstring FROM mmap""")
@@ -652,14 +695,14 @@ _STRIP = """SELECT DISTINCT p.src, a.kind AS srcKind, p.dst, b.kind AS dstKind F
 
 @query("J15_dep_strip", _STRIP)
 def _(w):
-    return R.strip_edges(w.graph, "Root.Beta.M00001", "Root.Alpha.M00000")
+    return store.lookup_strip(w.spark, w.stored_graph, "Root.Beta.M00001", "Root.Alpha.M00000")
 
 
 @query("J15_module_strips", """SELECT a.module AS srcModule, b.module AS dstModule, count(*) AS edges,
     count(DISTINCT p.src) AS sources FROM pairs p JOIN nodes a ON a.name = p.src JOIN nodes b ON b.name = p.dst
     WHERE a.module <> b.module GROUP BY a.module, b.module""")
 def _(w):
-    return R.module_strips(w.graph)
+    return R.module_strips(store.stored_module_edges(w.spark, w.stored_graph))
 
 
 @query("J16_batch_lookup", """SELECT i.pos AS place, n.name, n.kind, n.module, n.typeSignature, n.docstring,
@@ -889,7 +932,7 @@ def _search_oracle(terms: list[str], limit: int) -> str:
 
 @query("K5_limited_search", _search_oracle(["d19", "gamma"], 25))
 def _(w):
-    return S.decl_search(w.graph.declarations, "Gamma d19", 25)
+    return S.search_index(w.stored_names, "Gamma d19", 25)
 
 
 # ---- set operations -------------------------------------------------------------------------------------------------------
@@ -931,7 +974,7 @@ _MODULE_HITS = """SELECT name, string_split(name, '.')[-1] AS "lastSegment", sco
        + _search_oracle(["m0001"], 20) + ")")
 def _(w):
     return S.mixed_search(
-        S.module_search(w.map.nodes, "M0001"), S.decl_search(w.graph.declarations, "M0001", 20)
+        S.module_search(w.map.nodes, "M0001"), S.search_index(w.stored_names, "M0001", 20)
     )
 
 
@@ -1018,16 +1061,52 @@ def _(w):
     return w.blocks.decls.select("module", "idx", "name", "k", "x", "y", "s")
 
 
-@query("G14_live_block", """SELECT DISTINCT a.module, a.idx AS src_idx, b.idx AS dst_idx FROM pairs p
-    JOIN (SELECT module, name, row_number() OVER (PARTITION BY module ORDER BY name) - 1 AS idx FROM nodes
-          WHERE module IN (SELECT name FROM mnodes)) a ON a.name = p.src
-    JOIN (SELECT module, name, row_number() OVER (PARTITION BY module ORDER BY name) - 1 AS idx FROM nodes
-          WHERE module IN (SELECT name FROM mnodes)) b ON b.name = p.dst AND b.module = a.module
-    WHERE p.src <> p.dst""")
+_LIVE = """live AS (SELECT module, name, kind, row_number() OVER (PARTITION BY module ORDER BY name) - 1 AS idx FROM nodes
+    WHERE module IN (SELECT name FROM mnodes)),
+    live_edges AS (SELECT DISTINCT a.module, a.idx AS src_idx, b.idx AS dst_idx FROM pairs p JOIN live a ON a.name = p.src
+    JOIN live b ON b.name = p.dst AND b.module = a.module WHERE p.src <> p.dst),
+    live_degree AS (SELECT module, idx, count(*) AS degree FROM (SELECT module, src_idx AS idx FROM live_edges
+    UNION ALL SELECT module, dst_idx FROM live_edges) GROUP BY module, idx),
+    live_reach AS (SELECT module, src_idx AS a, dst_idx AS b FROM live_edges UNION SELECT r.module, r.a, e.dst_idx
+    FROM live_reach r JOIN live_edges e ON e.module = r.module AND e.src_idx = r.b),
+    live_stuck AS (SELECT DISTINCT r.module, r.a AS idx FROM live_reach r JOIN live_reach c ON c.module = r.module
+    AND c.a = c.b AND (c.a = r.b OR c.a = r.a)),
+    live_paths AS (SELECT module, idx, CAST(0 AS BIGINT) AS depth FROM live d WHERE NOT EXISTS
+    (SELECT 1 FROM live_edges e WHERE e.module = d.module AND e.src_idx = d.idx)
+    UNION SELECT e.module, e.src_idx, p.depth + 1 FROM live_paths p JOIN live_edges e
+    ON e.module = p.module AND e.dst_idx = p.idx
+    WHERE NOT EXISTS (SELECT 1 FROM live_stuck s WHERE s.module = e.module AND s.idx = e.src_idx)),
+    live_depth AS (SELECT module, idx, max(depth) AS depth FROM live_paths GROUP BY module, idx),
+    live_columns AS (SELECT module, idx, depth AS x FROM live_depth UNION ALL SELECT s.module, s.idx,
+    coalesce(m.deepest, 0) + 1 FROM live_stuck s LEFT JOIN (SELECT module, max(depth) AS deepest FROM live_depth
+    GROUP BY module) m ON m.module = s.module),
+    live_slots AS (SELECT *, row_number() OVER (PARTITION BY module, x ORDER BY idx) - 1 AS slot FROM live_columns)"""
+_LIVE_NODES = """SELECT d.module, d.idx, d.name, d.kind AS k, s.x::DOUBLE AS x, 1.5::DOUBLE * CASE WHEN s.slot % 2 = 1
+    THEN (s.slot + 1) // 2 ELSE -((s.slot + 1) // 2) END AS y, round(1.5::DOUBLE + least(3.0::DOUBLE,
+    sqrt(coalesce(g.degree, 0))), 2) AS s FROM live d JOIN live_slots s ON s.module = d.module AND s.idx = d.idx
+    LEFT JOIN live_degree g ON g.module = d.module AND g.idx = d.idx"""
+
+
+def _with_live(sql: str) -> str:
+    """``sql`` over the recursive tables of the live blocks."""
+    known = "SELECT * FROM nodes, pairs, mnodes"
+    return with_ctes(known).rsplit(f" {known}", 1)[0] + f", {_LIVE} {sql}"
+
+
+@query("G14_live_block")
 def _(w):
     return B.live_blocks(w.graph, w.module_graph.nodes).edges
 
 
+@query("G14_live_nodes")
+def _(w):
+    return B.live_blocks(w.graph, w.module_graph.nodes).decls.select("module", "idx", "name", "k", "x", "y", "s")
+
+
+ORACLES["G14_live_block"] = _with_live("SELECT module, src_idx, dst_idx FROM live_edges")
+ORACLES["G14_live_nodes"] = _with_live(_LIVE_NODES)
+
+
 @query("G15_module_map", """SELECT topo, name, topic, round(x, 6) AS x, y, round(r, 6) AS r, color,
     declCount, closureSize, isDeprecated, title, docstring FROM mmap""")
 def _(w):
@@ -1053,7 +1132,7 @@ def _(w):
 
 @query("Q2_decl_search", _search_oracle(["d1", "m0001"], 20))
 def _(w):
-    return S.decl_search(w.graph.declarations, "m0001 D1", 20)
+    return S.search_index(w.stored_names, "m0001 D1", 20)
 
 
 @query("Q3_mixed_search", "SELECT 0 AS section, 'module' AS type, name, NULL AS kind, NULL AS module, score FROM ("
@@ -1061,7 +1140,7 @@ def _(w):
        + _search_oracle(["gamma"], 20) + ")")
 def _(w):
     return S.mixed_search(
-        S.module_search(w.map.nodes, "gamma"), S.decl_search(w.graph.declarations, "gamma", 20)
+        S.module_search(w.map.nodes, "gamma"), S.search_index(w.stored_names, "gamma", 20)
     )
 
 
@@ -1069,9 +1148,9 @@ def _(w):
     regexp_split_to_array(lower(concat_ws(' ', docstring, shortName, typeSignature, sourceText)),
     '[^\p{L}\p{N}_]+') IF x <> '']) AS token FROM nodes) GROUP BY token, name""")
 def _(w):
-    path = new_path(w.spark, "tokens")
-    S.write_text_index(S.text_index(w.graph.declarations), path)
-    return w.spark.read.parquet(path)
+    base = new_path(w.spark, "tokens")
+    store.write_index(S.text_index(w.graph.declarations), base, "text")
+    return store.read_index(w.spark, base, "text")
 
 
 # ---- streaming ------------------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from depgraph.operators import blocks as B
 from depgraph.operators import build
 from depgraph.operators import map_layout as M
 from depgraph.operators import module_graph as G
+from depgraph.operators import search as S
 from depgraph.plans import fixture
 from depgraph.session import materialize, materialize_all, new_path, tune
 from depgraph.sources import files, store
@@ -87,6 +88,12 @@ class Workspace:
         store.write_map(self.map, base, now="2024-01-01T00:00:00+00:00", seed=1)
         return base
 
+    @cached_property
+    def stored_names(self) -> DataFrame:
+        base = new_path(self.spark, "names")
+        store.write_index(S.name_index(self.graph.declarations), base, "names")
+        return store.read_index(self.spark, base, "names")
+
     @cached_property
     def stored_graph(self) -> str:
         base = new_path(self.spark, "graph")

@@ -2,6 +2,7 @@
 
 Every write goes to a fresh directory and a one-row pointer names the current one, so
 a reader never sees a half-written table and nothing is overwritten while it is read.
+Versions are claimed by creating a file that must not exist yet, so no two writers share one.
 Tables are ordered by their lookup key, which lets Parquet statistics prune point reads.
 """
 
@@ -23,7 +24,8 @@ from depgraph.operators.map_layout import (
     ordered_structure,
     structure_by_index,
 )
-from depgraph.operators.reads import decl_deps
+from depgraph.functions import checks
+from depgraph.operators.reads import decl_deps, module_edges
 from depgraph.session import discard, file_system
 
 _POINTER = "version bigint, folder string, generatedAt string, label string, modules bigint"
@@ -31,24 +33,39 @@ _MAP_TABLES = ("nodes", "edges", "structure", "topics", "stats")
 _NODE_TABLES = ("declarations", "modules", "namespaces")
 
 
-def write_graph(graph: Graph, base: str) -> None:
-    """Write every node and edge table, ordered by name or by source.
+def write_graph(graph: Graph, base: str) -> int:
+    """Write every node and edge table as a new version, ordered by name or by source.
 
-    ``depends_on`` is written a second time ordered by target, for lookups of dependents.
+    ``depends_on`` is written twice more: ordered by target, for lookups of dependents, and with the
+    modules of both ends, ordered by these, for the edges between two modules.
     """
+    spark = graph.declarations.sparkSession
+    folder = f"graph-{uuid.uuid4().hex}"
     for name, table in graph.tables().items():
         # both ends of an edge take part in the range bounds, so a hub is split over files
         keys = ["name"] if name in _NODE_TABLES else table.columns[:2]
-        _ordered(table, *keys).write.mode("overwrite").parquet(f"{base}/{name}")
-    _ordered(graph.depends_on, "dst", "src").write.mode("overwrite").parquet(f"{base}/depended_on_by")
+        _ordered(table, *keys).write.parquet(f"{base}/{folder}/{name}")
+    _ordered(graph.depends_on, "dst", "src").write.parquet(f"{base}/{folder}/depended_on_by")
+    between = ["srcModule", "dstModule", "src", "dst"]
+    _ordered(module_edges(graph), *between).write.parquet(f"{base}/{folder}/depends_by_module")
+    return _publish(spark, base, "graph", folder)
 
 
 def _ordered(table: DataFrame, *keys: str) -> DataFrame:
     return table.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _current(spark: SparkSession, base: str, kind: str) -> str:
+    """Folder of the current version; an error where nothing is stored."""
+    row = current_pointer(spark, base, kind)
+    if row is None:
+        raise FileNotFoundError(f"no {kind} is stored in {base}")
+    return f"{base}/{row['folder']}"
+
+
 def read_graph(spark: SparkSession, base: str) -> Graph:
-    return Graph(**{f.name: spark.read.parquet(f"{base}/{f.name}") for f in fields(Graph)})
+    folder = _current(spark, base, "graph")
+    return Graph(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Graph)})
 
 
 def _exists(spark: SparkSession, location: str) -> bool:
@@ -62,10 +79,23 @@ def lookup_deps(
     """Dependency rows of one declaration from the stored copy ordered for the direction."""
     graph = read_graph(spark, base)
     if direction == "in":
-        graph = replace(graph, depends_on=spark.read.parquet(f"{base}/depended_on_by"))
+        stored = spark.read.parquet(f"{_current(spark, base, 'graph')}/depended_on_by")
+        graph = replace(graph, depends_on=stored)
     return decl_deps(graph, name, direction, limit)
 
 
+def stored_module_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Declaration edges with the modules of both ends, in the order of these."""
+    return spark.read.parquet(f"{_current(spark, base, 'graph')}/depends_by_module")
+
+
+def lookup_strip(spark: SparkSession, base: str, a: str, b: str) -> DataFrame:
+    """All declaration edges from module a to module b: a range of the stored edges, without a join."""
+    checks.distinct_pair(a, b)
+    edges = stored_module_edges(spark, base)
+    return edges.filter((F.col("srcModule") == a) & (F.col("dstModule") == b)).select("src", "srcKind", "dst", "dstKind")
+
+
 def drop_graph(spark: SparkSession, base: str) -> None:
     """Remove all graph tables, derived edges and pointers below ``base``."""
     discard(spark, base)
@@ -73,11 +103,11 @@ def drop_graph(spark: SparkSession, base: str) -> None:
 
 # ---- pointers ----------------------------------------------------------------------------------
 
-def current_pointer(spark: SparkSession, base: str):
+def current_pointer(spark: SparkSession, base: str, kind: str = "map"):
     """The newest pointer row, or None where nothing is stored."""
-    if not _exists(spark, f"{base}/pointer"):
+    if not _exists(spark, f"{base}/{kind}-pointer"):
         return None
-    pointers = spark.read.schema(_POINTER).parquet(f"{base}/pointer")
+    pointers = spark.read.schema(_POINTER).parquet(f"{base}/{kind}-pointer")
     return pointers.orderBy(F.desc("version")).first()
 
 
@@ -86,9 +116,26 @@ def kg_version(spark: SparkSession, base: str) -> int | None:
     return row["version"] if row else None
 
 
-def _publish(spark: SparkSession, base: str, folder: str, version: int, now: str, label: str, modules: int) -> None:
+def _claim(spark: SparkSession, base: str, kind: str, version: int) -> int:
+    """The first version from this one on that no other writer has taken."""
+    while True:
+        path, files = file_system(spark, f"{base}/claims/{kind}-{version}")
+        if files.createNewFile(path):
+            return version
+        version += 1
+
+
+def _publish(
+    spark: SparkSession, base: str, kind: str, folder: str, version: int | None = None,
+    now: str = "", label: str = "", modules: int = 0,
+) -> int:
+    if version is None:
+        known = current_pointer(spark, base, kind)
+        version = known["version"] + 1 if known else 1
+    version = _claim(spark, base, kind, version)
     row = spark.createDataFrame([(version, folder, now, label, modules)], _POINTER)
-    row.coalesce(1).write.mode("append").parquet(f"{base}/pointer")
+    row.coalesce(1).write.mode("append").parquet(f"{base}/{kind}-pointer")
+    return version
 
 
 # ---- map -----------------------------------------------------------------------------------------
@@ -123,8 +170,7 @@ def write_map(doc: ModuleMap, base: str, now: str, label: str = "", seed: int |
         ordered = _ordered(table, *keys[name]) if keys[name] else table
         ordered.write.parquet(f"{base}/{folder}/{name}")
     stored = spark.read.parquet(f"{base}/{folder}/nodes").count()
-    _publish(spark, base, folder, version, now, label, stored)
-    return version
+    return _publish(spark, base, "map", folder, version, now, label, stored)
 
 
 def read_map(spark: SparkSession, base: str) -> ModuleMap | None:
@@ -172,12 +218,27 @@ def verify_store(stored: DataFrame, modules: int) -> DataFrame:
 
 # ---- blocks ----------------------------------------------------------------------------------------
 
-def write_blocks(pieces: DataFrame, path: str) -> None:
-    """Store block pieces with their byte ranges, ordered by module."""
-    _ordered(block_index(pieces), "module", "part", "i", "j").write.mode("overwrite").parquet(path)
+def write_blocks(pieces: DataFrame, base: str) -> int:
+    """Store block pieces with their byte ranges, ordered by module, as a new version."""
+    folder = f"blocks-{uuid.uuid4().hex}"
+    _ordered(block_index(pieces), "module", "part", "i", "j").write.parquet(f"{base}/{folder}")
+    return _publish(pieces.sparkSession, base, "blocks", folder)
 
 
-def read_block(spark: SparkSession, path: str, module: str) -> DataFrame:
+def read_block(spark: SparkSession, base: str, module: str) -> DataFrame:
     """The pieces of one module's block in order; no rows for an unknown module."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(_current(spark, base, "blocks"))
     return stored.filter(F.col("module") == module).orderBy("part", "i", "j")
+
+
+# ---- token tables ------------------------------------------------------------------------------------
+
+def write_index(index: DataFrame, base: str, kind: str) -> int:
+    """Store a table of tokens ordered by token, so a lookup by token or prefix prunes row groups."""
+    folder = f"{kind}-{uuid.uuid4().hex}"
+    _ordered(index, "token", "name").write.parquet(f"{base}/{folder}")
+    return _publish(index.sparkSession, base, kind, folder)
+
+
+def read_index(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    return spark.read.parquet(_current(spark, base, kind))
