@@ -7,7 +7,10 @@ last return the columns of ``documents``.  Tables other than documents are read
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.llm import decontamination, mixing, quality, sharding, shingle_join
@@ -27,8 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The grader is fitted on the labelled ones among the documents.  Null and empty texts are graded by shape.
     """
     model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
-    graded = quality.grade(docs, model)
-    return graded.filter(F.col("quality.tails")[1] >= GOOD).select(*docs.columns)
+    graded = quality.grade(docs, model, name="_grade")
+    return graded.filter(F.col("_grade.tails")[1] >= GOOD).select(*docs.columns)
 
 
 def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,8 @@ def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     is similar.
     """
     groups = materialize(shingle_join.similar_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "similar")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi")
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
     repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
@@ -57,28 +60,27 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     taken = mixing.taken_words(mixing.mix_sources(docs)).groupBy("doc_id").agg(
         (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"), F.sum("size").alias("size")
-    ).withColumnRenamed("doc_id", "mixed_id")
-    chance = F.pmod(F.xxhash64(F.lit(29), "mixed_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    ).withColumnRenamed("doc_id", "_mixed")
+    chance = F.pmod(F.xxhash64(F.lit(29), "_mixed"), F.lit(1 << 20)) / F.lit(1 << 20)
     whole = F.floor("share")
     copies = F.when(F.col("size") == 0, 1).otherwise(whole + (chance < F.col("share") - whole).cast("long"))
-    counted = taken.withColumn("copies", copies.cast("int")).filter("copies > 0").select("mixed_id", "copies")
-    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["mixed_id"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    counted = taken.withColumn("_copies", copies.cast("int")).filter("_copies > 0").select("_mixed", "_copies")
+    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["_mixed"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents, and shard and slot (gapless from 0 in each shard)."""
-    placed = sharding.shard_documents(docs, SHARDS)
-    keys = ["doc_id", "text_crc32", "bytes"]
-
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_crc32"].eqNullSafe(b["text_crc32"]) & (a["bytes"] == b["bytes"])
-
-    texts = docs.withColumns({
-        "text_crc32": F.crc32(F.col("text").cast("binary")), "bytes": sharding.byte_size(F.col("text")),
+    """The columns of the documents, and shard and slot (gapless from 0 in each shard), which replace
+    columns of these names."""
+    keys = ["_id", "_crc", "_bytes"]
+    placed = sharding.shard_documents(docs, SHARDS).select(
+        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("bytes").alias("_bytes"), "shard", "slot"
+    )
+    texts = docs.drop("shard", "slot").withColumns({
+        "_id": F.col("doc_id"), "_crc": F.crc32(F.col("text").cast("binary")), "_bytes": sharding.byte_size(F.col("text")),
     }).dropDuplicates(keys)
-    slots = placed.select(*keys, "shard", "slot")
-    return texts.join(slots, same(texts, slots)).select(*(texts[c] for c in docs.columns), slots["shard"], slots["slot"])
+    same = reduce(and_, (texts[k].eqNullSafe(placed[k]) for k in keys))
+    return texts.join(placed, same).drop(*keys)
 
 
 STAGES = [

@@ -224,32 +224,34 @@ def _report(words: list[list[bytes]], blocks: list, window: int) -> list[dict]:
 
 
 def annotate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", carry: list[str] | None = None
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", carry: list[str] | None = None,
+    name: str = "contamination",
 ) -> DataFrame:
-    """The ``carry`` columns of every document and a struct ``contamination``: n_words, n_hit (words in
-    matches), items (sorted as strings) and matches (item_id, word, item_word, words).
+    """The ``carry`` columns of every document and a struct ``name``: n_words, n_hit (words in matches),
+    items (sorted as strings) and matches (item_id, word, item_word, words).  A column called ``name`` is
+    replaced.
 
     Texts of any length are searched whole.  Null and empty texts have no words and no matches; items
     without words match nothing; an item whose id is null is named 'null'.  Repeated items count once
     for each id; repeated documents are reported each.  Empty tables give an empty or a clean report.
     """
     spark = prepare(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "contamination"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     blocks = [spark.sparkContext.broadcast(block) for block in blocks_of(items, window)]
     report = StructType.fromDDL(REPORT)
-    schema = StructType([docs.schema[c] for c in carry]).add("contamination", report)
-    arrow = to_arrow_schema(StructType().add("contamination", report)).field(0).type
+    schema = StructType([docs.schema[c] for c in carry]).add(name, report)
+    arrow = to_arrow_schema(StructType().add(name, report)).field(0).type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in text_tables(batches, "_searched", SHARD_BYTES):
             words = [words_of(t) for t in shard.column("_searched").to_pylist()]
             rows = pa.array(_report(words, blocks, window), type=arrow)
-            yield from shard.drop(["_searched"]).append_column("contamination", rows).to_batches(max_chunksize=1000)
+            yield from shard.drop(["_searched"]).append_column(name, rows).to_batches(max_chunksize=1000)
 
     return docs.select(*carry, F.col(text).alias("_searched")).mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The documents without any match, with the columns they came with."""
-    clean = annotate(docs, items, window, text).filter(F.col("contamination.n_hit") == 0)
-    return clean.select(*(c for c in docs.columns if c != "contamination"))
+    clean = annotate(docs, items, window, text, name="_contamination").filter(F.col("_contamination.n_hit") == 0)
+    return clean.select(*docs.columns)

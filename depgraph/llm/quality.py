@@ -164,15 +164,18 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
     return fit(rows[:sample_rows], np.array([r.grade for r in found[:sample_rows]], dtype=np.int64), levels)
 
 
-def grade(docs: DataFrame, model: Grader, carry: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The ``carry`` columns of every document and a struct ``quality``: expected_grade, and tails, where
-    tails[k - 1] is P(grade >= k).  Null and empty texts are graded by their shape.
+def grade(
+    docs: DataFrame, model: Grader, carry: list[str] | None = None, text: str = "text", name: str = "quality"
+) -> DataFrame:
+    """The ``carry`` columns of every document and a struct ``name``: expected_grade, and tails, where
+    tails[k - 1] is P(grade >= k).  Null and empty texts are graded by their shape; a column called
+    ``name`` is replaced.
     """
     spark = prepare(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     shared = spark.sparkContext.broadcast(Grader(model.weights.astype(np.float32), model.thresholds))
     schema = StructType([docs.schema[c] for c in carry]).add(
-        "quality", StructType.fromDDL("expected_grade double, tails array<double>")
+        name, StructType.fromDDL("expected_grade double, tails array<double>")
     )
     arrow = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
 
@@ -182,7 +185,7 @@ def grade(docs: DataFrame, model: Grader, carry: list[str] | None = None, text:
             scores = np.array([own.score(t) for t in part.column("_graded").to_pylist()])
             tails = own.tails(scores)
             rows = [{"expected_grade": float(t.sum()), "tails": t.tolist()} for t in tails]
-            yield from part.drop(["_graded"]).append_column("quality", pa.array(rows, arrow)).to_batches(max_chunksize=1000)
+            yield from part.drop(["_graded"]).append_column(name, pa.array(rows, arrow)).to_batches(max_chunksize=1000)
 
     return docs.select(*carry, F.col(text).alias("_graded")).mapInArrow(score, schema)
 

@@ -50,7 +50,7 @@ def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = chat.transcript_lines(shown)
     found = chat.canonical(chat.recover_roles(lines, chat.fit(lines)))
     return found.select(
-        F.col("conv").cast("long").alias("conv_id"), "turn", "at", "message", F.col("role").alias("given_role"), "found_role", "piece",
+        F.expr("try_cast(conv AS BIGINT)").alias("conv_id"), "turn", "at", "message", F.col("role").alias("given_role"), "found_role", "piece",
     )
 
 
