@@ -104,8 +104,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     labels = usable.select(F.max(F.size(F.split("rule_host", "[.]")))).first()[0] or 0
     host, path = url_parts(F.col(url))
     judged = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    found = ["host", "path", "rule", "verdict"]
+    columns = [*(c for c in pages.columns if c not in found), *found]
     if labels == 0:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).select(*columns)
     rule = F.struct(
         F.length(F.concat("rule_host", "rule_path")).alias("length"),
         F.length("rule_host").alias("host_length"),
@@ -135,5 +137,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         judged.join(best, ["host", "path"], "left")
         .withColumn("rule", F.col("best.name"))
         .withColumn("verdict", F.coalesce("best.verdict", F.lit(default)))
-        .drop("best")
+        .select(*columns)
     )
