@@ -28,10 +28,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the highest grade (neither toxic nor of low quality) is at least GOOD.
 
     The grader is fitted on the labelled ones among the documents.  Null and empty texts are graded by shape.
+    Without labelled documents of the highest grade and of a lower one nothing is rejected.
     """
     model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
     graded = quality.grade(docs, model, name="_grade")
-    return graded.filter(F.col("_grade.tails")[1] >= GOOD).select(*docs.columns)
+    return graded.filter(quality.good(model, F.col("_grade.tails"), GOOD)).select(*docs.columns)
 
 
 def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -73,6 +73,8 @@ class Grader:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Whether rows of the highest grade and of a lower one were fitted; without both nothing is to be rejected.
+    separates: bool = True
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. grades - 1, one row for each score."""
@@ -90,13 +92,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     Rare grades weigh more, by the square root of what would balance them.
 
     Without rows, or with one grade only, the thresholds say how often each grade was met (plus one).
+    Unless the highest grade and a lower one were met, the grader does not separate.
     """
+    separates = bool((grades == levels - 1).any() and (grades < levels - 1).any())
     counts = np.bincount(grades, minlength=levels) + 1.0
     above = counts[::-1].cumsum()[::-1][1:] / counts.sum()
     thresholds = -np.log(above / (1 - above))
     weights = np.zeros(SLOTS + _SHAPES)
     if not rows:
-        return Grader(weights, thresholds)
+        return Grader(weights, thresholds, separates)
     sizes = [len(s) for s, _ in rows]
     slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
     owner = np.repeat(np.arange(len(rows)), sizes)
@@ -132,7 +136,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
             x -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         w[words] = np.minimum(w[words], 0)
     weights[used] = w
-    return Grader(weights, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])))
+    return Grader(weights, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])), separates)
 
 
 def _tables_to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +153,13 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
     """Fits on at most ``sample_rows`` ratings (doc_id, grade from 0 to levels - 1).
 
     Ratings without a number or with a null grade or one out of range are ignored; of several ratings of
-    a document the lowest counts; ratings without a document have no effect.
+    a document the lowest counts; ratings without a document are left out before the sample is taken.
     """
     spark = prepare(docs.sparkSession)
     usable = ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1))
     picked = (
         usable.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+        .join(docs.select("doc_id").distinct(), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("grade", "text")
@@ -190,6 +195,11 @@ def grade(
     return docs.select(*carry, F.col(text).alias("_graded")).mapInArrow(score, schema)
 
 
+def good(model: Grader, tails: Column, least: float) -> Column:
+    """Whether the highest grade has at least the probability ``least``; true of all if the model does not separate."""
+    return tails[len(model.thresholds) - 1] >= least if model.separates else F.lit(True)
+
+
 def ratings_of(labels: DataFrame) -> DataFrame:
     """Grades of the label table: 0 toxic, 1 low quality, 2 neither.  Null labels count as neither toxic nor low."""
     toxic, low = F.coalesce(F.col("toxic"), F.lit(0)) != 0, F.coalesce(F.col("quality"), F.lit(1)) == 0

@@ -27,14 +27,15 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade of every document, its tail probabilities, and whether it is kept."""
+    """Expected grade of every document, its tail probabilities, and whether it is kept (all are, unless
+    good and worse documents are labelled)."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
     graded = quality.grade(docs, model, carry=["doc_id"])
     tails = F.col("quality.tails")
     return graded.select(
         "doc_id", F.col("quality.expected_grade").alias("expected_grade"),
-        tails[0].alias("p_not_toxic"), tails[1].alias("p_good"), (tails[1] >= 0.5).alias("keep"),
+        tails[0].alias("p_not_toxic"), tails[1].alias("p_good"), quality.good(model, tails, 0.5).alias("keep"),
     )
 
 

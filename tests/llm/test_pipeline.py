@@ -99,3 +99,12 @@ def test_empty_documents(spark, empty, tables):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.columns == [*COLUMNS, "shard", "slot"] and docs.count() == 0
+
+
+def test_empty_labels_reject_no_document(spark, tables):
+    from depgraph.llm.queries import op2_ordinal_quality
+
+    folder, rows = tables
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    assert ids(P.keep_good(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)) == [r[0] for r in rows]
+    assert op2_ordinal_quality(spark, folder).filter("keep").count() == len(rows)

@@ -62,6 +62,23 @@ def test_nulls_long_texts_repeated_rows_and_clashing_columns(spark, documents):
     assert len(got) == 4 and all(0 <= r.quality.expected_grade <= 2 for r in got)
 
 
+def test_ratings_of_other_tables_do_not_fill_the_sample(spark, documents):
+    train = rated(200)
+    ratings = [(i, g) for i, _, g in train] + [(i, 2) for i in range(10_000, 14_000)]
+    docs, rates = documents(*(r[:2] for r in train)), spark.createDataFrame(ratings, "doc_id long, grade int")
+    own = Q.train(docs, rates.filter("doc_id < 10000"), 3, sample_rows=200)
+    model = Q.train(docs, rates, 3, sample_rows=200)
+    assert model.separates and np.array_equal(model.weights, own.weights) and np.array_equal(model.thresholds, own.thresholds)
+
+
+def test_without_good_and_worse_rows_nothing_is_rejected(spark, documents):
+    docs = documents((1, "a b"), (2, None), (3, "c"))
+    for ratings in ([], [(9, 0), (8, 2)], [(1, 0)], [(1, 0), (3, 1)], [(1, 2)]):
+        model = Q.train(docs, spark.createDataFrame(ratings, "doc_id long, grade int"), 3)
+        assert not model.separates
+        assert Q.grade(docs, model).filter(Q.good(model, F.col("quality.tails"), 0.5)).count() == 3
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = Q.train(empty, none, 3)
