@@ -54,7 +54,7 @@ def _unpack(row: dict, kinds: dict[str, type]) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(open_up(row[k]), dtype=kind) for k, kind in kinds.items()}
 
 
-_INDEX = {"doc_ids": np.int64, "lengths": np.int64, "terms": np.uint64, "edges": np.int64, "docs": np.uint16, "times": np.uint16}
+_INDEX = {"doc_ids": np.int64, "lengths": np.int64, "terms": np.uint64, "edges": np.int64, "docs": np.uint16, "times": np.uint32}
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Shards of the index: doc_ids, lengths, terms (sorted codes), edges, docs and times (postings by term).
 
     Null and empty texts are documents without postings; rows without a doc_id cannot be named and are not
-    indexed; a repeated row is a document of its own.  A count beyond 65535 is stored as that.
+    indexed; a repeated row is a document of its own.
     """
     prepare(docs.sparkSession)
 
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                     lengths.append(counts.total())
                     owner.append(np.full(len(counts), i, dtype=np.uint16))
                     which.append(np.fromiter(map(number.__getitem__, counts), dtype=np.int64, count=len(counts)))
-                    times.append(np.minimum(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), 65535).astype(np.uint16))
+                    times.append(np.fromiter(counts.values(), dtype=np.uint32, count=len(counts)))
                 code = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
                 by_code = np.argsort(code)
                 rank = np.empty(len(code), dtype=np.int64)

@@ -43,6 +43,15 @@ def test_results_match_brute_force(spark, documents, monkeypatch, k, shard, term
     assert sorted(map(tuple, got.select("query_id", "rank", "doc_id", "score").collect())) == sorted(brute(docs, queries, k))
 
 
+def test_counts_beyond_two_bytes(spark, documents):
+    docs = [(1, "w " * 70_000), (2, "w " * 65_535 + "x " * 4_465), *((i, "y " * 20) for i in range(3, 300))]
+    got = S.top_k(documents(*docs), spark.createDataFrame([(7, "w")], "query_id long, text string")).collect()
+    mean, idf = (140_000 + 20 * 297) / 299, math.log(1 + (299 - 2 + 0.5) / 2.5)
+    want = [round(1e6 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 70_000 / mean))) for tf in (70_000, 65_535)]
+    assert [(r["rank"], r.doc_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, want[0]), (2, 2, want[1])]
+    assert want[0] > want[1]
+
+
 def test_skipped_blocks_do_not_change_the_answer(spark, documents, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_DOCS", 2)
     monkeypatch.setattr(S, "FREQUENT", 2)
