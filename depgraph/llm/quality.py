@@ -154,6 +154,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
 
     Ratings without a number or with a null grade or one out of range are ignored; of several ratings of
     a document the lowest counts; ratings without a document are left out before the sample is taken.
+    A document of several rows is one row of the sample, with its first text in binary order.
     """
     spark = prepare(docs.sparkSession)
     usable = ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1))
@@ -162,11 +163,14 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
         .join(docs.select("doc_id").distinct(), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("grade", "text")
+    sample = (
+        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
+    )
     found = sample.mapInArrow(_tables_to_rows, "grade int, slots binary, values binary").collect()
     found.sort(key=lambda r: (r.grade, bytes(r.slots)))
     rows = [(np.frombuffer(r.slots, dtype=np.int32).astype(np.int64), np.frombuffer(r["values"], dtype=np.float32)) for r in found]
-    return fit(rows[:sample_rows], np.array([r.grade for r in found[:sample_rows]], dtype=np.int64), levels)
+    return fit(rows, np.array([r.grade for r in found], dtype=np.int64), levels)
 
 
 def grade(

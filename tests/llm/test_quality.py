@@ -71,6 +71,16 @@ def test_ratings_of_other_tables_do_not_fill_the_sample(spark, documents):
     assert model.separates and np.array_equal(model.weights, own.weights) and np.array_equal(model.thresholds, own.thresholds)
 
 
+def test_repeated_rows_do_not_displace_the_highest_grade(spark, documents):
+    train = rated(200)
+    docs = documents(*(r[:2] for r in train))
+    bad = [r[:2] for r in train if r[2] == 0]
+    more = documents(*(r[:2] for r in train), *(bad[:1] * 500), *bad * 5)
+    ratings = spark.createDataFrame([(i, g) for i, _, g in train], "doc_id long, grade int")
+    once, often = Q.train(docs, ratings, 3, sample_rows=200), Q.train(more, ratings, 3, sample_rows=200)
+    assert often.separates and np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+
+
 def test_without_good_and_worse_rows_nothing_is_rejected(spark, documents):
     docs = documents((1, "a b"), (2, None), (3, "c"))
     for ratings in ([], [(9, 0), (8, 2)], [(1, 0)], [(1, 0), (3, 1)], [(1, 2)]):
