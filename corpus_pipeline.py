@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from depgraph.llm import decontamination, mixing, quality, sharding, shingle_join
 from depgraph.llm.common import table
+from depgraph.operators.ranking import running_total
 from depgraph.session import materialize
 
 #: Near duplicates: words of a shingle, and the similarity in percent from which documents are one group.
@@ -22,6 +23,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: Least probability of the highest grade that a document needs to stay.
 GOOD = 0.5
 SHARDS = 8
+#: Units in which the mix counts parts of a document.
+REST = 1 << 30
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,17 +59,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, as the mix of their sources takes their words.
 
-    A document of which the mix takes t of s words appears t / s times: the whole part as it is, the rest
-    as a chance that depends on the document's number alone.  Documents without words appear once.
+    A row of which the mix takes t of s words appears t / s times: the whole part as it is, the rest by the
+    running sum of the rests in its source, in order of size, which says where it passes a whole number.  So a
+    source's words stay near its target, by about its longest document.  Rows without words appear once.
     """
-    taken = mixing.taken_words(mixing.mix_sources(docs)).groupBy("doc_id").agg(
-        (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"), F.sum("size").alias("size")
-    ).withColumnRenamed("doc_id", "_mixed")
-    chance = F.pmod(F.xxhash64(F.lit(29), "_mixed"), F.lit(1 << 20)) / F.lit(1 << 20)
-    whole = F.floor("share")
-    copies = F.when(F.col("size") == 0, 1).otherwise(whole + (chance < F.col("share") - whole).cast("long"))
-    counted = taken.withColumn("_copies", copies.cast("int")).filter("_copies > 0").select("_mixed", "_copies")
-    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["_mixed"]))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    keyed = rows.select("doc_id", "text", "source", F.xxhash64(F.lit(29), "doc_id", "text").alias("_mark"), "_row")
+    taken = mixing.taken_words(mixing.mix_sources(keyed, row_key=("_mark", "_row")))
+    shares = taken.select(
+        "_row", "_mark", "src", "size", F.expr("taken div greatest(size, 1)").alias("whole"),
+        F.expr(f"(taken % greatest(size, 1)) * {REST} div greatest(size, 1)").alias("rest"),
+    )
+    placed = running_total(shares, ["size", "_mark", "_row"], "before", F.col("rest"), ["src"])
+    copies = F.expr(f"whole + (before + rest + {REST // 2}) div {REST} - (before + {REST // 2}) div {REST}")
+    counted = placed.select("_row", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("_copies"))
+    joined = rows.join(counted.filter("_copies > 0"), "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -28,13 +28,14 @@ ROUNDS = 12
 
 @dataclass
 class Mix:
-    """documents: doc_id, src, size, first (its first word in the source); sources: one row for each;
-    spans: pieces of documents in blocks; slots: shard, slot, src, epoch, block."""
+    """documents: doc_id, row key, src, size, first (its first word in the source); sources: one row for each;
+    spans: pieces of documents in blocks; slots: shard, slot, src, epoch, block; row_key: names of its columns."""
 
     documents: DataFrame
     sources: DataFrame
     spans: DataFrame
     slots: DataFrame
+    row_key: tuple[str, ...] = ()
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -129,18 +130,19 @@ def _draw(quotas: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS,
-    max_epochs: int = MAX_EPOCHS, seed: int = 17,
+    max_epochs: int = MAX_EPOCHS, seed: int = 17, row_key: tuple[str, ...] = (),
 ) -> Mix:
     """Plan of the mix over all documents (doc_id, text, source; other columns are ignored).
 
     Null texts and texts without words have size 0 and give no words.  Null sources form one source,
     the last.  Repeated rows count as documents of their own.  An empty table gives empty tables.
-    The same rows give the same mix in every run.
+    The same rows give the same mix in every run.  ``row_key``: columns that are carried along and order rows
+    of one number and size.
     """
     prepare(docs.sparkSession)
     sized = materialize(
         docs.select(
-            "doc_id", F.col("source").isNull().cast("int").alias("is_null"),
+            "doc_id", *row_key, F.col("source").isNull().cast("int").alias("is_null"),
             F.coalesce("source", F.lit("")).alias("name"), "source", word_count(F.col("text")).alias("size"),
         ),
         "mix-sizes",
@@ -148,7 +150,7 @@ def mix_sources(
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, max_epochs), "mix-targets")
     placed = sized.join(targets.select("is_null", "name", "src"), ["is_null", "name"])
-    placed = running_total(placed.select("doc_id", "src", "size"), ["doc_id", "size"], "first", F.col("size"), ["src"])
+    placed = running_total(placed.select("doc_id", *row_key, "src", "size"), ["doc_id", "size", *row_key], "first", F.col("size"), ["src"])
     placed = materialize(placed, "mix-documents")
     quotas = _quotas(targets, block_words, max_epochs)
     last = ((F.col("first") + F.col("size") - 1) / block_words).cast("long")
@@ -165,18 +167,18 @@ def mix_sources(
         "shard", "src", epoch.alias("epoch"),
         _shuffled(F.col("n") % F.col("blocks"), F.col("blocks"), seed + 2, F.col("src"), epoch).alias("block"),
     )
-    return Mix(placed, targets, spans, slots)
+    return Mix(placed, targets, spans, slots, row_key)
 
 
 def taken_words(mix: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, src, first and taken (words the mix takes) of every document."""
+    """doc_id, row key, size, source_size, target, src, first and taken (words the mix takes) of every document."""
     times = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     used = (
         mix.spans.join(times, ["src", "block"], "left")
-        .groupBy("doc_id", "src", "first", "size")
+        .groupBy("doc_id", *mix.row_key, "src", "first", "size")
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     )
-    empty = mix.documents.filter("size = 0").select("doc_id", "src", "first", "size", F.lit(0).cast("long").alias("taken"))
+    empty = mix.documents.filter("size = 0").select("doc_id", *mix.row_key, "src", "first", "size", F.lit(0).cast("long").alias("taken"))
     return used.unionByName(empty).join(mix.sources.select("src", "source_size", "target"), "src")
 
 

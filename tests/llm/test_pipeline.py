@@ -108,3 +108,20 @@ def test_empty_labels_reject_no_document(spark, tables):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
     assert ids(P.keep_good(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)) == [r[0] for r in rows]
     assert op2_ordinal_quality(spark, folder).filter("keep").count() == len(rows)
+
+
+def test_rows_without_or_with_one_number_are_mixed_one_by_one(spark, documents):
+    rows = [(i if i % 3 else None, prose(i, 50 + i % 30), "abc"[i % 7 % 3]) for i in range(300)]
+    rows += [(7, prose(1000 + i, 60), "c") for i in range(100)] + [(8, prose(3, 40), "b")] * 60 + [(None, None, "a")]
+    mixed = P.mix_to_targets(spark, documents(*rows), "").collect()
+    sizes, got = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    for r in mixed:
+        got[r.source] += len((r.text or "").split())
+    for source, target in targets(dict(sizes)).items():
+        assert got[source] == pytest.approx(target, abs=64 + 2 * 80)
+    texts = Counter(r.text for r in mixed if r.doc_id is None and r.source == "a")
+    share = targets(dict(sizes))["a"] / sizes["a"]
+    singles = [t for i, t, s in rows if i is None and s == "a" and t]
+    assert texts[None] == 1 and 0 < share < 1 and 0 < sum(texts[t] > 0 for t in singles) < len(singles)
