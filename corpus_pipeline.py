@@ -39,15 +39,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest number of each group of near duplicates; repeated rows stay once.
+    """One row of each group of near duplicates, that with the smallest number, then text hash; rows without a
+    number come last.  Rows of equal number and text stay once.
 
-    Documents without words are no one's duplicates.  Rows without a number stay unless one with a number
-    is similar.
+    Documents without words are no one's duplicates.
     """
-    groups = materialize(shingle_join.similar_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "similar")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    own = F.struct(F.col("doc_id").isNull().alias("unnumbered"), F.col("doc_id").alias("number"), F.xxhash64("text").alias("mark"))
+    groups = shingle_join.similar_documents(docs.select(own.alias("row"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT, doc_id="row")
+    groups = materialize(groups.select(F.col("doc_id").alias("row"), "component_id"), "similar")
+    first = groups.filter(F.col("row").eqNullSafe(F.col("component_id"))).groupBy("row").count()
+    first = materialize(first.select(F.col("row.number").alias("_kept"), F.col("row.mark").alias("_mark"), "count"), "firsts")
+    same = docs["doc_id"].eqNullSafe(first["_kept"]) & (F.xxhash64(docs["text"]) == first["_mark"])
+    kept = docs.join(first, same, "left_semi")
+    repeated = first.filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 

@@ -125,3 +125,15 @@ def test_rows_without_or_with_one_number_are_mixed_one_by_one(spark, documents):
     share = targets(dict(sizes))["a"] / sizes["a"]
     singles = [t for i, t, s in rows if i is None and s == "a" and t]
     assert texts[None] == 1 and 0 < share < 1 and 0 < sum(texts[t] > 0 for t in singles) < len(singles)
+
+
+def test_near_copies_without_or_with_one_number_go(spark, documents):
+    text, other, third = prose(1, 200, 5000), prose(2, 200, 5000), prose(3, 200, 5000)
+    docs = documents(
+        (3, text), (None, text + " end"), (None, text + " stop"), (None, other), (None, None), (None, ""),
+        (None, third), (None, third + " end"), (5, prose(4, 200, 5000)), (5, text + " five"),
+    )
+    first = sorted(((r.doc_id, r.text) for r in P.keep_first_of_similar(spark, docs, "").collect()), key=str)
+    left = [t for i, t in first if i is None and t and t.startswith(third)]
+    want = [(3, text), (None, other), (None, None), (None, ""), (5, prose(4, 200, 5000)), *((None, t) for t in left)]
+    assert len(left) == 1 and first == sorted(want, key=str)
