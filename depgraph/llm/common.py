@@ -38,6 +38,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: ASCII characters other than digits and letters become blanks.
+_BLANKED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased: runs of characters other than ASCII ones that are no digit or letter."""
+    return text.encode().lower().translate(_BLANKED).split() if text else []
+
+
 class Numbers(dict):
     """Numbers things in the order they are first looked up."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.llm import (
-    chat, decontamination, lm_scores, mixing, quality, search, sharding, shingle_join, token_files, urls,
+    chat, decontamination, fp_tree, lm_scores, mixing, quality, resampling, search, sharding, shingle_join, token_files, urls,
 )
 from depgraph.llm.common import prepare, table
 
@@ -128,6 +128,19 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, queries, 10)
 
 
+def op12_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty highest-scoring documents of every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return fp_tree.rank_documents(docs, items, 50).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the draw of every document, with the benchmark as the target."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    weighed = resampling.resample(docs, target, carry=["doc_id"])
+    return weighed.select("doc_id", *(f"importance.{c}" for c in ("n_features", "weight", "score", "rank")))
+
+
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 _OP3_SQL = f"""
@@ -245,6 +258,77 @@ ranked AS (
 SELECT query_id, "rank", doc_id, score FROM ranked WHERE "rank" <= 10
 """
 
+_OP12_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+_OP12_SQL = f"""
+WITH listed AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce({_OP12_TERMS}, []) AS terms FROM documents
+),
+items AS (SELECT DISTINCT item_id, unnest({_OP12_TERMS}) AS term FROM benchmark),
+stats AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM listed),
+held AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM listed) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, stats GROUP BY term, n_docs
+),
+figures AS (SELECT row_no, doc_id, 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM listed, stats WHERE len(terms) > 0),
+scored AS (
+  SELECT item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN held USING (term) JOIN weights USING (term) JOIN figures USING (row_no) GROUP BY ALL
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+# CRC-32 of a word's bytes, by the table of its polynomial
+_OP13_SQL = f"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY k) AS entry
+  FROM (SELECT unnest(range(256)) AS k)
+),
+listed AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce({_OP6_WORDS}, []) AS words FROM documents),
+places AS (SELECT row_no, unnest(words) AS word FROM listed),
+wanted AS (SELECT unnest({_OP6_WORDS}) AS word FROM benchmark),
+known AS (SELECT DISTINCT word, hex(encode(word)) AS raw FROM (SELECT word FROM places UNION ALL SELECT word FROM wanted)),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(raw) // 2 + 1), lambda i: ('0x' || substr(raw, 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM known, crc_table
+),
+own AS (SELECT bucket, count(*) AS s FROM places JOIN hashed USING (word) GROUP BY bucket),
+other AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM places) AS all_s, (SELECT count(*) FROM wanted) AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM own FULL JOIN other USING (bucket), totals
+),
+weighed AS (
+  SELECT row_no, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM places JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row_no
+),
+scored AS (
+  SELECT doc_id, row_no, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256(concat('2024:', doc_id)), 8))::BIGINT + 0.5::DOUBLE)
+                                               / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM listed LEFT JOIN weighed USING (row_no)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (10 * n) // 100 THEN place END AS rank
+FROM ranked
+"""
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -256,9 +340,12 @@ QUERIES = {
     "op8_backoff_scores": op8_backoff_scores,
     "op9_separator_scan": op9_separator_scan,
     "op10_bm25_top_k": op10_bm25_top_k,
+    "op12_document_tree": op12_document_tree,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
     "op3_shingle_jaccard": _OP3_SQL, "op6_suffix_decontamination": _OP6_SQL, "op7_url_rules": _OP7_SQL,
     "op8_backoff_scores": _OP8_SQL, "op10_bm25_top_k": _OP10_SQL,
+    "op12_document_tree": _OP12_SQL, "op13_importance_resampling": _OP13_SQL,
 }

@@ -53,7 +53,7 @@ def test_odd_and_empty_tables(spark, tmp_path, key):
     odd = run(spark, _write(spark, tmp_path / "odd", ODD)).collect()
     empty = run(spark, _write(spark, tmp_path / "empty", {})).collect()
     assert empty == []
-    whole = {"op4": None, "op7": 4, "op10": None, "pipeline": None}
+    whole = {"op4": None, "op7": 4, "op10": None, "op12": None, "pipeline": None}
     size = whole.get(key.split("_")[0], len(ODD["documents"]))
     assert size is None or len(odd) == size
 
