@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.llm import (
-    chat, decontamination, fp_tree, lm_scores, mixing, quality, resampling, search, sharding, shingle_join, token_files, urls,
+    chat, decontamination, fp_tree, lm_scores, mixing, quality, resampling, search, sharding, shingle_join, token_files, toxicity,
+    urls,
 )
 from depgraph.llm.common import prepare, table
 
@@ -128,6 +129,16 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, queries, 10)
 
 
+def op11_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the labels of held-out documents are never read."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    detector = toxicity.train(docs, labels.filter(~toxicity.is_held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, detector, carry=["doc_id"], name="score")
+    return scored.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op12_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty highest-scoring documents of every benchmark item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -340,6 +351,7 @@ QUERIES = {
     "op8_backoff_scores": op8_backoff_scores,
     "op9_separator_scan": op9_separator_scan,
     "op10_bm25_top_k": op10_bm25_top_k,
+    "op11_weak_toxicity": op11_weak_toxicity,
     "op12_document_tree": op12_document_tree,
     "op13_importance_resampling": op13_importance_resampling,
 }
