@@ -1157,8 +1157,9 @@ def _(w):
 
 @query("ST1_incremental_load", _FEED_NODES)
 def _(w):
-    """The same end state as a batch load, from a stream over files that carry no numbers."""
+    """The same end state as a batch load, from a stream over files that carry no numbers and come last ones first."""
     modules, records = _unnumbered(w)
+    fixture.arrive_in_reverse(w.spark, records)
     read, _bad = files.read_modules(w.spark, modules)
     base, checkpoint = new_path(w.spark, "landed"), new_path(w.spark, "progress")
     incremental.land(w.spark, records, base, checkpoint, files_per_batch=2).awaitTermination()

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depgraph.session import file_system
+
 ROOT = "Root"
 BUCKET = 10
 EXTERNAL = "(external)"
@@ -300,6 +302,14 @@ def written_in_order(feed: DataFrame, key: str, folder: str, later: DataFrame |
     return f"{folder}/*"
 
 
+def arrive_in_reverse(spark: SparkSession, pattern: str) -> None:
+    """Sets the times of written files so that those of later paths are older."""
+    location, system = file_system(spark, pattern)
+    found = [status.getPath() for folder in system.globStatus(location) for status in system.listStatus(folder.getPath())]
+    for age, path in enumerate(sorted(found, key=lambda p: p.toString())):
+        system.setTimes(path, 1_700_000_000_000 - 1000 * age, -1)
+
+
 def raw_sources(tables: dict[str, DataFrame], root: str = "/src") -> DataFrame:
     """(path, text): one source file per module, rendered from the flat tables."""
     text = F.concat_ws(

@@ -154,22 +154,26 @@ def bad_record() -> Column:
     return bad
 
 
-def in_feed_order(table: DataFrame, first_block: int = 0) -> DataFrame:
-    """Gives every row of a stored scan its feed number, ``seq``, unless the record brings its own.
+def block_ranks(places: DataFrame) -> DataFrame:
+    """Rank of every (_file, _block) by the path of the file, then the block in the file."""
+    return dense_index(places.select(*_PLACE[:2]).distinct(), _PLACE[:2], "_rank")
 
-    Numbers follow the path of the file, then the block in the file, then the row; how Spark packed
-    the blocks into tasks has no influence on the order.
-    """
-    blocks = dense_index(table.select(*_PLACE[:2]).distinct(), _PLACE[:2], "_rank")
+
+def numbered(table: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Gives every row its feed number, ``seq``, by the ranks of blocks, unless the record brings its own."""
     row = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    number = F.shiftleft(F.col("_rank") + F.lit(first_block).cast("bigint"), _ROW_BITS) + row
+    number = F.shiftleft("_rank", _ROW_BITS) + row
     own = F.col("seq") if "seq" in table.columns else F.lit(None).cast("bigint")
     return table.join(blocks, list(_PLACE[:2])).withColumn("seq", F.coalesce(own, number)).drop(*_PLACE, "_rank")
 
 
-def next_block(last_number: int | None) -> int:
-    """First rank for blocks that come after the row with this number."""
-    return 0 if last_number is None else (last_number >> _ROW_BITS) + 1
+def in_feed_order(table: DataFrame) -> DataFrame:
+    """Numbers the rows of a stored scan.
+
+    Numbers follow the path of the file, then the block in the file, then the row; how Spark packed
+    the blocks into tasks has no influence on the order.
+    """
+    return numbered(table, block_ranks(table))
 
 
 def _split_bad(scanned: DataFrame, schema: T.StructType, is_bad: Column) -> tuple[DataFrame, int]:

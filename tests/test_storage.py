@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from depgraph import schemas
 from depgraph.operators import build, map_layout as M
 from depgraph.plans import fixture
 from depgraph.sources import feeds as E
@@ -119,6 +120,115 @@ def test_stream_over_unnumbered_files_counts_what_it_rejects(spark, tmp_path):
     assert incremental.rejected(spark, base) == 3
 
 
+_ARRIVALS = [
+    [{"name": "a", "typeSignature": "old", "module": "Root.A", "deps": [{"name": "x"}]}, {"name": "p", "typeSignature": "p0"}],
+    [{"name": "a", "typeSignature": "mid", "module": "Root.A", "deps": [{"name": "x", "inType": True}, {"name": "y"}]},
+     {"name": "q", "typeSignature": "q1", "module": "Root.Q", "instantiates": "C", "instancePriority": 3}, "{broken"],
+    [{"name": "a", "typeSignature": "new", "module": "Root.B", "constructors": [{"name": "a.mk", "position": 0}]},
+     {"name": "q", "typeSignature": "q2", "module": "Root.Q", "deprecatedBy": {"replacement": "r", "since": "s"}}],
+    [{"name": "a", "typeSignature": "legacy"}, {"name": "S", "typeSignature": "t", "module": "Root.A",
+      "fields": [{"name": "S.x", "position": 0}], "extends": [{"parent": "P", "position": 0}]}],
+]
+
+
+@pytest.mark.parametrize("arrival", ["in order", "reversed", "at once", "one by one"])
+def test_any_arrival_gives_the_state_of_a_batch_load(spark, tmp_path, make_feeds, arrival):
+    """Files with equal, rising and falling times, together and apart."""
+    import os
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for number, lines in enumerate(_ARRIVALS):
+        path = _write(source / f"{number}.json", lines)
+        place = {"in order": number, "reversed": 9 - number}.get(arrival, 5)
+        os.utime(path, (1_700_000_000 + place, 1_700_000_000 + place))
+    modules = make_feeds([module("Root.A", declarations=[declaration("S", "structure"), declaration("b")])])
+    base = str(tmp_path / "landed")
+    batches = {"at once": 100, "one by one": 1}.get(arrival, 2)
+    incremental.land(spark, str(source), base, str(tmp_path / "cp"), files_per_batch=batches).awaitTermination()
+    assert incremental.rejected(spark, base) == 1
+    streamed = build.build_graph(incremental.landed(spark, base, modules))
+    records, bad = files.read_extract(spark, str(source))
+    kept = {name: getattr(modules, name) for name in ("modules", "namespaces", "imports", "declarations")}
+    whole = E.flatten(spark.createDataFrame([], schemas.MODULE_FEED), records).map(lambda name, table: kept.get(name, table))
+    batch = build.build_graph(whole)
+    assert bad == 1
+    for name in ("declarations", "depends_on", "instantiates", "deprecated_by", "has_field"):
+        table = getattr(batch, name)
+        assert rows(getattr(streamed, name), *table.columns) == rows(table), name
+    newest = streamed.declarations.filter("name = 'a'").first()
+    assert (newest["module"], newest["typeSignature"]) == ("Root.B", "legacy")
+
+
+def test_first_records_survive_the_merge(spark, tmp_path, make_feeds):
+    """Blocks take the first record of a name and its dependencies, whichever file came last."""
+    import os
+
+    from depgraph.operators import blocks as B
+
+    source = tmp_path / "in"
+    source.mkdir()
+    chunks = [
+        [{"name": "a", "typeSignature": "1", "module": "Root.A", "deps": [{"name": "b"}]}, {"name": "b", "typeSignature": "1", "module": "Root.A"}],
+        [{"name": "a", "typeSignature": "2", "module": "Root.A", "instantiates": "I", "deps": [{"name": "c"}]},
+         {"name": "c", "typeSignature": "2", "module": "Root.A"}],
+    ]
+    for number, lines in enumerate(chunks):
+        path = _write(source / f"{number}.json", lines)
+        os.utime(path, (1_700_000_009 - number, 1_700_000_009 - number))
+    modules = make_feeds([module("Root.A")])
+    base = str(tmp_path / "landed")
+    incremental.land(spark, str(source), base, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    alive = spark.createDataFrame([("Root.A",)], "name string")
+    placed = B.module_blocks(incremental.landed(spark, base, modules), alive)
+    names = {r["idx"]: (r["name"], r["k"]) for r in placed.decls.collect()}
+    assert names == {0: ("a", "def"), 1: ("b", "def"), 2: ("c", "def")}
+    assert rows(placed.edges, "src_idx", "dst_idx") == [(0, 1)]
+
+
+def test_a_batch_rewrites_only_the_ranges_it_touches(spark, tmp_path, make_feeds):
+    source, base, checkpoint = tmp_path / "in", str(tmp_path / "landed"), str(tmp_path / "cp")
+    source.mkdir()
+
+    def land(number, names):
+        _write(source / f"{number}.json", [{"name": n, "typeSignature": f"{n}{number}", "module": "Root.A"} for n in names])
+        incremental.land(spark, str(source), base, checkpoint, ranges=16, keep_superseded=True).awaitTermination()
+        return incremental.holders(spark, base)
+
+    first = land(0, [f"n{i}" for i in range(60)])
+    assert len(first) == 16 and set(first.values()) == {0}
+    second = land(1, ["n3"])
+    changed = [place for place in second if second[place] != 0]
+    assert len(changed) == 1 and second[changed[0]] == 1
+    state = incremental.landed(spark, base, make_feeds([module("Root.A")])).extract
+    assert state.count() == 61  # the first and the last record of n3
+    assert state.filter("name = 'n3'").orderBy(F.desc("seq")).first()["typeSignature"] == "n31"
+    assert incremental.forget_superseded(spark, base) == 1
+    assert state.sparkSession.read.parquet(f"{base}/extract").count() == 61
+    assert incremental.forget_superseded(spark, base) == 0
+
+
+def test_merging_records_does_not_depend_on_the_grouping(spark):
+    """Merge of merges equals one merge, in any order; repeats of old records add nothing."""
+    import random
+    from functools import reduce
+
+    draw = random.Random(2)
+    fields = incremental._schemas(spark)["extract"]
+    every = [
+        ((draw.choice([None, None, draw.randrange(9)]), f"f{draw.randrange(3)}", 0, i), f"n{i % 4}", f"s{i}", draw.choice([None, "A", "B"]),
+         draw.choice([None, "C"]), None, False, None, None, None, None, draw.randrange(2), 0)
+        for i in range(60)
+    ]
+    whole = rows(incremental.merge_records(spark.createDataFrame(every, fields)))
+    assert len(whole) < 60
+    for seed in range(3):
+        random.Random(seed).shuffle(every)
+        parts = [spark.createDataFrame(every[a:a + 20], fields) for a in range(0, 60, 20)]
+        merged = reduce(lambda a, b: incremental.merge_records(a.unionByName(b)), [*parts, parts[0]])
+        assert rows(merged) == whole
+
+
 def test_topics_always_have_a_default(spark):
     assert files.topic_dim(spark).count() == 28
     assert rows(files.topic_dim(spark, [("A", "a", 1.0, "c")]), "priority", "id") == [(0, "A"), (1, "_default")]
