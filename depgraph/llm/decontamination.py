@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from depgraph.llm.common import prepare, text_tables
+from depgraph.llm.common import prepare, text_tables, unused
 
 #: Words of a test window; an item with fewer words is one window.
 WINDOW = 10
@@ -237,21 +237,23 @@ def annotate(
     """
     spark = prepare(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
+    whole = unused("text", [*carry, name])
     blocks = [spark.sparkContext.broadcast(block) for block in blocks_of(items, window)]
     report = StructType.fromDDL(REPORT)
     schema = StructType([docs.schema[c] for c in carry]).add(name, report)
     arrow = to_arrow_schema(StructType().add(name, report)).field(0).type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in text_tables(batches, "_searched", SHARD_BYTES):
-            words = [words_of(t) for t in shard.column("_searched").to_pylist()]
+        for shard in text_tables(batches, whole, SHARD_BYTES):
+            words = [words_of(t) for t in shard.column(whole).to_pylist()]
             rows = pa.array(_report(words, blocks, window), type=arrow)
-            yield from shard.drop(["_searched"]).append_column(name, rows).to_batches(max_chunksize=1000)
+            yield from shard.drop([whole]).append_column(name, rows).to_batches(max_chunksize=1000)
 
-    return docs.select(*carry, F.col(text).alias("_searched")).mapInArrow(scan, schema)
+    return docs.select(*carry, F.col(text).alias(whole)).mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The documents without any match, with the columns they came with."""
-    clean = annotate(docs, items, window, text, name="_contamination").filter(F.col("_contamination.n_hit") == 0)
+    report = unused("contamination", docs.columns)
+    clean = annotate(docs, items, window, text, name=report).filter(F.col(report)["n_hit"] == 0)
     return clean.select(*docs.columns)

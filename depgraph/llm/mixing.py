@@ -5,7 +5,8 @@ of an output shard draws its source, which makes the source counts of a shard mu
 n-th slot of a source takes block ``permutation(n mod blocks)`` of epoch ``n div blocks``; the
 permutation is a swap-or-not shuffle, which needs no table and works for any number of blocks.
 Blocks are then joined by index.  Draws beyond a source's quota are handed, unit by unit, to the
-sources whose draws stayed below theirs, so that the totals meet the targets exactly in blocks.
+sources whose draws stayed below theirs.  A source's last slots take only the beginning of their blocks,
+so that its words meet the target, rounded to whole words, however small the source is.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ ROUNDS = 12
 @dataclass
 class Mix:
     """documents: doc_id, row key, src, size, first (its first word in the source); sources: one row for each;
-    spans: pieces of documents in blocks; slots: shard, slot, src, epoch, block; row_key: names of its columns."""
+    spans: pieces of documents in blocks; slots: shard, src, epoch, block, words (those it takes, from the block's
+    start) and full (whether these are all); row_key: names of its columns."""
 
     documents: DataFrame
     sources: DataFrame
@@ -72,27 +74,48 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     )
 
 
-def _shuffled(position: Column, size: Column, seed: int, *key: Column) -> Column:
-    """Swap-or-not: a pseudorandom permutation of 0 .. size - 1 for each key."""
+def _shuffled(position: Column, size: Column, seed: int, *key: Column, back: bool = False) -> Column:
+    """Swap-or-not: a pseudorandom permutation of 0 .. size - 1 for each key.  A round undoes itself, so the rounds
+    in reverse order lead ``back``."""
 
     def swap(at: Column, turn: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(F.lit(seed), *key, turn), size) - at, size)
         coin = F.xxhash64(F.lit(seed + 1), *key, turn, F.greatest(at, partner)).bitwiseAND(F.lit(1))
         return F.when(coin == 1, partner).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), position, swap)
+    turns = (ROUNDS, 1) if back else (1, ROUNDS)
+    return F.aggregate(F.sequence(*map(F.lit, turns)), position, swap)
 
 
-def _quotas(targets: DataFrame, block_words: int, max_epochs: int) -> DataFrame:
-    """Blocks of each source, its slots in the mix, and where its slots start on the line of all."""
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    wanted = F.round(F.col("target") * F.col("blocks") / F.greatest(F.col("source_size"), F.lit(1)))
-    sized = targets.withColumn("blocks", blocks).withColumn(
-        "quota", F.least(wanted.cast("long"), F.col("blocks") * max_epochs)
+def _quotas(targets: DataFrame, block_words: int, max_epochs: int, seed: int) -> DataFrame:
+    """Of each source: its blocks, the words of its last block, the words it gives, the slots that hold them, the last
+    epoch and the place of the last block in it, and where its slots start on the line of all.
+
+    Whole epochs give the whole source.  The slots of the epoch that is cut short are as many as are needed even
+    if the last block is among them.
+    """
+    size = F.greatest("source_size", F.lit(1))
+    sized = targets.withColumns({
+        "blocks": F.ceil(F.col("source_size") / block_words).cast("long"),
+        "gives": F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs),
+    })
+    sized = sized.withColumns({
+        "last_words": F.col("source_size") - (F.col("blocks") - 1) * block_words,
+        "last_epoch": (F.col("gives") / size).cast("long"), "rest": F.col("gives") % size,
+    })
+    needed = F.ceil((F.col("rest") + block_words - F.col("last_words")) / block_words).cast("long")
+    cut = F.when(F.col("rest") > 0, F.least(needed, F.col("blocks"))).otherwise(0)
+    sized = sized.withColumn("quota", F.col("last_epoch") * F.col("blocks") + cut).withColumn(
+        "last_place",
+        _shuffled(F.col("blocks") - 1, F.greatest("blocks", F.lit(1)), seed + 2, F.col("src"), F.col("last_epoch"), back=True),
     )
     return materialize(running_total(sized, ["src"], "line", F.col("quota")), "mix-quotas")
 
 
+#: Slots that a task draws places for.
+TASK_SLOTS = 1 << 14
+
+
 def _draw(quotas: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     """shard, src, n: the slots of all shards, each source's slots numbered through."""
     spark = quotas.sparkSession
@@ -119,7 +142,8 @@ def _draw(quotas: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     )
     state = running_total(state, ["src"], "over_line", F.coalesce("over", F.lit(0)))
     state = materialize(running_total(state, ["src"], "under_line", F.col("under")), "mix-state")
-    units = numbered.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)))
+    # the counts are few rows, the slots are many: spread them before they unfold
+    units = numbered.repartition(max(1, slots // TASK_SLOTS), "shard", "src").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)))
     units = units.join(state, "src").select("shard", "src", "quota", "over_line", (F.col("before") + F.col("i")).alias("n"))
     fine = units.filter("n < quota").select("shard", "src", "n")
     spare = units.filter("n >= quota").select("shard", (F.col("over_line") + F.col("n") - F.col("quota")).alias("unit"))
@@ -152,7 +176,7 @@ def mix_sources(
     placed = sized.join(targets.select("is_null", "name", "src"), ["is_null", "name"])
     placed = running_total(placed.select("doc_id", *row_key, "src", "size"), ["doc_id", "size", *row_key], "first", F.col("size"), ["src"])
     placed = materialize(placed, "mix-documents")
-    quotas = _quotas(targets, block_words, max_epochs)
+    quotas = _quotas(targets, block_words, max_epochs, seed)
     last = ((F.col("first") + F.col("size") - 1) / block_words).cast("long")
     spans = (
         placed.filter("size > 0")
@@ -160,30 +184,44 @@ def mix_sources(
         .withColumn("start", F.greatest(F.col("first"), F.col("block") * block_words))
         .withColumn("words", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start"))
         .withColumn("offset", F.col("start") - F.col("first"))
+        .withColumn("inside", F.col("start") - F.col("block") * block_words)
     )
-    drawn = _draw(quotas, shard_blocks, seed).join(quotas.select("src", "blocks"), "src")
-    epoch = (F.col("n") / F.col("blocks")).cast("long")
-    slots = drawn.select(
-        "shard", "src", epoch.alias("epoch"),
-        _shuffled(F.col("n") % F.col("blocks"), F.col("blocks"), seed + 2, F.col("src"), epoch).alias("block"),
+    drawn = _draw(quotas, shard_blocks, seed).join(
+        quotas.select("src", "blocks", "source_size", "last_words", "gives", "last_epoch", "last_place"), "src"
+    )
+    epoch, place = F.expr("n div blocks"), F.col("n") % F.col("blocks")
+    before = epoch * F.col("source_size") + place * block_words - F.when(
+        (epoch == F.col("last_epoch")) & (F.col("last_place") < place), block_words - F.col("last_words")
+    ).otherwise(0)
+    block = _shuffled(place, F.col("blocks"), seed + 2, F.col("src"), epoch)
+    placed_slots = drawn.withColumns({"epoch": epoch, "block": block, "before": before})
+    length = F.when(F.col("block") == F.col("blocks") - 1, F.col("last_words")).otherwise(block_words)
+    left = F.greatest(F.col("gives") - F.col("before"), F.lit(0))
+    cut = (F.col("epoch") == F.col("last_epoch")) & (left < length)
+    slots = placed_slots.select(
+        "shard", "src", "epoch", "block", F.when(cut, left).otherwise(length).cast("long").alias("words"), (~cut).alias("full")
     )
     return Mix(placed, targets, spans, slots, row_key)
 
 
 def taken_words(mix: Mix) -> DataFrame:
     """doc_id, row key, size, source_size, target, src, first and taken (words the mix takes) of every document."""
-    times = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
+    # a block is cut short at most once, in the last epoch
+    times = mix.slots.groupBy("src", "block").agg(
+        F.count_if("full").alias("times"), F.max(F.when(~F.col("full"), F.col("words"))).alias("part")
+    )
+    begun = F.greatest(F.least(F.col("part") - F.col("inside"), F.col("words")), F.lit(0))
     used = (
         mix.spans.join(times, ["src", "block"], "left")
         .groupBy("doc_id", *mix.row_key, "src", "first", "size")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0)) + F.coalesce(F.when(F.col("part").isNotNull(), begun), F.lit(0))).alias("taken"))
     )
     empty = mix.documents.filter("size = 0").select("doc_id", *mix.row_key, "src", "first", "size", F.lit(0).cast("long").alias("taken"))
     return used.unionByName(empty).join(mix.sources.select("src", "source_size", "target"), "src")
 
 
 def mixed_blocks(mix: Mix, docs: DataFrame) -> DataFrame:
-    """shard, slot, src, epoch, block and the block's text, words parted by single blanks.
+    """shard, slot, src, epoch, block, words, full and the words that the slot takes, parted by single blanks.
 
     Needs unique document numbers.  A shard's slots are in hash order.
     """
@@ -194,8 +232,9 @@ def mixed_blocks(mix: Mix, docs: DataFrame) -> DataFrame:
         "src", "block", "start", F.slice("all_words", (F.col("offset") + 1).cast("int"), F.col("words").cast("int")).alias("part")
     )
     texts = parts.groupBy("src", "block").agg(
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])), " ").alias("text")
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])).alias("all_words")
     )
     order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "src", "epoch", "block"), "src", "epoch", "block")
     slots = mix.slots.withColumn("slot", F.row_number().over(order) - 1)
-    return slots.join(texts, ["src", "block"])
+    text = F.array_join(F.slice("all_words", F.lit(1), F.col("words").cast("int")), " ").alias("text")
+    return slots.join(texts, ["src", "block"]).select(*slots.columns, text)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from depgraph.llm.common import prepare, text_tables
+from depgraph.llm.common import prepare, text_tables, unused
 
 #: Labelled rows the model is fitted on at most: the first by the hash of their document number.
 SAMPLE_ROWS = 8_000
@@ -182,6 +182,7 @@ def grade(
     """
     spark = prepare(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
+    whole = unused("text", [*carry, name])
     shared = spark.sparkContext.broadcast(Grader(model.weights.astype(np.float32), model.thresholds))
     schema = StructType([docs.schema[c] for c in carry]).add(
         name, StructType.fromDDL("expected_grade double, tails array<double>")
@@ -190,13 +191,13 @@ def grade(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in text_tables(batches, "_graded", TABLE_BYTES):
-            scores = np.array([own.score(t) for t in part.column("_graded").to_pylist()])
+        for part in text_tables(batches, whole, TABLE_BYTES):
+            scores = np.array([own.score(t) for t in part.column(whole).to_pylist()])
             tails = own.tails(scores)
             rows = [{"expected_grade": float(t.sum()), "tails": t.tolist()} for t in tails]
-            yield from part.drop(["_graded"]).append_column(name, pa.array(rows, arrow)).to_batches(max_chunksize=1000)
+            yield from part.drop([whole]).append_column(name, pa.array(rows, arrow)).to_batches(max_chunksize=1000)
 
-    return docs.select(*carry, F.col(text).alias("_graded")).mapInArrow(score, schema)
+    return docs.select(*carry, F.col(text).alias(whole)).mapInArrow(score, schema)
 
 
 def good(model: Grader, tails: Column, least: float) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from tokenizers import Regex, pre_tokenizers
 
-from depgraph.llm.common import prepare, text_tables
+from depgraph.llm.common import prepare, text_tables, unused
 from depgraph.operators.ranking import dense_index
 from depgraph.session import materialize
 
@@ -102,25 +102,26 @@ def bucket_table(
     Null and empty texts have no words and no features.
     """
     prepare(docs.sparkSession)
+    whole = unused("text", carry)
     schema = StructType([docs.schema[c] for c in carry]).add("_words", "long").add("_features", "long")
     schema = schema.add("_buckets", "binary").add("_times", "binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Buckets(max_words, buckets)
-        for part in text_tables(batches, "_sampled", TABLE_BYTES):
-            found = [of(t) for t in part.column("_sampled").to_pylist()]
+        for part in text_tables(batches, whole, TABLE_BYTES):
+            found = [of(t) for t in part.column(whole).to_pylist()]
             columns = {
                 "_words": pa.array([w for w, _, _ in found], pa.int64()),
                 "_features": pa.array([int(t.sum()) for _, _, t in found], pa.int64()),
                 "_buckets": pa.array([b.astype(np.int32).tobytes() for _, b, _ in found], pa.binary()),
                 "_times": pa.array([t.astype(np.int64).tobytes() for _, _, t in found], pa.binary()),
             }
-            part = part.drop(["_sampled"])
+            part = part.drop([whole])
             for name, column in columns.items():
                 part = part.append_column(name, column)
             yield from part.to_batches(max_chunksize=1000)
 
-    rows = docs.select(*carry, F.col(text).alias("_sampled")).mapInArrow(count, schema)
+    rows = docs.select(*carry, F.col(text).alias(whole)).mapInArrow(count, schema)
     return materialize(rows, "bucket-table")
 
 

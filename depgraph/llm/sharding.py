@@ -1,18 +1,22 @@
 """Vector bin packing of documents into shards, balanced in bytes, words and rows at once.
 
 Equal texts form a group.  Each group goes to the shard whose residual capacity has the highest
-dot product with the group's demand.  Groups that are large against a shard come first, in one
-global order; their number is bounded by the number of shards over ``LARGE``.  The rest is dealt
-to cells by hash; each cell repeats the same rule with its share of what the large groups left,
-so the cells can run side by side and their results add up.
-
-A group stays whole while some shard has room for it; only a group that fits nowhere is divided,
-copy by copy.
+dot product with the group's demand, among the shards that have room for it in every dimension; all
+dimensions weigh alike, as parts of their totals.  Where no shard has room in all, those with room in
+bytes are left, and where none has that, the one with the most: so a shard is overfull in bytes by one
+group at most.  Groups that are large against a shard come first, in one global order; their number is
+bounded by the number of shards over ``LARGE``.  The rest is dealt to cells by hash; each cell repeats the
+same rule with its share of what the large groups left, so the cells can run side by side and their
+results add up.
+
+A group stays whole while some shard has room for it; only a large group that fits nowhere is divided, into
+one piece for each shard at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,6 @@ from depgraph.session import materialize
 LARGE = 1 / 500
 #: Groups that a cell of small groups holds on average.
 CELL_GROUPS = 20_000
-#: Weight of bytes, words and rows in the dot product.
-WEIGHTS = np.array([128.0, 2.0, 1.0])
 _DEMAND = ["bytes", "words", "rows"]
 
 
@@ -37,59 +39,86 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def slim(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, group key and demand of every document."""
+def slim(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row_key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, row key, group key and demand of every document."""
     body = F.col(text)
     return docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(doc_id).alias("doc_id"), *row_key,
         F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(b"")).alias("key"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         byte_size(body).alias("bytes"), word_count(body).alias("words"),
     )
 
 
+#: Part of a total that rounding may make of nothing.
+_NOTHING = 1e-12
+
+
+def _best(residual: np.ndarray, item: np.ndarray) -> int:
+    """The shard for one group: see the rule above.  Ties go to the lowest shard."""
+    room = residual + _NOTHING >= item
+    fits = room.all(axis=1)
+    if not fits.any():
+        fits = room[:, 0]
+        if not fits.any():
+            return int(np.argmax(residual[:, 0]))
+    return int(np.argmax(np.where(fits, residual @ item, -np.inf)))
+
+
 def _fill(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
     """Shard of each demand, in the order given; ``residual`` (shards x 3) is used up."""
     out = np.empty(len(demand), dtype=np.int32)
     for i, item in enumerate(demand):
-        best = int(np.argmax(residual @ (item * WEIGHTS)))
+        best = out[i] = _best(residual, item)
         residual[best] -= item
-        out[i] = best
     return out
 
 
+def _divide(copies: int, one: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """How many of the copies each shard takes: in proportion to those it has room for, and the few that rounding
+    leaves to the shards of the most bytes left.  Evenly where no shard has room for any."""
+    room = np.maximum((residual[:, one > 0] / one[one > 0]).min(axis=1, initial=float(copies)), 0)
+    if room.sum() <= 0:
+        room = np.ones(len(residual))
+    taken = np.floor(copies * room / room.sum()).astype(np.int64)
+    order = np.argsort(-(residual[:, 0] - taken * one[0]), kind="stable")
+    taken[order[:copies - taken.sum()]] += 1
+    return taken
+
+
 def _place_large(large: list, totals: np.ndarray, shards: int) -> tuple[list, np.ndarray]:
-    """Pieces (key, first copy, copies, shard) of the large groups; the capacity left."""
+    """Pieces (key, first copy, copies, shard) of the large groups, at most one a shard for each; the capacity left."""
     scale = np.maximum(totals, 1.0)
     residual = np.tile(totals / scale / shards, (shards, 1))
     pieces = []
     for row in large:
-        one = np.array([row.bytes, row.words, row.rows], dtype=float) / scale / row.rows
-        left, first = row.rows, 0
-        while left:
-            score = residual @ (one * WEIGHTS)
-            fits = (residual + 1e-12 >= one * left).all(axis=1)
-            if fits.any():
-                best, copies = int(np.argmax(np.where(fits, score, -np.inf))), left
-            else:
-                best = int(np.argmax(score))
-                room = (residual[best] / np.maximum(one, 1e-300)).min()
-                copies = min(left, max(1, int(room + 1e-9)))
-            residual[best] -= one * copies
-            pieces.append((bytearray(row.key), first, copies, best))
-            left, first = left - copies, first + copies
+        item = np.array([row.bytes, row.words, row.rows], dtype=float) / scale
+        if row.rows == 1 or (residual + _NOTHING >= item).all(axis=1).any():
+            best = _best(residual, item)
+            residual[best] -= item
+            pieces.append((bytearray(row.key), 0, row.rows, best))
+            continue
+        one, first = item / row.rows, 0
+        for k, copies in enumerate(_divide(row.rows, one, residual)):
+            if copies:
+                residual[k] -= one * copies
+                pieces.append((bytearray(row.key), first, int(copies), k))
+                first += int(copies)
     return pieces, residual
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, bytes, words, text_crc32, key, shard and slot (gapless from 0) of every document.
+def shard_documents(
+    docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", row_key: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, row key, bytes, words, text_crc32, key, shard and slot (gapless from 0) of every document.
 
     Null texts form one group of size 1 each, and have no checksum.  Repeated rows are copies like
     any others.  Ties go to the lowest shard.  Other columns are ignored; an empty table gives an
-    empty result.
+    empty result.  ``row_key``: columns that are carried along and order rows of one number and text.
     """
     spark = prepare(docs.sparkSession)
-    rows = materialize(slim(docs, text, doc_id), "shard-rows")
+    order = ["doc_id", "text_crc32", "bytes", *row_key]
+    rows = materialize(slim(docs, text, doc_id, row_key), "shard-rows")
     groups = materialize(
         rows.groupBy("key").agg(
             F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows")
@@ -118,7 +147,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         .groupBy("cell").applyInPandas(pack, "key binary, shard int")
         .select("key", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("copies"), "shard")
     )
-    divided = {bytes(p[0]) for p in pieces if p[1] > 0}
+    pieces_of = Counter(bytes(p[0]) for p in pieces)
+    divided = {key for key, n in pieces_of.items() if n > 1}
     whole = [(k, 0, None, s) for k, _, _, s in pieces if bytes(k) not in divided]
     schema = "key binary, first long, copies long, shard int"
     homes = materialize(small.unionByName(spark.createDataFrame(whole, schema)), "shard-homes")
@@ -127,9 +157,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         parts = spark.createDataFrame([p for p in pieces if bytes(p[0]) in divided], schema)
         ranked = position_in_group(
             rows.join(F.broadcast(parts.select("key").distinct()), "key", "left_semi"),
-            ["key"], ["doc_id", "text_crc32", "bytes"], "copy",
+            ["key"], order, "copy",
         )
         inside = (F.col("copy") >= F.col("first")) & (F.col("copy") < F.col("first") + F.col("copies"))
         split = ranked.join(F.broadcast(parts), "key").filter(inside).select(*rows.columns, "shard")
         placed = placed.unionByName(split)
-    return position_in_group(placed, ["shard"], ["doc_id", "text_crc32", "bytes"], "slot")
+    return position_in_group(placed, ["shard"], order, "slot")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from depgraph.llm.common import ascii_words, prepare, text_tables
+from depgraph.llm.common import ascii_words, prepare, text_tables, unused
 from depgraph.session import materialize
 
 #: Labelled rows that voters and classifier are made from at most: the first by the hash of their number.
@@ -410,16 +410,18 @@ def _candidates(sample: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray,
 
 
 def vote(docs: DataFrame, voters: Voters, carry: list[str], text: str = "text") -> DataFrame:
-    """The ``carry`` columns and ``bits``, the voters who say yes, of every document."""
+    """The ``carry`` columns and ``bits``, the voters who say yes, of every document; a column called so is replaced."""
+    carry = [c for c in carry if c != "bits"]
+    whole = unused("text", [*carry, "bits"])
     shared = docs.sparkSession.sparkContext.broadcast(voters)
     schema = StructType([docs.schema[c] for c in carry]).add("bits", "long")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_tables(batches, "_voted", TABLE_BYTES):
-            bits = [shared.value.votes(t) for t in part.column("_voted").to_pylist()]
-            yield from part.drop(["_voted"]).append_column("bits", pa.array(bits, pa.int64())).to_batches(max_chunksize=1000)
+        for part in text_tables(batches, whole, TABLE_BYTES):
+            bits = [shared.value.votes(t) for t in part.column(whole).to_pylist()]
+            yield from part.drop([whole]).append_column("bits", pa.array(bits, pa.int64())).to_batches(max_chunksize=1000)
 
-    return docs.select(*carry, F.col(text).alias("_voted")).mapInArrow(ask, schema)
+    return docs.select(*carry, F.col(text).alias(whole)).mapInArrow(ask, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Detector:
@@ -480,12 +482,13 @@ def score(docs: DataFrame, detector: Detector, carry: list[str] | None = None, t
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     if detector.classifier is None:
         return docs.select(*carry, F.lit(0.0).alias(name))
+    whole = unused("text", [*carry, name])
     shared = spark.sparkContext.broadcast(detector.classifier)
     schema = StructType([docs.schema[c] for c in carry]).add(name, "double")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_tables(batches, "_scored", TABLE_BYTES):
-            scores = [round(shared.value.score(t), 6) for t in part.column("_scored").to_pylist()]
-            yield from part.drop(["_scored"]).append_column(name, pa.array(scores, pa.float64())).to_batches(max_chunksize=1000)
+        for part in text_tables(batches, whole, TABLE_BYTES):
+            scores = [round(shared.value.score(t), 6) for t in part.column(whole).to_pylist()]
+            yield from part.drop([whole]).append_column(name, pa.array(scores, pa.float64())).to_batches(max_chunksize=1000)
 
-    return docs.select(*carry, F.col(text).alias("_scored")).mapInArrow(rate, schema)
+    return docs.select(*carry, F.col(text).alias(whole)).mapInArrow(rate, schema)

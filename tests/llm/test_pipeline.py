@@ -137,3 +137,28 @@ def test_near_copies_without_or_with_one_number_go(spark, documents):
     left = [t for i, t in first if i is None and t and t.startswith(third)]
     want = [(3, text), (None, other), (None, None), (None, ""), (5, prose(4, 200, 5000)), *((None, t) for t in left)]
     assert len(left) == 1 and first == sorted(want, key=str)
+
+
+def test_texts_of_one_checksum_and_rows_of_one_number_keep_their_columns(spark, documents):
+    """plumless and buckeroo share their CRC-32 and length; rows may share number and text and differ in language."""
+    import zlib
+
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    docs = documents((None, "plumless", "a"), (None, "buckeroo", "b"), (1, "same text", "a"), (1, "same text", "b"))
+    docs = docs.withColumn("lang", F.when(F.col("source") == "a", "en").otherwise("fr"))
+    placed = P.assign_shards(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text, r.lang, r.source) for r in placed), key=str) == [
+        (1, "same text", "en", "a"), (1, "same text", "fr", "b"), (None, "buckeroo", "fr", "b"), (None, "plumless", "en", "a"),
+    ]
+
+
+def test_columns_with_names_of_intermediate_ones_come_back_as_they_were(spark, tables):
+    folder, _ = tables
+    names = ["_row", "_copy", "_copies", "_id", "_crc", "_bytes", "_grade", "_graded", "row", "number", "copies", "mark", "key", "slot_"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id > 250 OR doc_id % 10 = 0")
+    odd = docs.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for number, (_, stage) in enumerate(P.STAGES):
+        odd = stage(spark, odd, folder)
+        rows = odd.collect()
+        assert odd.columns == [*COLUMNS, *names, *(["shard", "slot"] if number == 4 else [])]
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
