@@ -7,9 +7,6 @@ last return the columns of ``documents``.  Tables other than documents are read
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +31,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labelled documents of the highest grade and of a lower one nothing is rejected.
     """
     model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")), 3)
-    graded = quality.grade(docs, model, name="_grade")
-    return graded.filter(quality.good(model, F.col("_grade.tails"), GOOD)).select(*docs.columns)
+    graded = quality.grade(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, carry=["row"], name="grade")
+    return graded.filter(quality.good(model, F.col("grade.tails"), GOOD)).select("row.*")
 
 
 def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +57,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def _numbered_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of a document) and number, which tells rows apart even if they are equal."""
+    return materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered-rows")
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, as the mix of their sources takes their words.
 
@@ -67,32 +69,27 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     running sum of the rests in its source, in order of size, which says where it passes a whole number.  So a
     source's words stay near its target, by about its longest document.  Rows without words appear once.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    keyed = rows.select("doc_id", "text", "source", F.xxhash64(F.lit(29), "doc_id", "text").alias("_mark"), "_row")
-    taken = mixing.taken_words(mixing.mix_sources(keyed, row_key=("_mark", "_row")))
+    rows = _numbered_rows(docs)
+    keyed = rows.select("row.doc_id", "row.text", "row.source", F.xxhash64(F.lit(29), "row.doc_id", "row.text").alias("mark"), "number")
+    taken = mixing.taken_words(mixing.mix_sources(keyed, row_key=("mark", "number")))
     shares = taken.select(
-        "_row", "_mark", "src", "size", F.expr("taken div greatest(size, 1)").alias("whole"),
+        "number", "mark", "src", "size", F.expr("taken div greatest(size, 1)").alias("whole"),
         F.expr(f"(taken % greatest(size, 1)) * {REST} div greatest(size, 1)").alias("rest"),
     )
-    placed = running_total(shares, ["size", "_mark", "_row"], "before", F.col("rest"), ["src"])
+    placed = running_total(shares, ["size", "mark", "number"], "before", F.col("rest"), ["src"])
     copies = F.expr(f"whole + (before + rest + {REST // 2}) div {REST} - (before + {REST // 2}) div {REST}")
-    counted = placed.select("_row", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("_copies"))
-    joined = rows.join(counted.filter("_copies > 0"), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    counted = placed.select("number", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("copies"))
+    joined = rows.join(counted.filter("copies > 0"), "number")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents, and shard and slot (gapless from 0 in each shard), which replace
     columns of these names."""
-    keys = ["_id", "_crc", "_bytes"]
-    placed = sharding.shard_documents(docs, SHARDS).select(
-        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("bytes").alias("_bytes"), "shard", "slot"
-    )
-    texts = docs.drop("shard", "slot").withColumns({
-        "_id": F.col("doc_id"), "_crc": F.crc32(F.col("text").cast("binary")), "_bytes": sharding.byte_size(F.col("text")),
-    }).dropDuplicates(keys)
-    same = reduce(and_, (texts[k].eqNullSafe(placed[k]) for k in keys))
-    return texts.join(placed, same).drop(*keys)
+    rows = _numbered_rows(docs)
+    placed = sharding.shard_documents(rows.select("number", "row.doc_id", "row.text"), SHARDS, row_key=("number",))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.join(placed.select("number", "shard", "slot"), "number").select(*kept, "shard", "slot")
 
 
 STAGES = [
