@@ -150,7 +150,7 @@ def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def module_map(
     feeds: Feeds, topics: DataFrame, root: str, bad_lines: int = 0,
     graph: G.ModuleGraph | None = None, levels: DataFrame | None = None,
-    pairs: DataFrame | None = None, scores: DataFrame | None = None,
+    words: DataFrame | None = None, scores: DataFrame | None = None,
 ) -> ModuleMap:
     """The whole map; stages computed earlier may be passed in.
 
@@ -168,12 +168,12 @@ def module_map(
         )
         scores_job = pool.submit(ranked) if scores is None else None
         levels = levels if levels is not None else G.topological_levels(graph)
-        pairs = pairs if pairs is not None else G.closure(graph.edges, levels)
+        words = words if words is not None else G.closure(graph.edges, levels)
         structure = structure_job.result()
         scores = scores if scores_job is None else scores_job.result()
 
     order = G.topological_order(levels)
-    xs = node_x(G.closure_sizes(graph.nodes, pairs), levels)
+    xs = node_x(G.closure_sizes(graph.nodes, words), levels)
     topics_of = assign_topics(graph.nodes, topics, root)
     placed = topics_of.join(order, "id").join(xs, "id").join(radii(scores), "id")
     props = feeds.modules.groupBy(F.col("module").alias("name")).agg(
@@ -187,7 +187,7 @@ def module_map(
         C.truncate_doc(F.col("p.docstring")).alias("docstring"),
     )
     nodes = materialize(nodes, "map_nodes")
-    reduced = materialize(named_edges(G.transitive_reduction(pairs), graph.nodes), "map_edges")
+    reduced = materialize(named_edges(G.transitive_reduction(graph.edges, words), graph.nodes), "map_edges")
     stats = map_stats(nodes, graph.edges, reduced, structure, graph.external_imports, bad_lines)
     return ModuleMap(nodes, reduced, structure, topics, stats)
 

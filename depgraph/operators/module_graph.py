@@ -89,9 +89,15 @@ def peel(
     nodes still pending, in one grouped pass; placed nodes are never touched again.
     Several rounds are one job, and the edges are cut down to those of pending nodes
     each time half of these are placed, so an edge is read a few times and not once a level.
+
+    Deep graphs are mostly chains.  After the first levels, and again after twice as many, chains of pending
+    nodes with one dependency and one importer are contracted: when the first node of a chain is placed,
+    the message of its last node is under way until the level that one would have, and levels
+    in between that hold nothing else are skipped.
+
     ``key`` orders the nodes of one level as a first-in-first-out peel in id order
     would pop them: by the last-popped dependency, which always lies on the level
-    before, then by id.
+    before, then by id.  Nobody but the next node of a chain follows its inner nodes, so these share the key of the first.
     """
     needed = edges.groupBy(F.col("importer").alias("id")).agg(F.count(F.lit(1)).alias("needed"))
     key = F.array("id") if keep_order else F.lit(None).cast("array<bigint>")
@@ -101,59 +107,164 @@ def peel(
     spark = nodes.sparkSession
     rounds = Rounds(spark, "peel")
     text = _ORDERED_ROUND if keep_order else _PLAIN_ROUND
-    first, unranked, at_cut = 0, 0, None
+    chains = spark.createDataFrame([], _CHAINS)
+    under_way = spark.createDataFrame([], _UNDER_WAY)
+    inner: list[DataFrame] = []
+    shared_keys: list[DataFrame] = []
+    first, unranked, at_cut, contract_at = 0, 0, None, _CONTRACT_AFTER
     while True:
         top = first + _LEVELS_PER_WRITE - 1
-        rows = state.filter("missing = 0").withColumn("level", F.lit(first).cast("bigint"))
+        rows = _leveled(state.filter("missing = 0"), first)
         for level in range(first + 1, top + 1):
             placed, pending = state.filter("missing = 0"), state.filter("missing > 0")
-            state = spark.sql(text, placed=placed, pending=pending, edges=edges)
-            rows = rows.unionByName(state.filter("missing = 0").withColumn("level", F.lit(level).cast("bigint")))
-        rest = state.filter("missing > 0").withColumn("level", F.lit(_PENDING).cast("bigint"))
+            if inner:
+                sent = spark.sql(_SENT, placed=placed, chains=chains, level=level - 1)
+                under_way = under_way.filter(F.col("arrive") >= level - 1).unionByName(sent)
+            arrived = under_way.filter(F.col("arrive") == level - 1)
+            state = spark.sql(text, placed=placed, pending=pending, edges=edges, arrived=arrived)
+            rows = rows.unionByName(_leveled(state.filter("missing = 0"), level))
+        if inner:
+            sent = spark.sql(_SENT, placed=state.filter("missing = 0"), chains=chains, level=top)
+            under_way = under_way.filter(F.col("arrive") >= top).unionByName(sent)
+        rest = _leveled(state.filter("missing > 0"), _PENDING)
+        moving = under_way.select("id", F.lit(1).cast("bigint").alias("missing"), "key", F.lit(_MOVING).cast("bigint").alias("level"), "rep", "arrive")
         table, counts = rounds.add(
-            rows.unionByName(rest),
-            newest=F.count_if(F.col("level") == top), pending=F.count_if(F.col("level") == _PENDING),
+            rows.unionByName(rest).unionByName(moving),
+            newest=F.count_if(F.col("level") == top), pending=F.count_if(F.col("level") == _PENDING), next=F.min("arrive"),
         )
         newest, pending = table.filter(F.col("level") == top), table.filter(F.col("level") == _PENDING)
-        if not counts["newest"] or not counts["pending"]:
+        under_way = table.filter(F.col("level") == _MOVING).select("id", "key", "rep", "arrive")
+        if not counts["pending"] or not counts["newest"] and counts["next"] is None:
             break
         unranked += _LEVELS_PER_WRITE
         if keep_order and unranked + _LEVELS_PER_WRITE > _KEY_LEVELS:
-            newest, unranked = _short_keys(newest), 0
+            newest, under_way, unranked = *_short_keys(newest, under_way), 0
+            shared_keys.append(under_way.select("rep", F.lit(top + 1).cast("bigint").alias("since"), "key"))
         if at_cut is None or 2 * counts["pending"] <= at_cut:
             at_cut = counts["pending"]
             edges = materialize(edges.join(pending.select(F.col("id").alias("importer")), "importer", "leftsemi"), "open_edges")
-        state = spark.sql(text, placed=newest, pending=pending, edges=edges)
-        first = top + 1
+        if len(rounds) * _LEVELS_PER_WRITE >= contract_at:
+            contract_at *= 2
+            found = _contract(pending, edges)
+            if found is not None:
+                followers, new_chains, edges = found
+                inner.append(followers)
+                chains = materialize(chains.unionByName(new_chains), "chains")
+                pending = pending.join(followers.select("id"), "id", "leftanti")
+        level = top if counts["newest"] else counts["next"]
+        arrived = under_way.filter(F.col("arrive") == level)
+        state = spark.sql(text, placed=newest, pending=pending, edges=edges, arrived=arrived)
+        under_way = under_way.filter(F.col("arrive") > level)
+        first = level + 1
     columns = ["id", "level", "key"] if keep_order else ["id", "level"]
-    levels = materialize(rounds.all().filter(F.col("level") != _PENDING).select(*columns), "levels")
-    stuck = materialize(pending.select("id"), "stuck")
+    levels = rounds.all().filter("level >= 0").select(*columns)
+    stuck = pending.select("id")
+    if inner:
+        followers = inner[0]
+        for more in inner[1:]:
+            followers = followers.unionByName(more)
+        levels = materialize(levels, "outer_levels")
+        own = followers.join(levels.withColumnRenamed("id", "rep"), "rep")
+        own = own.withColumn("level", F.col("level") + F.col("step")).drop("step")
+        for keys in shared_keys:
+            later = own.join(keys.select("rep", "since", F.col("key").alias("later")), "rep", "left")
+            own = later.withColumn("key", F.when(F.col("level") >= F.col("since"), F.col("later")).otherwise(F.col("key"))).drop("since", "later")
+        stuck = stuck.unionByName(followers.join(levels.select(F.col("id").alias("rep")), "rep", "leftanti").select("id"))
+        levels = levels.unionByName(own.select(*columns))
+    levels = materialize(levels, "levels")
+    stuck = materialize(stuck, "stuck")
     rounds.drop()
     return levels, stuck
 
 
-_PENDING = -1
+_PENDING, _MOVING = -1, -2
+# Levels after which chains are contracted for the first time; then after twice as many each time.
+_CONTRACT_AFTER = 8
+_CHAINS = "rep bigint, id bigint, steps bigint"  # first node, the importer of the last, steps from first to last
+_UNDER_WAY = "id bigint, key array<bigint>, rep bigint, arrive bigint"
 
 _ORDERED_ROUND = """
 SELECT id, missing, CASE WHEN missing = 0 THEN array_append(best, id) END AS key FROM (
   SELECT id, sum(missing) AS missing, max(key) AS best FROM (
     SELECT id, missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM {pending}
     UNION ALL
-    SELECT e.importer, -1, p.key FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id)
+    SELECT e.importer, -1, p.key FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id
+    UNION ALL
+    SELECT id, -1, key FROM {arrived})
   GROUP BY id)"""
 
 _PLAIN_ROUND = """
 SELECT id, sum(missing) AS missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM (
   SELECT id, missing FROM {pending}
   UNION ALL
-  SELECT e.importer, -1 FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id)
+  SELECT e.importer, -1 FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id
+  UNION ALL
+  SELECT id, -1 FROM {arrived})
 GROUP BY id"""
 
+# Messages of the last nodes of chains whose first node has just been placed.
+_SENT = """
+SELECT c.id, p.key, c.rep, {level} + c.steps AS arrive FROM {placed} AS p JOIN {chains} AS c ON c.rep = p.id"""
+
+
+def _leveled(state: DataFrame, level: int) -> DataFrame:
+    return state.select(
+        "id", "missing", "key", F.lit(level).cast("bigint").alias("level"),
+        F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("bigint").alias("arrive"),
+    )
+
+
+def _contract(pending: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Chains among pending nodes: (id, rep, step) of all their nodes but the first, the chains, and the edges left.
+
+    None where there is no chain.  A node follows its dependency if both have that one missing dependency and one
+    importer.  Pointers to the first node double their reach in every round; circles of such nodes are left alone.
+    """
+    ends = edges.join(pending.select(F.col("id").alias("dep")), "dep", "leftsemi")
+    users = edges.groupBy(F.col("dep").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("importer").alias("user"))
+    single = pending.filter("missing = 1").select("id").join(users.filter("n = 1").select("id", "user"), "id")
+    single = materialize(single.join(ends.select(F.col("importer").alias("id"), "dep"), "id", "left"), "singles")
+    firsts = single.select(F.col("id").alias("dep"), F.lit(1).cast("bigint").alias("step"))
+    pointers, counts = materialize_with(
+        single.join(firsts, "dep", "left").select(
+            "id", F.when(F.col("step") == 1, F.col("dep")).otherwise(F.col("id")).alias("rep"), F.coalesce("step", F.lit(0)).alias("step")
+        ),
+        "pointers", all=F.count(F.lit(1)), followers=F.count_if(F.col("step") == 1),
+    )
+    if not counts["followers"]:
+        return None
+    reach = 1
+    while reach < counts["all"]:
+        for _ in range(_DOUBLINGS):
+            further = pointers.select(F.col("id").alias("rep"), F.col("rep").alias("next"), F.col("step").alias("more"))
+            pointers = pointers.join(further, "rep").select(
+                "id", F.col("next").alias("rep"), (F.col("step") + F.col("more")).alias("step"), (F.col("more") > 0).alias("open")
+            )
+            reach *= 2
+        pointers, left = materialize_with(pointers, "pointers", open=F.count_if("open"))
+        if not left["open"]:
+            break
+    heads = pointers.filter("step = 0").select(F.col("id").alias("rep"))
+    followers = materialize(pointers.filter("step > 0").join(heads, "rep", "leftsemi").select("id", "rep", "step"), "followers")
+    last = followers.groupBy("rep").agg(F.max("step").alias("steps"), F.max_by("id", "step").alias("last"))
+    chains = last.join(single.select(F.col("id").alias("last"), "user"), "last").select("rep", F.col("user").alias("id"), "steps")
+    inside = followers.select("id").unionByName(followers.select(F.col("rep").alias("id"))).distinct()
+    kept = edges.join(followers.select(F.col("id").alias("importer")), "importer", "leftanti").join(
+        inside.select(F.col("id").alias("dep")), "dep", "leftanti"
+    )
+    return followers, chains, materialize(kept.select("importer", "dep"), "open_edges")
+
 
-def _short_keys(placed: DataFrame) -> DataFrame:
-    """Replace the order keys of one level by their ranks."""
-    ranked = dense_index(placed, ["key"], "rank")
-    return materialize(ranked.select("id", F.array("rank").alias("key")), "ranks")
+# Doublings of the chains' pointers in one job.
+_DOUBLINGS = 2
+
+
+def _short_keys(placed: DataFrame, under_way: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace the order keys of one level, and of messages that pass it, by their ranks among all of them."""
+    both = placed.select("id", "key", "rep", "arrive").unionByName(under_way.select("id", "key", "rep", "arrive"))
+    ranked = dense_index(both, ["key"], "rank").select("id", F.array("rank").alias("key"), "rep", "arrive")
+    ranked = materialize(ranked, "ranks")
+    return ranked.filter("rep IS NULL").select("id", "key"), ranked.filter("rep IS NOT NULL").select(*under_way.columns)
 
 
 def topological_levels(graph: ModuleGraph) -> DataFrame:
@@ -180,25 +291,30 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- closure and reduction --------------------------------------------------------------------
 
-# Pairs of the nodes on one level, handed to the importers of those nodes.  Repeats are
-# left to the DISTINCT of the level that reads them: one shuffle per round.
+# A set of modules is kept as rows (word, bits): the modules of ids 64 * word .. 64 * word + 63 that are in it.
+WORD_BITS = 64
+_BIT = f"shiftleft(1L, CAST(dep % {WORD_BITS} AS INT))"
+
+# Words of the nodes on one level, handed to the importers of those nodes.  Repeats meet in the bit_or of the
+# level that reads them: one shuffle per round for the sums, one for the join.
 _HAND_UP = """
-SELECT up.importer, own.dep, up.ilevel AS at FROM (
-  SELECT DISTINCT importer AS mid, dep FROM (
-    SELECT importer, dep FROM {leveled} WHERE ilevel = {level}
+SELECT up.importer AS node, own.word, own.bits, up.ilevel AS at FROM (
+  SELECT node, word, bit_or(bits) AS bits FROM (
+    SELECT node, word, bits FROM {direct} WHERE at = {level}
     UNION ALL
-    SELECT importer, dep FROM {received} WHERE at = {level})) AS own
-JOIN {leveled} AS up ON up.dep = own.mid AND up.dlevel = {level}"""
+    SELECT node, word, bits FROM {received} WHERE at = {level})
+  GROUP BY node, word) AS own
+JOIN {leveled} AS up ON up.dep = own.node AND up.dlevel = {level}"""
 
 
 def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """All (node, dep) pairs with flags ``direct`` (an edge) and ``via`` (through another dep).
+    """What every node depends on, as words: (node, word, bits, via).
 
-    Levels are handled bottom-up.  When a level is reached all pairs of its nodes are
-    known, and each node hands its pairs to its importers once: every pair moves once
-    per edge, and finished pairs are not read again by later rounds.  The rows handed
-    up are sorted by the level that will read them, so a round prunes the rest from
-    the Parquet statistics.
+    ``bits`` are all direct and indirect dependencies, ``via`` those that a direct dependency depends on.  Levels are
+    handled bottom-up.  When a level is reached the words of its nodes are complete, and each node hands them to
+    its importers once: an edge moves as many rows as its dependency has words, up to 64 dependencies in
+    each, and finished words are not read again by later rounds.  The rows handed up are sorted by the level that
+    will read them, so a round prunes the rest from the Parquet statistics.
     """
     spark = edges.sparkSession
     at = levels.select("id", "level")
@@ -208,40 +324,52 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
         .sortWithinPartitions("dlevel"),
         "leveled",
     )
-    top = leveled.agg(F.max("dlevel")).first()[0]
+    direct, found = materialize_with(
+        leveled.groupBy(F.col("importer").alias("node"), F.expr(f"dep div {WORD_BITS}").alias("word"), F.col("ilevel").alias("at"))
+        .agg(F.expr(f"bit_or({_BIT})").alias("bits"), F.max("dlevel").alias("below")).sortWithinPartitions("at"),
+        "direct", top=F.max("below"),
+    )
+    direct = direct.select("node", "word", "bits", "at")
     handed = Rounds(spark, "handed")
-    received = leveled.select("importer", "dep", F.col("ilevel").alias("at")).limit(0)
-    for first in range(1, (top or 0) + 1, _LEVELS_PER_WRITE):
+    received = direct.limit(0)
+    for first in range(1, (found["top"] or 0) + 1, _LEVELS_PER_WRITE):
         known, steps = received, None
-        for level in range(first, min(first + _LEVELS_PER_WRITE - 1, top) + 1):
-            step = spark.sql(_HAND_UP, leveled=leveled, received=known, level=level)
+        for level in range(first, min(first + _LEVELS_PER_WRITE - 1, found["top"]) + 1):
+            step = spark.sql(_HAND_UP, leveled=leveled, direct=direct, received=known, level=level)
             steps = step if steps is None else steps.unionByName(step)
             known = known.unionByName(step)
         handed.add(steps.sortWithinPartitions("at"))
         received = handed.all()
-    pairs = leveled.select("importer", "dep", F.lit(True).alias("direct"), F.lit(False).alias("via"))
+    words = direct.select("node", "word", "bits", F.lit(0).cast("bigint").alias("via"))
     if len(handed):
-        pairs = pairs.unionByName(
-            handed.all().select("importer", "dep", F.lit(False).alias("direct"), F.lit(True).alias("via"))
-        )
-    merged = pairs.groupBy(F.col("importer").alias("node"), "dep").agg(
-        F.max("direct").alias("direct"), F.max("via").alias("via")
-    )
+        words = words.unionByName(handed.all().select("node", "word", "bits", F.col("bits").alias("via")))
+    merged = words.groupBy("node", "word").agg(F.expr("bit_or(bits)").alias("bits"), F.expr("bit_or(via)").alias("via"))
     finished = materialize(merged, "closure")
     handed.drop()
     return finished
 
 
-def closure_sizes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    counted = pairs.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("closureSize"))
+def closure_pairs(words: DataFrame) -> DataFrame:
+    """(node, dep): the words spelled out, a row for each pair."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))).alias("bit")
+    spelled = words.select("node", "word", "bits", bit).filter("shiftrightunsigned(bits, bit) & 1L = 1")
+    return spelled.select("node", (F.col("word") * WORD_BITS + F.col("bit")).alias("dep"))
+
+
+def closure_sizes(nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, closureSize): the bits of each node's words."""
+    counted = words.groupBy(F.col("node").alias("id")).agg(F.sum(F.bit_count("bits")).alias("closureSize"))
     return nodes.select("id").join(counted, "id", "left").select(
         "id", F.coalesce("closureSize", F.lit(0)).alias("closureSize")
     )
 
 
-def transitive_reduction(pairs: DataFrame) -> DataFrame:
-    """Edges not implied by another direct dependency, read off the closure flags."""
-    return pairs.filter("direct AND NOT via").select(F.col("node").alias("importer"), "dep")
+def transitive_reduction(edges: DataFrame, words: DataFrame) -> DataFrame:
+    """Edges not implied by another direct dependency: each edge probes one bit of the word that its target is in."""
+    probed = edges.withColumn("word", F.expr(f"dep div {WORD_BITS}")).join(
+        words.select(F.col("node").alias("importer"), "word", "via"), ["importer", "word"]
+    )
+    return probed.filter(f"via & {_BIT} = 0").select("importer", "dep")
 
 
 # ---- rank -------------------------------------------------------------------------------------

@@ -767,7 +767,7 @@ def _(w):
 
 @query("A4_closure_size", "SELECT id, closureSize FROM msizes")
 def _(w):
-    return G.closure_sizes(w.module_graph.nodes, w.pairs)
+    return G.closure_sizes(w.module_graph.nodes, w.closure)
 
 
 @query("A5_degree", "SELECT module, idx, outDegree, degree FROM bdegree")
@@ -870,7 +870,7 @@ def _(w):
 
 @query("W5_zero_spread", "SELECT id, x FROM mx WHERE closureSize = 0")
 def _(w):
-    xs = M.node_x(G.closure_sizes(w.module_graph.nodes, w.pairs), w.levels)
+    xs = M.node_x(G.closure_sizes(w.module_graph.nodes, w.closure), w.levels)
     return xs.filter("closureSize = 0").select("id", "x")
 
 
@@ -998,12 +998,12 @@ def _(w):
 
 @query("G4_closure", "SELECT node, dep FROM mclosure")
 def _(w):
-    return w.pairs.select("node", "dep")
+    return G.closure_pairs(w.closure)
 
 
 @query("G5_transitive_reduction", "SELECT importer, dep FROM mreduced")
 def _(w):
-    return G.transitive_reduction(w.pairs)
+    return G.transitive_reduction(w.module_graph.edges, w.closure)
 
 
 @query("G6_pagerank", "SELECT id, round(score, 9) AS score FROM mscores")
@@ -1013,7 +1013,7 @@ def _(w):
 
 @query("G7_node_x", "SELECT id, closureSize, round(x, 6) AS x FROM mx")
 def _(w):
-    xs = M.node_x(G.closure_sizes(w.module_graph.nodes, w.pairs), w.levels)
+    xs = M.node_x(G.closure_sizes(w.module_graph.nodes, w.closure), w.levels)
     return xs.withColumn("x", F.round("x", 6))
 
 

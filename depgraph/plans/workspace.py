@@ -59,7 +59,7 @@ class Workspace:
         return G.topological_levels(self.module_graph)
 
     @cached_property
-    def pairs(self) -> DataFrame:
+    def closure(self) -> DataFrame:
         return G.closure(self.module_graph.edges, self.levels)
 
     @cached_property
@@ -71,7 +71,7 @@ class Workspace:
     def map(self) -> M.ModuleMap:
         return M.module_map(
             self.feeds, self.topics, fixture.ROOT, graph=self.module_graph, levels=self.levels,
-            pairs=self.pairs, scores=self.scores,
+            words=self.closure, scores=self.scores,
         )
 
     @cached_property

@@ -47,11 +47,11 @@ def test_cycle_names_its_members(graph_of):
 
 def test_chain_closure_and_diamond_reduction(graph_of):
     chain = graph_of("ABCD", [("D", "A"), ("D", "B"), ("D", "C"), ("C", "B"), ("B", "A")])
-    pairs = G.closure(chain.edges, G.topological_levels(chain))
-    assert rows(G.closure_sizes(chain.nodes, pairs)) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    words = G.closure(chain.edges, G.topological_levels(chain))
+    assert rows(G.closure_sizes(chain.nodes, words)) == [(0, 0), (1, 1), (2, 2), (3, 3)]
     diamond = graph_of("ABCD", [("D", "A"), ("D", "B"), ("D", "C"), ("C", "A"), ("B", "A")])
-    pairs = G.closure(diamond.edges, G.topological_levels(diamond))
-    assert rows(G.transitive_reduction(pairs)) == [(1, 0), (2, 0), (3, 1), (3, 2)]
+    words = G.closure(diamond.edges, G.topological_levels(diamond))
+    assert rows(G.transitive_reduction(diamond.edges, words)) == [(1, 0), (2, 0), (3, 1), (3, 2)]
 
 
 def _reference(n, deps):
@@ -86,7 +86,7 @@ def _reference(n, deps):
 
 def test_random_graph_against_plain_loops(spark):
     draw = random.Random(5)
-    n = 60
+    n = 200  # four words, the last one not full
     names = list(range(n))
     place = names[:]
     draw.shuffle(place)
@@ -103,13 +103,91 @@ def test_random_graph_against_plain_loops(spark):
     levels = G.topological_levels(graph)
     topo = {r["topo"]: r["id"] for r in G.topological_order(levels).collect()}
     assert [topo[i] for i in range(n)] == order
-    pairs = G.closure(edges, levels)
-    assert {(r["node"], r["dep"]) for r in pairs.collect()} == {(i, d) for i in names for d in below[i]}
-    assert {tuple(r) for r in G.transitive_reduction(pairs).collect()} == kept
+    words = G.closure(edges, levels)
+    assert {(r["node"], r["dep"]) for r in G.closure_pairs(words).collect()} == {(i, d) for i in names for d in below[i]}
+    assert {tuple(r) for r in G.transitive_reduction(edges, words).collect()} == kept
+    assert dict(rows(G.closure_sizes(nodes, words))) == {i: len(below[i]) for i in names}
     scores = {r["id"]: r["score"] for r in G.pagerank(nodes, edges, n).collect()}
     assert max(abs(scores[i] - rank[i]) for i in names) < 1e-12
 
 
+def _graph_with_chains(seed):
+    """Names are shuffled; stretches without branches hang between nodes of several dependencies."""
+    draw = random.Random(seed)
+    deps = [set() for _ in range(6)]
+    while len(deps) < 150:
+        if draw.random() < 0.35:
+            last = draw.randrange(len(deps))
+            for _ in range(draw.randrange(2, 14)):
+                deps.append({last})
+                last = len(deps) - 1
+        else:
+            deps.append(set(draw.sample(range(len(deps)), draw.randrange(1, 4))))
+    place = list(range(len(deps)))
+    draw.shuffle(place)
+    out = [set() for _ in deps]
+    for i, own in enumerate(deps):
+        out[place[i]] = {place[d] for d in own}
+    return out
+
+
+@pytest.mark.parametrize("seed, after, key_levels", [(1, 2, 16), (2, 2, 4), (3, 4, 6)])
+def test_contracted_chains_keep_levels_and_order(spark, monkeypatch, seed, after, key_levels):
+    monkeypatch.setattr(G, "_CONTRACT_AFTER", after)
+    monkeypatch.setattr(G, "_KEY_LEVELS", key_levels)
+    deps = _graph_with_chains(seed)
+    n = len(deps)
+    contracted = []
+    contract = G._contract
+    monkeypatch.setattr(G, "_contract", lambda *a: contracted.append(contract(*a)) or contracted[-1])
+    nodes = spark.createDataFrame([(i, f"m{i:03d}") for i in range(n)], "id long, name string")
+    edges = spark.createDataFrame([(a, b) for a in range(n) for b in deps[a]], "importer long, dep long")
+    levels = G.topological_levels(G.ModuleGraph(nodes, edges, n, 0))
+    assert any(c is not None for c in contracted)
+    topo = {r["topo"]: r["id"] for r in G.topological_order(levels).collect()}
+    assert [topo[i] for i in range(n)] == _reference(n, deps)[0]
+
+
+def test_a_chain_of_ten_thousand_takes_few_jobs(spark, monkeypatch):
+    from depgraph import session
+
+    written = []
+    monkeypatch.setattr(session, "materialize", lambda *a, f=session.materialize, **k: written.append(a[1:2]) or f(*a, **k))
+    monkeypatch.setattr(G, "materialize", session.materialize)
+    n = 10_000
+    nodes = spark.range(n + 2).select("id", F.format_string("m%05d", "id").alias("name"))
+    chain = spark.range(1, n).select(F.col("id").alias("importer"), (F.col("id") - 1).alias("dep"))
+    side = spark.createDataFrame([(n, n - 1), (n, n + 1)], "importer long, dep long")  # a user of the end and of a leaf
+    levels = G.topological_levels(G.ModuleGraph(nodes, chain.unionByName(side), n + 2, 0))
+    assert len(written) < 30
+    placed = {r["id"]: r["topo"] for r in G.topological_order(levels).collect()}
+    assert placed == {0: 0, n + 1: 1, **{i: i + 1 for i in range(1, n)}, n: n + 1}
+
+
+def test_cycles_behind_and_before_chains_are_stuck(spark, monkeypatch):
+    monkeypatch.setattr(G, "_CONTRACT_AFTER", 2)
+    edges = [(i, i - 1) for i in range(1, 30)]  # a chain
+    edges += [(40, 45), *((i, i - 1) for i in range(41, 46))]  # a circle of single nodes
+    edges += [(50, 45), *((i, i - 1) for i in range(51, 70))]  # a chain behind the circle
+    edges += [(80, 29), (80, 69)]  # behind both
+    ids = sorted({i for e in edges for i in e})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    levels, stuck = G.peel(nodes, spark.createDataFrame(edges, "importer long, dep long"))
+    assert {r["id"]: r["level"] for r in levels.collect()} == {i: i for i in range(30)}
+    assert {r["id"] for r in stuck.collect()} == {*range(40, 46), *range(50, 70), 80}
+
+
+def test_words_hold_sixty_four_dependencies(spark):
+    """One module that imports 130 leaves, and one that imports it: ids at both ends of words, the sign bit among them."""
+    nodes = spark.createDataFrame([(i, f"m{i:03d}") for i in range(132)], "id long, name string")
+    edges = spark.createDataFrame([(130, d) for d in range(130)] + [(131, 130), (131, 63), (131, 128)], "importer long, dep long")
+    levels = G.topological_levels(G.ModuleGraph(nodes, edges, 132, 0))
+    words = G.closure(edges, levels)
+    assert rows(words, "node", "word") == sorted(((n, w) for n in (130, 131) for w in range(3)), key=lambda r: tuple(map(str, r)))
+    assert {tuple(r) for r in G.closure_pairs(words).collect()} == {(n, d) for n in (130, 131) for d in range(n)}
+    assert {tuple(r) for r in G.transitive_reduction(edges, words).collect()} == {(130, d) for d in range(130)} | {(131, 130)}
+
+
 def test_rank_of_a_cyclic_graph_sums_to_one(spark):
     nodes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, name string")
     edges = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "importer long, dep long")
