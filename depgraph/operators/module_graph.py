@@ -107,8 +107,10 @@ def peel(
     spark = nodes.sparkSession
     rounds = Rounds(spark, "peel")
     text = _ORDERED_ROUND if keep_order else _PLAIN_ROUND
-    chains = spark.createDataFrame([], _CHAINS)
-    under_way = spark.createDataFrame([], _UNDER_WAY)
+    kind = nodes.schema["id"].dataType.simpleString()
+    # chains: first node, the importer of the last, steps from first to last; messages of last nodes under way
+    chains = spark.createDataFrame([], f"rep {kind}, id {kind}, steps bigint")
+    under_way = spark.createDataFrame([], f"id {kind}, key array<bigint>, rep {kind}, arrive bigint")
     inner: list[DataFrame] = []
     shared_keys: list[DataFrame] = []
     first, unranked, at_cut, contract_at = 0, 0, None, _CONTRACT_AFTER
@@ -180,8 +182,6 @@ def peel(
 _PENDING, _MOVING = -1, -2
 # Levels after which chains are contracted for the first time; then after twice as many each time.
 _CONTRACT_AFTER = 8
-_CHAINS = "rep bigint, id bigint, steps bigint"  # first node, the importer of the last, steps from first to last
-_UNDER_WAY = "id bigint, key array<bigint>, rep bigint, arrive bigint"
 
 _ORDERED_ROUND = """
 SELECT id, missing, CASE WHEN missing = 0 THEN array_append(best, id) END AS key FROM (
@@ -210,7 +210,7 @@ SELECT c.id, p.key, c.rep, {level} + c.steps AS arrive FROM {placed} AS p JOIN {
 def _leveled(state: DataFrame, level: int) -> DataFrame:
     return state.select(
         "id", "missing", "key", F.lit(level).cast("bigint").alias("level"),
-        F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("bigint").alias("arrive"),
+        F.lit(None).cast(state.schema["id"].dataType).alias("rep"), F.lit(None).cast("bigint").alias("arrive"),
     )
 
 
