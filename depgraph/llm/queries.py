@@ -93,10 +93,13 @@ def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of every document, found in flat token files written from all documents."""
-    blocks = token_files.write_token_blocks(table(spark, sf_dir, "documents"))
-    counts = token_files.token_counts(blocks)
-    return counts.join(token_files.document_names(blocks), ["file", "document"]).select("doc_id", "n_tokens", "closed")
+    """Token count of every document, found in flat token files written from all documents, whose last ones stay open.
+
+    A last document without tokens leaves no trace in its file; the names tell that it is there."""
+    written = token_files.write_token_files(table(spark, sf_dir, "documents"), leave_open=True)
+    counts = token_files.token_counts(token_files.token_blocks(written.files))
+    named = token_files.document_names(written.names).join(counts, ["file", "document"], "left")
+    return named.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("closed", F.lit(False)).alias("closed"))
 
 
 _OP7_SQL = """

@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files that have no index.
 
 A token file is a run of fixed-width token numbers; an end-of-document number closes each document.
-Files are handled as raw blocks of equal size, cut anywhere.  Each block is searched for end numbers
+Tasks read files as raw blocks of equal size, cut anywhere, each from its own place in the file.  Each block is searched for end numbers
 in one vector operation; it reports its length and the places it found.  A prefix scan over the
 blocks of a file gives every block its offset, the number of documents before it and the place of the
 last end before it, which stitches the documents that reach over block borders.
@@ -9,7 +9,9 @@ last end before it, which stitches the documents that reach over block borders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,7 @@ from depgraph.llm.common import prepare, text_tables
 from depgraph.llm.scan import earlier_value
 from depgraph.operators.ranking import running_total
 from depgraph.session import materialize, new_path
+from depgraph.sources.byte_files import byte_blocks, listed_files, place
 
 BLOCK_BYTES = 1 << 20
 TABLE_BYTES = 4 << 20
@@ -42,78 +45,83 @@ def _encoder(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_blocks(
-    docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """Tokenizes the documents into one flat stream for each task, stored in the shared folder.
+@dataclass
+class TokenFiles:
+    """files: file, bytes of the flat files written; names: file, first (place of the first document) and doc_ids of
+    stretches of documents in the order of the file, to check results with; the search does not use them."""
 
-    file, block, data: the stream (two bytes a token, little-endian) in blocks of ``block_bytes``;
-    doc_ids: the documents that end in a block, for checking results, not used by the search.  An end
-    number within a text is ordinary text.  Null and empty texts are documents without tokens.
+    files: DataFrame
+    names: DataFrame
+
+
+def write_token_files(
+    docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END, leave_open: bool = False,
+) -> TokenFiles:
+    """Tokenizes the documents into one flat file for each task, below the shared folder: two bytes a token,
+    little-endian, nothing else.
+
+    An end number closes each document; with ``leave_open`` the last document of each file has none.  An end number
+    within a text is ordinary text.  Null and empty texts are documents without tokens.
+
+    A task writes to a file of its own name; the table of names, which Spark commits for one attempt of
+    each task, says which files count.
     """
     spark = prepare(docs.sparkSession)
     with open(vocabulary, "rb") as lines:
         ranks = spark.sparkContext.broadcast(lines.read())
-    schema = StructType().add("file", "long").add("block", "long").add("data", "binary").add(
-        "doc_ids", ArrayType(docs.schema["doc_id"].dataType)
-    )
-    width = block_bytes // 2
+    folder = new_path(spark, "token-files")
+    kind = docs.schema["doc_id"].dataType
+    schema = StructType().add("file", "string").add("bytes", "long").add("first", "long").add("doc_ids", ArrayType(kind))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
-        file, block, held, size, ids = TaskContext.get().partitionId(), 0, [], 0, []
-        names = None
-
-        def row(data: np.ndarray, ended: list) -> pa.RecordBatch:
-            return pa.record_batch([
-                pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data.tobytes()], pa.binary()),
-                pa.array([ended], pa.list_(names)),
-            ], ["file", "block", "data", "doc_ids"])
-
-        for part in text_tables(batches, "text", TABLE_BYTES):
-            names = part.column("doc_id").type
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                held.append(np.array([*encoder.encode_ordinary(text or ""), end], dtype="<u2"))
-                size += len(held[-1])
-                ids.append((size, doc))
-                if size >= width:
-                    stream = np.concatenate(held)
-                    for a in range(0, size - width + 1, width):
-                        ended = [d for s, d in ids if s <= a + width]
-                        ids = ids[len(ended):]
-                        yield row(stream[a:a + width], ended)
-                        block += 1
-                    cut = size // width * width
-                    held, ids, size = [stream[cut:]], [(s - cut, d) for s, d in ids], size - cut
-        if size:
-            yield row(np.concatenate(held), [d for _, d in ids])
-
-    path = new_path(spark, "tokens")
-    out = docs.select("doc_id", "text").mapInArrow(encode, schema)
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        files, home = place(folder)
+        files.create_dir(home, recursive=True)
+        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
+        size, first, waiting, names = 0, 0, None, pa.null()
+        with files.open_output_stream(f"{home}/{name}") as out:
+            for part in text_tables(batches, "text", TABLE_BYTES):
+                names = part.column("doc_id").type
+                stream = [] if waiting is None else [waiting]
+                for text in part.column("text").to_pylist():
+                    stream.append(np.array([*encoder.encode_ordinary(text or ""), end], dtype="<u2"))
+                waiting = stream.pop() if stream else None  # the last one may stay open
+                for tokens in stream:
+                    out.write(tokens.tobytes())
+                    size += tokens.nbytes
+                yield pa.record_batch([
+                    pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([first], pa.int64()),
+                    pa.array([part.column("doc_id").to_pylist()], pa.list_(names)),
+                ], ["file", "bytes", "first", "doc_ids"])
+                first += part.num_rows
+            if waiting is not None:
+                tokens = waiting[:-1] if leave_open else waiting
+                out.write(tokens.tobytes())
+                size += tokens.nbytes
+        yield pa.record_batch([
+            pa.array([name], pa.string()), pa.array([size], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(names)),
+        ], ["file", "bytes", "first", "doc_ids"])
+
+    # the rows of a task stay together in its file of the table, under the task's number
+    written = docs.select("doc_id", "text").mapInArrow(encode, schema).withColumn("task", F.spark_partition_id())
+    rows = materialize(written, "token-names")
+    files = rows.filter("file IS NOT NULL").select("task", F.concat(F.lit(f"{folder}/"), "file").alias("file"), "bytes")
+    names = rows.filter("first IS NOT NULL").select("task", "first", "doc_ids").join(files.select("task", "file"), "task")
+    return TokenFiles(files.select("file", "bytes"), names.select("file", "first", "doc_ids"))
 
 
 def read_token_files(spark: SparkSession, path: str, token_bytes: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, block, data of flat token files in a folder that Spark can read.
+    """file, block, data of flat token files in a folder that Spark can list and PyArrow can read.
 
-    A file travels as one value before it is cut, so files must stay below 2 GB.  Bytes at the end that
-    do not fill a token are dropped.
+    Bytes at the end that do not fill a token are dropped.
     """
-    width = block_bytes // token_bytes * token_bytes
+    return token_blocks(listed_files(spark, path), token_bytes, block_bytes)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                whole = len(content) // token_bytes * token_bytes
-                for block, a in enumerate(range(0, whole, width)):
-                    yield pa.record_batch([
-                        pa.array([file], pa.string()), pa.array([block], pa.int64()),
-                        pa.array([content[a:min(a + width, whole)]], pa.binary()),
-                    ], ["file", "block", "data"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInArrow(cut, "file string, block long, data binary")
+def token_blocks(files: DataFrame, token_bytes: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """file, block, data of the files (file, bytes), of any size, each read by many tasks."""
+    whole = files.withColumn("bytes", F.col("bytes") - F.col("bytes") % token_bytes)
+    return byte_blocks(whole, block_bytes // token_bytes * token_bytes)
 
 
 def search_ends(blocks: DataFrame, ends: tuple[int, ...] = (END,), token_bytes: int = 2) -> DataFrame:
@@ -172,10 +180,7 @@ def token_counts(blocks: DataFrame, ends: tuple[int, ...] = (END,), token_bytes:
     return closed.unionByName(rest)
 
 
-def document_names(blocks: DataFrame) -> DataFrame:
-    """file, document, doc_id of streams written by :func:`write_token_blocks`."""
-    placed = running_total(
-        blocks.select("file", "block", "doc_ids"), ["block"], "before", F.size("doc_ids").cast("long"), ["file"]
-    )
-    named = placed.select("file", "before", F.posexplode("doc_ids").alias("i", "doc_id"))
-    return named.select("file", (F.col("before") + F.col("i")).alias("document"), "doc_id")
+def document_names(names: DataFrame) -> DataFrame:
+    """file, document, doc_id of files written by :func:`write_token_files`."""
+    named = names.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
+    return named.select("file", (F.col("first") + F.col("i")).alias("document"), "doc_id")

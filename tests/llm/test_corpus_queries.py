@@ -105,7 +105,8 @@ def test_sharding_contract(spark, duck):
 def test_token_counts_contract(spark, duck):
     rows = QUERIES["op9_separator_scan"](spark, SF_DIR).collect()
     assert sorted(r.doc_id for r in rows) == [i for i, in duck.execute("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
-    assert all(r.closed and r.n_tokens > 0 for r in rows)
+    assert all(r.n_tokens > 0 for r in rows)
+    assert 0 < sum(not r.closed for r in rows) <= spark.sparkContext.defaultParallelism  # the last one of each file
 
 
 @mounted

@@ -46,22 +46,41 @@ def test_wide_tokens_and_several_ends(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no public tokenizer on this machine")
-@pytest.mark.parametrize("block_bytes", [8, 1 << 20])
-def test_written_streams_give_the_tokenizers_counts(spark, documents, block_bytes):
+@pytest.mark.parametrize("block_bytes, leave_open", [(8, False), (6, True), (1 << 20, True)])
+def test_written_files_give_the_tokenizers_counts(spark, documents, block_bytes, leave_open):
     from pyspark.sql import functions as F
 
-    texts = [prose(i, i % 30) for i in range(50)] + [None, "", "<|endoftext|>", "é ü 你好", "x" * 20_000]
+    texts = [prose(i, i % 30) for i in range(50)] + [None, "", "<|endoftext|>", "é ü 你好", "x" * 20_000, "the last"]
     docs = documents(*enumerate(texts)).withColumn("file", F.lit(1)).repartition(3)
-    blocks = T.write_token_blocks(docs, block_bytes=block_bytes)
-    counts = T.token_counts(blocks).join(T.document_names(blocks), ["file", "document"]).orderBy("doc_id").collect()
+    written = T.write_token_files(docs, leave_open=leave_open)
+    counts = T.token_counts(T.token_blocks(written.files, block_bytes=block_bytes))
+    # an open last document without tokens leaves no trace in its file
+    rows = T.document_names(written.names).join(counts, ["file", "document"], "left").collect()
     with open(T.VOCABULARY, "rb") as lines:
         encoder = T._encoder(lines.read(), T.PATTERN)
-    assert [(r.doc_id, r.n_tokens, r.closed) for r in counts] == [(i, len(encoder.encode_ordinary(t or "")), True) for i, t in enumerate(texts)]
+    wanted = {i: len(encoder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens or 0 for r in rows} == wanted and len(rows) == len(texts)
+    assert sum(not r.closed for r in rows) == (3 if leave_open else 0)
+
+
+@pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no public tokenizer on this machine")
+def test_files_hold_nothing_but_tokens(spark, documents):
+    texts = [prose(i, 20) for i in range(30)]
+    written = T.write_token_files(documents(*enumerate(texts)).coalesce(1))
+    (file,) = written.files.collect()
+    raw = open(file.file.removeprefix("file:"), "rb").read()
+    assert len(raw) == file.bytes
+    with open(T.VOCABULARY, "rb") as lines:
+        encoder = T._encoder(lines.read(), T.PATTERN)
+    assert np.frombuffer(raw, "<u2").tolist() == [x for t in texts for x in [*encoder.encode_ordinary(t), T.END]]
+    blocks = T.token_blocks(written.files, block_bytes=64)
+    assert blocks.rdd.getNumPartitions() > 1 and blocks.count() == -(-len(raw) // 64)  # one file over several tasks
 
 
 @pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no public tokenizer on this machine")
 def test_repeated_rows_null_numbers_and_empty_table(spark, documents, empty):
-    blocks = T.write_token_blocks(documents((1, "a"), (1, "a"), (None, "b c")).coalesce(1))
-    named = T.token_counts(blocks).join(T.document_names(blocks), ["file", "document"]).collect()
+    written = T.write_token_files(documents((1, "a"), (1, "a"), (None, "b c")).coalesce(1))
+    counts = T.token_counts(T.token_blocks(written.files))
+    named = counts.join(T.document_names(written.names), ["file", "document"]).collect()
     assert sorted((r.doc_id or 0) for r in named) == [0, 1, 1]
-    assert T.token_counts(T.write_token_blocks(empty)).count() == 0
+    assert T.token_counts(T.token_blocks(T.write_token_files(empty).files)).count() == 0
