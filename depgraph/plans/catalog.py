@@ -25,7 +25,7 @@ from depgraph.plans.oracle_ctes import with_ctes
 from depgraph.plans.workspace import Workspace, workspace
 from depgraph.session import new_path
 from depgraph.sources import feeds as E
-from depgraph.sources import files, store
+from depgraph.sources import files, pack, store
 from depgraph.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,6 +249,26 @@ def _(w):
     return store.read_block(w.spark, path, "Root.Beta.M00001").select("part", "i", "j", "payload")
 
 
+_BLOCK_JSON = "decls array<struct<name string, k string, x double, y double, s double>>, e array<array<bigint>>"
+
+
+@query("S20_pack_declarations", "SELECT module, idx, name, k, x, y, s FROM bplaced")
+def _(w):
+    """All blocks, written to one pack file and read back by byte ranges."""
+    read = pack.read_pack(w.spark, w.stored_pack).select("module", F.from_json(F.decode("data", "UTF-8"), _BLOCK_JSON).alias("block"))
+    return read.select("module", F.posexplode("block.decls").alias("at", "d")).select(
+        "module", F.col("at").cast("bigint").alias("idx"), "d.name", "d.k", "d.x", "d.y", "d.s"
+    )
+
+
+@query("S21_pack_module", "SELECT module, src_idx, dst_idx FROM bedges WHERE module = 'Root.Beta.M00001'")
+def _(w):
+    """The edges of one module, for which its own bytes of the pack are read."""
+    own = pack.read_pack(w.spark, w.stored_pack).filter(F.col("module") == "Root.Beta.M00001")
+    pairs = own.select("module", F.explode(F.from_json(F.decode("data", "UTF-8"), _BLOCK_JSON)["e"]).alias("e"))
+    return pairs.select("module", F.col("e")[0].alias("src_idx"), F.col("e")[1].alias("dst_idx"))
+
+
 @query("S15_check_unique_keys", """SELECT label, name, count(*) AS copies FROM (
     SELECT 'Declaration' AS label, name FROM nodes UNION ALL SELECT 'Module', name FROM gmodules
     UNION ALL SELECT 'Namespace', name FROM namespaces) GROUP BY label, name HAVING count(*) > 1""")

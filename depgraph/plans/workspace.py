@@ -14,7 +14,7 @@ from depgraph.operators import module_graph as G
 from depgraph.operators import search as S
 from depgraph.plans import fixture
 from depgraph.session import materialize, materialize_all, new_path, tune
-from depgraph.sources import files, store
+from depgraph.sources import files, pack, store
 from depgraph.sources.feeds import Feeds
 
 
@@ -88,6 +88,13 @@ class Workspace:
         store.write_map(self.map, base, now="2024-01-01T00:00:00+00:00", seed=1)
         return base
 
+    @cached_property
+    def stored_pack(self) -> str:
+        path = new_path(self.spark, "pack")
+        stats = B.block_stats(self.blocks, self.blocks.decls.select(F.lit(0).alias("repeats")).limit(0)).first()
+        pack.write_pack(self.blocks, path, "derived", "2024-01-01T00:00:00+00:00", fixture.ROOT, stats.asDict())
+        return path
+
     @cached_property
     def stored_names(self) -> DataFrame:
         base = new_path(self.spark, "names")
