@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depgraph.session import Rounds
+
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a location: a local path, or a URI such as file:, hdfs: or s3:."""
@@ -48,6 +50,63 @@ def byte_blocks(files: DataFrame, block_bytes: int, blocks_per_task: int = 16) -
     return ranges.repartition(tasks, "file", "block").mapInArrow(read, "file string, block bigint, data binary")
 
 
+def _below(uri: str, top: str, path: str) -> str:
+    """The location of ``path``, found below ``top`` on the file system of ``uri``, as that URI would name it."""
+    return re.sub("^file:/+", "/", uri.rstrip("/")) + path[len(top.rstrip("/")):]
+
+
+def list_tree(spark: SparkSession, root: str, skip_part: str) -> DataFrame:
+    """(path, bytes) of all files below ``root``, whatever their names; folders called ``skip_part`` are not entered.
+
+    Each round lists the folders that the round before found, in tasks, so the driver handles no file and
+    no folder; there are as many rounds as the tree is deep.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                files, top = place(folder)
+                found = [i for i in files.get_file_info(fs.FileSelector(top)) if i.type != fs.FileType.NotFound]
+                found = [i for i in found if i.type == fs.FileType.File or i.base_name != skip_part]
+                yield pa.record_batch([
+                    pa.array([_below(folder, top, i.path) for i in found], pa.string()),
+                    pa.array([i.size if i.type == fs.FileType.File else None for i in found], pa.int64()),
+                ], ["path", "bytes"])
+
+    rounds = Rounds(spark, "folders")
+    folders, open_folders = spark.createDataFrame([(root,)], "path string"), 1
+    while open_folders:
+        tasks = max(1, min(open_folders, 4 * spark.sparkContext.defaultParallelism))
+        listed = folders.repartition(tasks).mapInArrow(entries, "path string, bytes bigint")
+        table, counts = rounds.add(listed, folders=F.count_if(F.col("bytes").isNull()))
+        folders, open_folders = table.filter("bytes IS NULL").select("path"), counts["folders"]
+    return rounds.all().filter("bytes IS NOT NULL")
+
+
+def whole_texts(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+    """(path, text) of files (path, bytes); bytes that are no UTF-8 are replaced.  The files are dealt to tasks by
+    the hash of their path, about a hundred megabytes or a thousand files to each."""
+    spark = files.sparkSession
+    size = files.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, min(size[0], max(spark.sparkContext.defaultParallelism, size[0] // 1000, (size[1] or 0) // (100 << 20))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([p for p, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["path", "text"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+                rows.append((path, open_range(path, 0, length).decode("utf-8", "replace")))
+                held += length
+                if held >= batch_bytes:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
+
+    return files.select("path", "bytes").repartition(tasks, "path").mapInArrow(read, "path string, text string")
+
+
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes) of the files of a folder; their content is not read."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from depgraph import schemas
 from depgraph.operators.ranking import dense_index
-from depgraph.session import file_system, materialize, materialize_with
+from depgraph.session import materialize, materialize_with
+from depgraph.sources.byte_files import list_tree, whole_texts
 
 MAX_BAD_LINES = 100
 _BAD = CORRUPT = "_bad"
@@ -56,38 +57,15 @@ class TooManyBadLines(RuntimeError):
     """The module feed holds too many undecodable lines to be trusted."""
 
 
-class HiddenFiles(RuntimeError):
-    """A source folder holds files that Spark's file listing passes over."""
-
-
-def _hidden_sources(spark: SparkSession, root: str, suffix: str, skip_part: str) -> list[str]:
-    """Source files that Spark does not list: their own name, or a folder's, starts with ``_`` or ``.``."""
-    top, files = file_system(spark, root)
-    prefix = files.getFileStatus(top).getPath().toString().rstrip("/") + "/"
-    found, hidden = files.listFiles(top, True), []
-    while found.hasNext():
-        parts = found.next().getPath().toString().removeprefix(prefix).split("/")
-        if parts[-1].endswith(suffix) and skip_part not in parts and any(p[0] in "_." for p in parts):
-            hidden.append("/".join(parts))
-    return hidden
-
-
 def scan_sources(
     spark: SparkSession, root: str, suffix: str = ".src", skip_part: str = ".lake"
 ) -> DataFrame:
     """Every file under ``root`` whose name ends in ``suffix`` as one row (path, text).
 
-    Files below a directory called ``skip_part`` are left out.  Spark passes over names that start with
-    ``_`` or ``.``; a source file among them is an error, so that none is missed unseen.
+    Files below a directory called ``skip_part`` are left out; all other names are read, also those that start with
+    ``_`` or ``.``.  Folders are listed and files are read in tasks, through the file systems that PyArrow knows.
     """
-    if hidden := _hidden_sources(spark, root, suffix, skip_part):
-        raise HiddenFiles(f"rename {len(hidden)} files that would not be read, such as {hidden[0]}")
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    path = F.regexp_replace(F.url_decode(encoded), "^file:/+", "/")
-    return files.select(path.alias("path"), F.col("value").alias("text")).filter(
-        ~F.array_contains(F.split("path", "/"), skip_part)
-    )
+    return whole_texts(list_tree(spark, root, skip_part).filter(F.col("path").endswith(suffix)))
 
 
 def _defaults(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from depgraph import schemas
 from depgraph.operators import build, map_layout as M
 from depgraph.plans import fixture
 from depgraph.sources import feeds as E
-from depgraph.sources import files, store
+from depgraph.sources import byte_files, files, store
 from depgraph.streaming import incremental
 from tests.conftest import declaration, module, record, rows
 
@@ -30,19 +30,27 @@ def test_scan_skips_build_folders(spark, tmp_path):
     ]
 
 
-def test_scan_keeps_odd_names_and_refuses_hidden_ones(spark, tmp_path):
-    for name in ("A+B.src", "a%20b c.src", "Größe.src", ".lake/_x.src", "_notes.txt"):
+def test_scan_reads_every_name(spark, tmp_path):
+    odd = ("A+B.src", "a%20b c.src", "Größe.src", "_C.src", ".hidden.src", "_sub/D.src", ".sub/deep/er/E.src", ".src")
+    for name in (*odd, ".lake/_x.src", "x/.lake/y/z.src", "_notes.txt", "empty/none.txt"):
         target = tmp_path / name
-        target.parent.mkdir(exist_ok=True)
-        target.write_text("x")
-    names = [path.removeprefix(f"{tmp_path}/") for path, _ in rows(files.scan_sources(spark, str(tmp_path)))]
-    assert names == ["A+B.src", "Größe.src", "a%20b c.src"]
-    for hidden in ("_C.src", "_sub/D.src"):
-        (tmp_path / hidden).parent.mkdir(exist_ok=True)
-        (tmp_path / hidden).write_text("x")
-        with pytest.raises(files.HiddenFiles):
-            files.scan_sources(spark, str(tmp_path))
-        (tmp_path / hidden).unlink()
+        target.parent.mkdir(exist_ok=True, parents=True)
+        target.write_bytes(b"x \xff" if name == "_C.src" else name.encode())
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        found = dict(rows(files.scan_sources(spark, root)))
+        assert {path.removeprefix(f"{tmp_path}/"): text for path, text in found.items()} == {
+            **{name: name for name in odd}, "_C.src": "x \ufffd",
+        }
+
+
+def test_scan_of_many_folders_runs_in_rounds_of_its_depth(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"a{i % 7}" / f"b{i % 5}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"a{i % 7}" / f"b{i % 5}" / f"{i}.src").write_text("t" * i)
+    listed = byte_files.list_tree(spark, str(tmp_path), ".lake")
+    assert {(p.rsplit("/", 1)[1], n) for p, n in rows(listed)} == {(f"{i}.src", i) for i in range(60)}
+    assert byte_files.whole_texts(listed, batch_bytes=100).filter("length(text) = 59").count() == 1
+    assert files.scan_sources(spark, str(tmp_path / "a0"), suffix=".none").count() == 0
 
 
 def test_items_without_required_fields_spoil_their_record(spark, tmp_path):
