@@ -25,7 +25,7 @@ from depgraph.plans.oracle_ctes import with_ctes
 from depgraph.plans.workspace import Workspace, workspace
 from depgraph.session import new_path
 from depgraph.sources import feeds as E
-from depgraph.sources import files, pack, store
+from depgraph.sources import document, files, pack, store
 from depgraph.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,20 @@ def _(w):
     return pairs.select("module", F.col("e")[0].alias("src_idx"), F.col("e")[1].alias("dst_idx"))
 
 
+_DOCUMENT = """topics array<struct<id string>>, edges array<array<bigint>>, nodes array<struct<name string, topic string, x double,
+    y double, declCount bigint, closureSize bigint, docstring string>>"""
+
+
+@query("S22_map_document", "SELECT topo, name, topic, round(x, 6) AS x, y, declCount, closureSize, docstring FROM mmap")
+def _(w):
+    """The nodes of the map document, which is written as one file and read back."""
+    path = new_path(w.spark, "document")
+    document.write_document(w.map, path, "derived", "2024-01-01T00:00:00+00:00", fixture.ROOT)
+    read = w.spark.read.text(path, wholetext=True).select(F.from_json("value", _DOCUMENT).alias("d"))
+    nodes = read.select(F.posexplode("d.nodes").alias("at", "n")).select(F.col("at").cast("bigint").alias("topo"), "n.*")
+    return nodes.withColumn("x", F.round("x", 6))
+
+
 @query("S15_check_unique_keys", """SELECT label, name, count(*) AS copies FROM (
     SELECT 'Declaration' AS label, name FROM nodes UNION ALL SELECT 'Module', name FROM gmodules
     UNION ALL SELECT 'Namespace', name FROM namespaces) GROUP BY label, name HAVING count(*) > 1""")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from depgraph.session import Rounds
 
@@ -110,3 +115,86 @@ def whole_texts(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes) of the files of a folder; their content is not read."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+# ---- one file from ordered rows --------------------------------------------------------------------
+
+_COPY_BYTES = 8 << 20
+
+
+@dataclass
+class _Stretch(WriterCommitMessage):
+    task: int
+    name: str
+
+
+class _OneFileWriter(DataSourceArrowWriter):
+    """Takes (text), ordered over all tasks; see :func:`write_one_file`."""
+
+    def __init__(self, path: str):
+        self.path, self.parts = path, f"{path}.parts-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Stretch:
+        files, folder = place(self.parts)
+        files.create_dir(folder, recursive=True)
+        name = f"{uuid.uuid4().hex}.part"
+        with files.open_output_stream(f"{folder}/{name}") as out:
+            for batch in iterator:
+                for text in batch.column("text").to_pylist():
+                    out.write(text.encode())
+        return _Stretch(TaskContext.get().partitionId(), name)
+
+    def commit(self, messages: list[_Stretch | None]) -> None:
+        files, folder = place(self.parts)
+        _, target = place(self.path)
+        digest = hashlib.sha256()
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/whole") as out:
+            for part in sorted((m for m in messages if m is not None), key=lambda m: m.task):
+                with files.open_input_stream(f"{folder}/{part.name}") as piece:
+                    while copied := piece.read(_COPY_BYTES):
+                        out.write(copied)
+                        digest.update(copied)
+        with files.open_output_stream(f"{folder}/digest") as out:
+            out.write(digest.hexdigest().encode())
+        files.move(f"{folder}/whole", target)
+        files.move(f"{folder}/digest", f"{target}.sha256")
+        files.delete_dir(folder)
+
+    def abort(self, messages: list[_Stretch | None]) -> None:
+        files, folder = place(self.parts)
+        if files.get_file_info(folder).type == fs.FileType.Directory:
+            files.delete_dir(folder)
+
+
+class OneFileSource(DataSource):
+    """Format ``one_file``, for writing only: option ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "one_file"
+
+    def schema(self) -> str:
+        return "text string"
+
+    def writer(self, schema, overwrite: bool) -> _OneFileWriter:
+        return _OneFileWriter(self.options["path"])
+
+
+def write_one_file(lines: DataFrame, order: list[str], path: str) -> str:
+    """Writes the column ``text`` of all rows, in order and with nothing in between, to one file.
+
+    Tasks write a range of the order each; the commit appends the ranges piece by piece to a file that takes its
+    name at the end.  Next to it, in ``<path>.sha256``, stands the digest of its bytes, which is returned.  Rows
+    whose order is unique give the same bytes however they are partitioned.
+    """
+    lines.sparkSession.dataSource.register(OneFileSource)
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("text")
+    ranged.write.format("one_file").mode("append").save(path)
+    return stored_digest(path)
+
+
+def stored_digest(path: str) -> str:
+    files, target = place(f"{path}.sha256")
+    with files.open_input_stream(target) as source:
+        return source.read().decode()
