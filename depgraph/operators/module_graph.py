@@ -17,11 +17,11 @@ from depgraph.operators.ranking import dense_index
 from depgraph.session import Rounds, materialize, materialize_with
 
 # A node's order key grows by one id per level; it is replaced by a rank this often.
-_KEY_LEVELS = 16
+_KEY_LEVELS = 48
 # Rounds expressed in one job before its rows are written.  Inside a job a round's
 # shuffle is read by the later rounds, so a round is still computed once.
 _ROUNDS_PER_WRITE = 4
-_LEVELS_PER_WRITE = 2
+_LEVELS_PER_WRITE = 6
 _ROUNDS_PER_CHECK = 10
 
 
@@ -86,9 +86,10 @@ def peel(
     Returns (id, level[, key]) of the placed nodes and (id) of the nodes that lie on
     or behind a cycle.  A round turns the edges of the newly placed nodes into one
     message per importer and adds them to the counts of missing dependencies of the
-    nodes still pending, in one grouped pass; placed nodes are never touched again.
-    Several rounds are one job, and the edges are cut down to those of pending nodes
-    each time half of these are placed, so an edge is read a few times and not once a level.
+    nodes still pending, in one join and one grouped pass over a single table.  Several
+    rounds are one job; a job hands on what is pending and the nodes it placed last.  The edges
+    are cut down to those of pending nodes each time half of these are placed, so an edge is read a few
+    times and not once a level.
 
     Deep graphs are mostly chains.  After the first levels, and again after twice as many, chains of pending
     nodes with one dependency and one importer are contracted: when the first node of a chain is placed,
@@ -99,43 +100,34 @@ def peel(
     would pop them: by the last-popped dependency, which always lies on the level
     before, then by id.  Nobody but the next node of a chain follows its inner nodes, so these share the key of the first.
     """
-    needed = edges.groupBy(F.col("importer").alias("id")).agg(F.count(F.lit(1)).alias("needed"))
-    key = F.array("id") if keep_order else F.lit(None).cast("array<bigint>")
-    state = nodes.select("id").join(needed, "id", "left").select(
-        "id", F.coalesce("needed", F.lit(0)).alias("missing"), key.alias("key")
-    )
     spark = nodes.sparkSession
-    rounds = Rounds(spark, "peel")
-    text = _ORDERED_ROUND if keep_order else _PLAIN_ROUND
     kind = nodes.schema["id"].dataType.simpleString()
-    # chains: first node, the importer of the last, steps from first to last; messages of last nodes under way
-    chains = spark.createDataFrame([], f"rep {kind}, id {kind}, steps bigint")
-    under_way = spark.createDataFrame([], f"id {kind}, key array<bigint>, rep {kind}, arrive bigint")
+    needed = edges.groupBy(F.col("importer").alias("id")).agg(F.count(F.lit(1)).alias("missing"))
+    counted = nodes.select("id").join(needed, "id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    ready = F.col("missing") == 0
+    key = F.when(ready, F.array("id")) if keep_order else F.lit(None)
+    state = counted.select(
+        "id", F.lit(None).cast(kind).alias("rep"), "missing", F.when(ready, F.lit(0)).cast("bigint").alias("level"),
+        key.cast("array<bigint>").alias("key"), F.lit(None).cast("bigint").alias("arrive"),
+    )
+    step = _STEP.replace("<id>", kind).replace("<key>", "array_append(best, id)" if keep_order else "own")
+    edges = edges.select("importer", "dep", F.lit(0).cast("bigint").alias("steps"))
+    rounds = Rounds(spark, "peel")
     inner: list[DataFrame] = []
     shared_keys: list[DataFrame] = []
-    first, unranked, at_cut, contract_at = 0, 0, None, _CONTRACT_AFTER
+    first, level, unranked, at_cut, contract_at = 0, 0, 0, None, _CONTRACT_AFTER
     while True:
         top = first + _LEVELS_PER_WRITE - 1
-        rows = _leveled(state.filter("missing = 0"), first)
-        for level in range(first + 1, top + 1):
-            placed, pending = state.filter("missing = 0"), state.filter("missing > 0")
-            if inner:
-                sent = spark.sql(_SENT, placed=placed, chains=chains, level=level - 1)
-                under_way = under_way.filter(F.col("arrive") >= level - 1).unionByName(sent)
-            arrived = under_way.filter(F.col("arrive") == level - 1)
-            state = spark.sql(text, placed=placed, pending=pending, edges=edges, arrived=arrived)
-            rows = rows.unionByName(_leveled(state.filter("missing = 0"), level))
-        if inner:
-            sent = spark.sql(_SENT, placed=state.filter("missing = 0"), chains=chains, level=top)
-            under_way = under_way.filter(F.col("arrive") >= top).unionByName(sent)
-        rest = _leveled(state.filter("missing > 0"), _PENDING)
-        moving = under_way.select("id", F.lit(1).cast("bigint").alias("missing"), "key", F.lit(_MOVING).cast("bigint").alias("level"), "rep", "arrive")
+        for level in range(level, top):
+            state = spark.sql(step, state=state, edges=edges, level=level)
         table, counts = rounds.add(
-            rows.unionByName(rest).unionByName(moving),
-            newest=F.count_if(F.col("level") == top), pending=F.count_if(F.col("level") == _PENDING), next=F.min("arrive"),
+            state.filter(F.col("level").isNull() | (F.col("level") >= first)),
+            newest=F.count_if(F.col("level") == top), next=F.min("arrive"),
+            pending=F.count_if(F.col("level").isNull() & F.col("rep").isNull()),
         )
-        newest, pending = table.filter(F.col("level") == top), table.filter(F.col("level") == _PENDING)
-        under_way = table.filter(F.col("level") == _MOVING).select("id", "key", "rep", "arrive")
+        newest = table.filter(F.col("level") == top)
+        pending = table.filter("level IS NULL AND rep IS NULL")
+        under_way = table.filter("rep IS NOT NULL")
         if not counts["pending"] or not counts["newest"] and counts["next"] is None:
             break
         unranked += _LEVELS_PER_WRITE
@@ -149,17 +141,14 @@ def peel(
             contract_at *= 2
             found = _contract(pending, edges)
             if found is not None:
-                followers, new_chains, edges = found
+                followers, edges = found
                 inner.append(followers)
-                chains = materialize(chains.unionByName(new_chains), "chains")
-                pending = pending.join(followers.select("id"), "id", "leftanti")
+                pending = pending.join(followers.select("id"), "id", "leftanti").select(*pending.columns)
+        state = newest.unionByName(pending).unionByName(under_way)
         level = top if counts["newest"] else counts["next"]
-        arrived = under_way.filter(F.col("arrive") == level)
-        state = spark.sql(text, placed=newest, pending=pending, edges=edges, arrived=arrived)
-        under_way = under_way.filter(F.col("arrive") > level)
         first = level + 1
     columns = ["id", "level", "key"] if keep_order else ["id", "level"]
-    levels = rounds.all().filter("level >= 0").select(*columns)
+    levels = rounds.all().filter("level IS NOT NULL").select(*columns)
     stuck = pending.select("id")
     if inner:
         followers = inner[0]
@@ -179,49 +168,51 @@ def peel(
     return levels, stuck
 
 
-_PENDING, _MOVING = -1, -2
 # Levels after which chains are contracted for the first time; then after twice as many each time.
-_CONTRACT_AFTER = 8
-
-_ORDERED_ROUND = """
-SELECT id, missing, CASE WHEN missing = 0 THEN array_append(best, id) END AS key FROM (
-  SELECT id, sum(missing) AS missing, max(key) AS best FROM (
-    SELECT id, missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM {pending}
-    UNION ALL
-    SELECT e.importer, -1, p.key FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id
-    UNION ALL
-    SELECT id, -1, key FROM {arrived})
-  GROUP BY id)"""
-
-_PLAIN_ROUND = """
-SELECT id, sum(missing) AS missing, CAST(NULL AS ARRAY<BIGINT>) AS key FROM (
-  SELECT id, missing FROM {pending}
-  UNION ALL
-  SELECT e.importer, -1 FROM {placed} AS p JOIN {edges} AS e ON e.dep = p.id
-  UNION ALL
-  SELECT id, -1 FROM {arrived})
-GROUP BY id"""
-
-# Messages of the last nodes of chains whose first node has just been placed.
-_SENT = """
-SELECT c.id, p.key, c.rep, {level} + c.steps AS arrive FROM {placed} AS p JOIN {chains} AS c ON c.rep = p.id"""
-
-
-def _leveled(state: DataFrame, level: int) -> DataFrame:
-    return state.select(
-        "id", "missing", "key", F.lit(level).cast("bigint").alias("level"),
-        F.lit(None).cast(state.schema["id"].dataType).alias("rep"), F.lit(None).cast("bigint").alias("arrive"),
-    )
-
-
-def _contract(pending: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Chains among pending nodes: (id, rep, step) of all their nodes but the first, the chains, and the edges left.
+_CONTRACT_AFTER = 24
+
+# One level.  Rows of the state are pending nodes (no level), placed ones, and messages of chains under way (rep is
+# the chain's first node, arrive the level of its last).  A placed node on this level stands beside each of its edges;
+# it is spelled out as itself, whose repeats the grouping removes, and the message of the edge.
+_STEP = """
+SELECT id, rep, missing, arrive,
+  CASE WHEN level IS NULL AND rep IS NULL AND missing = 0 THEN {level} + 1L ELSE level END AS level,
+  CASE WHEN level IS NULL AND rep IS NULL AND missing = 0 THEN <key> ELSE own END AS key
+FROM (
+  SELECT id, rep, sum(missing) AS missing, max(level) AS level, max(own) AS own, max(best) AS best, max(arrive) AS arrive
+  FROM (
+    SELECT inline(CASE
+      WHEN s.rep IS NOT NULL AND s.arrive = {level} THEN array(
+        struct(s.id AS id, CAST(NULL AS <id>) AS rep, -1L AS missing, CAST(NULL AS BIGINT) AS level,
+               CAST(NULL AS ARRAY<BIGINT>) AS own, s.key AS best, CAST(NULL AS BIGINT) AS arrive))
+      WHEN e.importer IS NULL THEN array(
+        struct(s.id AS id, s.rep AS rep, s.missing AS missing, s.level AS level, s.key AS own,
+               CAST(NULL AS ARRAY<BIGINT>) AS best, s.arrive AS arrive))
+      WHEN e.steps = 0 THEN array(
+        struct(s.id AS id, s.rep AS rep, s.missing AS missing, s.level AS level, s.key AS own,
+               CAST(NULL AS ARRAY<BIGINT>) AS best, s.arrive AS arrive),
+        struct(e.importer AS id, CAST(NULL AS <id>) AS rep, -1L AS missing, CAST(NULL AS BIGINT) AS level,
+               CAST(NULL AS ARRAY<BIGINT>) AS own, s.key AS best, CAST(NULL AS BIGINT) AS arrive))
+      ELSE array(
+        struct(s.id AS id, s.rep AS rep, s.missing AS missing, s.level AS level, s.key AS own,
+               CAST(NULL AS ARRAY<BIGINT>) AS best, s.arrive AS arrive),
+        struct(e.importer AS id, s.id AS rep, 0L AS missing, CAST(NULL AS BIGINT) AS level,
+               s.key AS own, CAST(NULL AS ARRAY<BIGINT>) AS best, {level} + e.steps AS arrive))
+      END)
+    FROM {state} AS s LEFT JOIN {edges} AS e ON e.dep = s.id AND s.level = {level} AND s.rep IS NULL)
+  GROUP BY id, rep)"""
+
+
+def _contract(pending: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Chains among pending nodes: (id, rep, step) of all their nodes but the first, and the edges with each
+    chain as one of so many ``steps`` from its first to its last node.
 
     None where there is no chain.  A node follows its dependency if both have that one missing dependency and one
     importer.  Pointers to the first node double their reach in every round; circles of such nodes are left alone.
     """
-    ends = edges.join(pending.select(F.col("id").alias("dep")), "dep", "leftsemi")
-    users = edges.groupBy(F.col("dep").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("importer").alias("user"))
+    plain = edges.filter("steps = 0")
+    ends = plain.join(pending.select(F.col("id").alias("dep")), "dep", "leftsemi")
+    users = plain.groupBy(F.col("dep").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("importer").alias("user"))
     single = pending.filter("missing = 1").select("id").join(users.filter("n = 1").select("id", "user"), "id")
     single = materialize(single.join(ends.select(F.col("importer").alias("id"), "dep"), "id", "left"), "singles")
     firsts = single.select(F.col("id").alias("dep"), F.lit(1).cast("bigint").alias("step"))
@@ -247,12 +238,14 @@ def _contract(pending: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     heads = pointers.filter("step = 0").select(F.col("id").alias("rep"))
     followers = materialize(pointers.filter("step > 0").join(heads, "rep", "leftsemi").select("id", "rep", "step"), "followers")
     last = followers.groupBy("rep").agg(F.max("step").alias("steps"), F.max_by("id", "step").alias("last"))
-    chains = last.join(single.select(F.col("id").alias("last"), "user"), "last").select("rep", F.col("user").alias("id"), "steps")
+    chains = last.join(single.select(F.col("id").alias("last"), "user"), "last").select(
+        F.col("user").alias("importer"), F.col("rep").alias("dep"), "steps"
+    )
     inside = followers.select("id").unionByName(followers.select(F.col("rep").alias("id"))).distinct()
     kept = edges.join(followers.select(F.col("id").alias("importer")), "importer", "leftanti").join(
         inside.select(F.col("id").alias("dep")), "dep", "leftanti"
     )
-    return followers, chains, materialize(kept.select("importer", "dep"), "open_edges")
+    return followers, materialize(kept.select("importer", "dep", "steps").unionByName(chains), "open_edges")
 
 
 # Doublings of the chains' pointers in one job.
@@ -261,10 +254,9 @@ _DOUBLINGS = 2
 
 def _short_keys(placed: DataFrame, under_way: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replace the order keys of one level, and of messages that pass it, by their ranks among all of them."""
-    both = placed.select("id", "key", "rep", "arrive").unionByName(under_way.select("id", "key", "rep", "arrive"))
-    ranked = dense_index(both, ["key"], "rank").select("id", F.array("rank").alias("key"), "rep", "arrive")
-    ranked = materialize(ranked, "ranks")
-    return ranked.filter("rep IS NULL").select("id", "key"), ranked.filter("rep IS NOT NULL").select(*under_way.columns)
+    ranked = dense_index(placed.unionByName(under_way), ["key"], "rank")
+    ranked = materialize(ranked.withColumn("key", F.array("rank")).select(*placed.columns), "ranks")
+    return ranked.filter("rep IS NULL"), ranked.filter("rep IS NOT NULL")
 
 
 def topological_levels(graph: ModuleGraph) -> DataFrame:
@@ -295,16 +287,15 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 WORD_BITS = 64
 _BIT = f"shiftleft(1L, CAST(dep % {WORD_BITS} AS INT))"
 
-# Words of the nodes on one level, handed to the importers of those nodes.  Repeats meet in the bit_or of the
-# level that reads them: one shuffle per round for the sums, one for the join.
+# One level of the closure.  A row on this level stands beside each edge to an importer; it is spelled out as itself,
+# whose repeats bit_or removes, and as what the importer gets from it.
 _HAND_UP = """
-SELECT up.importer AS node, own.word, own.bits, up.ilevel AS at FROM (
-  SELECT node, word, bit_or(bits) AS bits FROM (
-    SELECT node, word, bits FROM {direct} WHERE at = {level}
-    UNION ALL
-    SELECT node, word, bits FROM {received} WHERE at = {level})
-  GROUP BY node, word) AS own
-JOIN {leveled} AS up ON up.dep = own.node AND up.dlevel = {level}"""
+SELECT node, word, at, bit_or(bits) AS bits, bit_or(via) AS via FROM (
+  SELECT inline(CASE WHEN e.importer IS NULL THEN array(struct(s.node AS node, s.word AS word, s.at AS at, s.bits AS bits, s.via AS via))
+    ELSE array(struct(s.node AS node, s.word AS word, s.at AS at, s.bits AS bits, s.via AS via),
+               struct(e.importer AS node, s.word AS word, e.ilevel AS at, s.bits AS bits, s.bits AS via)) END)
+  FROM {state} AS s LEFT JOIN {leveled} AS e ON e.dep = s.node AND s.at = {level})
+GROUP BY node, word, at"""
 
 
 def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
@@ -313,8 +304,8 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
     ``bits`` are all direct and indirect dependencies, ``via`` those that a direct dependency depends on.  Levels are
     handled bottom-up.  When a level is reached the words of its nodes are complete, and each node hands them to
     its importers once: an edge moves as many rows as its dependency has words, up to 64 dependencies in
-    each, and finished words are not read again by later rounds.  The rows handed up are sorted by the level that
-    will read them, so a round prunes the rest from the Parquet statistics.
+    each.  A job handles several levels; it reads the rows of these levels alone, which Parquet statistics find, since
+    rows are sorted by the level they wait for.
     """
     spark = edges.sparkSession
     at = levels.select("id", "level")
@@ -329,23 +320,20 @@ def closure(edges: DataFrame, levels: DataFrame) -> DataFrame:
         .agg(F.expr(f"bit_or({_BIT})").alias("bits"), F.max("dlevel").alias("below")).sortWithinPartitions("at"),
         "direct", top=F.max("below"),
     )
-    direct = direct.select("node", "word", "bits", "at")
-    handed = Rounds(spark, "handed")
-    received = direct.limit(0)
+    direct = direct.select("node", "word", "at", "bits", F.lit(0).cast("bigint").alias("via"))
+    rounds = Rounds(spark, "handed")
     for first in range(1, (found["top"] or 0) + 1, _LEVELS_PER_WRITE):
-        known, steps = received, None
-        for level in range(first, min(first + _LEVELS_PER_WRITE - 1, found["top"]) + 1):
-            step = spark.sql(_HAND_UP, leveled=leveled, direct=direct, received=known, level=level)
-            steps = step if steps is None else steps.unionByName(step)
-            known = known.unionByName(step)
-        handed.add(steps.sortWithinPartitions("at"))
-        received = handed.all()
-    words = direct.select("node", "word", "bits", F.lit(0).cast("bigint").alias("via"))
-    if len(handed):
-        words = words.unionByName(handed.all().select("node", "word", "bits", F.col("bits").alias("via")))
+        last = min(first + _LEVELS_PER_WRITE - 1, found["top"])
+        state = direct.filter(F.col("at").between(first, last))
+        if len(rounds):
+            state = state.unionByName(rounds.all().filter(F.col("at").between(first, last)))
+        for level in range(first, last + 1):
+            state = spark.sql(_HAND_UP, state=state, leveled=leveled, level=level)
+        rounds.add(state.sortWithinPartitions("at"))
+    words = direct if not len(rounds) else direct.unionByName(rounds.all())
     merged = words.groupBy("node", "word").agg(F.expr("bit_or(bits)").alias("bits"), F.expr("bit_or(via)").alias("via"))
     finished = materialize(merged, "closure")
-    handed.drop()
+    rounds.drop()
     return finished
 
 
