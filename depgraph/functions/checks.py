@@ -39,19 +39,19 @@ def clamped(limit: Column, upper: int) -> Column:
 def query_text(text: str) -> str:
     text = text.strip()
     if len(text) > MAX_QUERY_CHARS:
-        raise QueryError("query too long")
+        raise QueryError(f"a search text holds at most {MAX_QUERY_CHARS} characters, not {len(text)}")
     return text
 
 
 def direction(value: str) -> str:
     if value not in ("in", "out"):
-        raise QueryError("direction must be 'in' or 'out'")
+        raise QueryError(f"{value!r} is no direction: 'in' lists dependents, 'out' dependencies")
     return value
 
 
 def distinct_pair(a: str, b: str) -> tuple[str, str]:
     if a == b:
-        raise QueryError("a and b must differ")
+        raise QueryError(f"a strip runs between two modules, {a} is given twice")
     return a, b
 
 
@@ -65,7 +65,7 @@ def fields(chosen: Sequence[str] | None) -> list[str]:
     wanted = list(chosen or DEFAULT_FIELDS)
     unknown = [field for field in wanted if field not in ALLOWED_FIELDS]
     if unknown:
-        raise QueryError(f"unknown fields: {unknown}")
+        raise QueryError("no such column: " + ", ".join(unknown))
     return wanted
 
 

@@ -93,7 +93,7 @@ def query_terms(text: str) -> list[str]:
 
 
 def prefix_terms(text: Column) -> Column:
-    """Query text as an OR of prefix patterns, e.g. ``le_iff add`` -> ``le_iff* add*``."""
+    """The words of a search text, each with a star behind it, parted by blanks."""
     return F.array_join(F.transform(words(text), lambda token: F.concat(token, F.lit("*"))), " ")
 
 

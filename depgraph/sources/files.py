@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,6 +205,23 @@ def topic_dim(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(data, schemas.TOPIC)
 
 
+def read_topics(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """The topic dimension of a TOML file with one ``[[topic]]`` table (id, label, y, color) a row, in priority order.
+
+    A file that is missing, is no TOML or has a topic without one of the four values, or with more, gives the built-in
+    table; the second value says why, and is null where the file was taken.  A default row is added if the file has none.
+    """
+    try:
+        rows = spark.read.text(path, wholetext=True).limit(1).collect()
+        found = tomllib.loads(rows[0]["value"] if rows else "")["topic"]
+        names = {"id", "label", "y", "color"}
+        if not found or any(set(t) != names for t in found):
+            raise ValueError(f"each topic needs {', '.join(sorted(names))} and nothing else")
+        return topic_dim(spark, [(str(t["id"]), str(t["label"]), float(t["y"]), str(t["color"])) for t in found]), None
+    except (AnalysisException, ValueError, TypeError, KeyError, AttributeError) as reason:
+        return topic_dim(spark), f"{type(reason).__name__}: {reason}".splitlines()[0]
+
+
 def topic_table(topics: DataFrame) -> DataFrame:
     """A stored topic table (priority, id, label, y, color) as a dimension: a default row is added if it has none."""
     spark = topics.sparkSession

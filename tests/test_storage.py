@@ -242,6 +242,25 @@ def test_topics_always_have_a_default(spark):
     assert rows(files.topic_dim(spark, [("A", "a", 1.0, "c")]), "priority", "id") == [(0, "A"), (1, "_default")]
 
 
+@pytest.mark.parametrize("text, taken", [
+    ('[[topic]]\nid = "A"\nlabel = "a é"\ny = 2\ncolor = "c"\n[[topic]]\nid = "B"\nlabel = "b"\ny = 1.5\ncolor = "d"', 2),
+    ('[[topic]]\nid = "_default"\nlabel = "o"\ny = 2.0\ncolor = "c"', 1),
+    ("not toml [", None), ("", None), ("[[topic]]\nid = 'A'", None), ("topic = 3", None), ("topic = []", None),
+    ("[[topic]]\nid = 'A'\nlabel = 'a'\ny = 'high'\ncolor = 'c'", None), (None, None),
+])
+def test_topic_file_or_the_built_in_table(spark, tmp_path, text, taken):
+    if text is not None:
+        (tmp_path / "topics.toml").write_text(text)
+    topics, reason = files.read_topics(spark, str(tmp_path / "topics.toml"))
+    found = rows(topics, "priority", "id", "y")
+    if taken is None:
+        assert reason and len(found) == 28
+    elif taken == 1:
+        assert reason is None and found == [(0, "_default", 2.0)]
+    else:
+        assert reason is None and found == [(0, "A", 2.0), (1, "B", 1.5), (2, "_default", 140.0)]
+
+
 def test_modules_round_trip(spark, tmp_path, make_feeds):
     from depgraph import schemas
 
