@@ -85,11 +85,62 @@ class Grader:
         return float(self.weights[slots] @ values)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int) -> Grader:
+@dataclass
+class Likelihood:
+    """The penalised negative log-likelihood of the cumulative logit, of entries (slot, value) of rows (owner).
+
+    Parameters are the weights and the gaps: the first threshold, and the logarithms of the steps to the next ones,
+    which keep thresholds in order.  Rare grades weigh more, by the square root of what would balance them.
+    """
+
+    slots: np.ndarray
+    values: np.ndarray
+    owner: np.ndarray
+    grades: np.ndarray
+    levels: int
+    penalty: float = PENALTY
+
+    def __post_init__(self):
+        counts = np.bincount(self.grades, minlength=self.levels) + 1.0
+        self.balance = np.sqrt(counts.sum() / self.levels / counts[self.grades])
+        self.lower, self.upper = np.maximum(self.grades - 1, 0), np.minimum(self.grades, self.levels - 2)
+
+    def _chances(self, w: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(grade or more), P(more than the grade) and P(the grade) of each row."""
+        t = thresholds_of(gaps)
+        s = np.bincount(self.owner, weights=w[self.slots] * self.values, minlength=len(self.grades))
+        tail = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -60, 60)))
+        each = np.arange(len(s))
+        at_least = np.where(self.grades > 0, tail[each, self.lower], 1.0)
+        beyond = np.where(self.grades < self.levels - 1, tail[each, self.upper], 0.0)
+        return at_least, beyond, np.maximum(at_least - beyond, 1e-12)
+
+    def value(self, w: np.ndarray, gaps: np.ndarray) -> float:
+        return float(-(self.balance * np.log(self._chances(w, gaps)[2])).sum() / len(self.grades) + self.penalty / 2 * (w @ w))
+
+    def gradient(self, w: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weights and of the gaps."""
+        grades, levels, rows = self.grades, self.levels, len(self.grades)
+        at_least, beyond, p = self._chances(w, gaps)
+        d_low, d_up = at_least * (1 - at_least) / p * self.balance, beyond * (1 - beyond) / p * self.balance
+        d_s = -(d_low - d_up) / rows
+        g_w = np.bincount(self.slots, weights=d_s[self.owner] * self.values, minlength=len(w)) + self.penalty * w
+        g_t = (np.bincount(self.lower[grades > 0], weights=d_low[grades > 0], minlength=levels - 1)
+               - np.bincount(self.upper[grades < levels - 1], weights=d_up[grades < levels - 1], minlength=levels - 1)) / rows
+        return g_w, g_t[::-1].cumsum()[::-1] * np.concatenate([[1.0], np.exp(gaps[1:])])
+
+
+def thresholds_of(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
+
+
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, one_sided: bool = True, steps: int = STEPS
+) -> Grader:
     """Maximum likelihood of the cumulative logit with an L2 penalty, by Adam on all rows at once.
 
-    Words can only lower a score, so a short text without any remarkable word is not held to be bad.
-    Rare grades weigh more, by the square root of what would balance them.
+    With ``one_sided`` words can only lower a score, so a short text without any remarkable word is not held to be
+    bad; without it weights have either sign.
 
     Without rows, or with one grade only, the thresholds say how often each grade was met (plus one).
     Unless the highest grade and a lower one were met, the grader does not separate.
@@ -110,33 +161,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     mean, spread = grades.mean(), max(grades.std(), 1e-9)
     shift = np.bincount(slots, weights=(grades - mean)[owner]) / np.sqrt(seen) / spread
     kept = ((seen >= MIN_DOCUMENTS) & (np.abs(shift) >= LEAST_SHIFT))[slots]
-    slots, values, owner = slots[kept], values[kept], owner[kept]
+    likelihood = Likelihood(slots[kept], values[kept], owner[kept], grades, levels)
     w = np.zeros(len(used))
     gaps = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(gaps), np.zeros_like(gaps)]
-    lower, upper = np.maximum(grades - 1, 0), np.minimum(grades, levels - 2)
-    balance = np.sqrt(counts.sum() / levels / counts[grades])
     words = used >= _SHAPES
-    for step in range(1, STEPS + 1):
-        t = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
-        s = np.bincount(owner, weights=w[slots] * values, minlength=len(rows))
-        tail = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -60, 60)))
-        at_least = np.where(grades > 0, tail[np.arange(len(s)), lower], 1.0)
-        beyond = np.where(grades < levels - 1, tail[np.arange(len(s)), upper], 0.0)
-        p = np.maximum(at_least - beyond, 1e-12)
-        d_low, d_up = at_least * (1 - at_least) / p * balance, beyond * (1 - beyond) / p * balance
-        d_s = -(d_low - d_up) / len(s)
-        g_w = np.bincount(slots, weights=d_s[owner] * values, minlength=len(w)) + PENALTY * w
-        g_t = (np.bincount(lower[grades > 0], weights=d_low[grades > 0], minlength=levels - 1)
-               - np.bincount(upper[grades < levels - 1], weights=d_up[grades < levels - 1], minlength=levels - 1)) / len(s)
-        g_g = g_t[::-1].cumsum()[::-1] * np.concatenate([[1.0], np.exp(gaps[1:])])
+    for step in range(1, steps + 1):
+        g_w, g_g = likelihood.gradient(w, gaps)
         for x, g, m, v in ((w, g_w, *state[:2]), (gaps, g_g, *state[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-        w[words] = np.minimum(w[words], 0)
+        if one_sided:
+            w[words] = np.minimum(w[words], 0)
     weights[used] = w
-    return Grader(weights, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])), separates)
+    return Grader(weights, thresholds_of(gaps), separates)
 
 
 def _tables_to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +188,10 @@ def _tables_to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         }).to_batches()
 
 
-def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS) -> Grader:
-    """Fits on at most ``sample_rows`` ratings (doc_id, grade from 0 to levels - 1).
+def train(
+    docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS, one_sided: bool = True
+) -> Grader:
+    """Fits on at most ``sample_rows`` ratings (doc_id, grade from 0 to levels - 1); ``one_sided`` as in :func:`fit`.
 
     Ratings without a number or with a null grade or one out of range are ignored; of several ratings of
     a document the lowest counts; ratings without a document are left out before the sample is taken.
@@ -170,7 +211,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
     found = sample.mapInArrow(_tables_to_rows, "grade int, slots binary, values binary").collect()
     found.sort(key=lambda r: (r.grade, bytes(r.slots)))
     rows = [(np.frombuffer(r.slots, dtype=np.int32).astype(np.int64), np.frombuffer(r["values"], dtype=np.float32)) for r in found]
-    return fit(rows, np.array([r.grade for r in found], dtype=np.int64), levels)
+    return fit(rows, np.array([r.grade for r in found], dtype=np.int64), levels, one_sided)
 
 
 def grade(

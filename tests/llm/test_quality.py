@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from depgraph.llm import quality as Q
@@ -48,6 +49,69 @@ def test_fit_is_a_minimum_of_the_penalised_likelihood():
     assert chance.mean() > 0.8
 
 
+def _likelihood(levels, seed, penalty=1e-2):
+    draw = np.random.default_rng(seed)
+    rows = 80
+    owner = np.repeat(np.arange(rows), 4)
+    slots = draw.integers(0, 9, len(owner))
+    return Q.Likelihood(slots, draw.uniform(0.2, 2, len(owner)), owner, draw.integers(0, levels, rows), levels, penalty), draw
+
+
+@pytest.mark.parametrize("levels", [2, 3, 5])
+def test_gradient_by_finite_differences(levels):
+    likelihood, draw = _likelihood(levels, levels)
+    w, gaps = draw.normal(0, 0.5, 9), draw.normal(0, 0.5, levels - 1)
+    g_w, g_g = likelihood.gradient(w, gaps)
+    for x, g in ((w, g_w), (gaps, g_g)):
+        for i in range(len(x)):
+            old, values = x[i], []
+            for moved in (old + 1e-6, old - 1e-6):
+                x[i] = moved
+                values.append(likelihood.value(w, gaps))
+            x[i] = old
+            assert abs((values[0] - values[1]) / 2e-6 - g[i]) < 1e-6
+
+
+def test_likelihood_by_hand():
+    """Two rows: P(grade 0) = 1 - sigmoid(s - t0), P(grade 1) = sigmoid(s - t0) - sigmoid(s - t1)."""
+    likelihood = Q.Likelihood(np.array([0, 0]), np.array([1.0, 2.0]), np.array([0, 1]), np.array([0, 1]), 3, 0.5)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    w, gaps = np.array([0.7]), np.array([0.2, np.log(1.5)])
+    assert np.allclose(Q.thresholds_of(gaps), [0.2, 1.7])
+    p = np.array([1 - sigmoid(0.7 - 0.2), sigmoid(1.4 - 0.2) - sigmoid(1.4 - 1.7)])
+    weight = np.sqrt(5 / 3 / np.array([2, 2]))
+    assert np.isclose(likelihood.value(w, gaps), -(weight * np.log(p)).sum() / 2 + 0.25 * 0.49)
+
+
+@pytest.mark.parametrize("one_sided", [True, False])
+def test_fit_ends_at_the_minimum(one_sided):
+    """No step in any allowed direction lowers the loss; a word that only good texts have counts if signs are free."""
+    draw = np.random.default_rng(3)
+    grades = draw.integers(0, 3, 400)
+    bad, good = Q._SHAPES + 5, Q._SHAPES + 9
+    rows = []
+    for g in grades:
+        slots = [0] + [bad] * (draw.random() < (0.8, 0.4, 0.1)[g]) + [good] * (draw.random() < (0.1, 0.4, 0.8)[g])
+        rows.append((np.array(slots), np.ones(len(slots))))
+    model = Q.fit(rows, grades, 3, one_sided, steps=3000)
+    assert model.weights[bad] < -0.5 and (model.weights[good] > 0.5) == (not one_sided)
+    assert one_sided <= (model.weights[good] == 0)
+    entries = np.concatenate([s for s, _ in rows])
+    places = {bad: 0, good: 1}
+    kept = np.isin(entries, [bad, good])
+    owner = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])[kept]
+    likelihood = Q.Likelihood(np.array([places[e] for e in entries[kept]]), np.ones(kept.sum()), owner, grades, 3)
+    w, t = model.weights[[bad, good]], model.thresholds
+    gaps = np.array([t[0], np.log(t[1] - t[0])])
+    least = likelihood.value(w, gaps)
+    for i in range(4):
+        for move in (1e-2, -1e-2):
+            x = np.concatenate([w, gaps])
+            x[i] += move
+            if not (one_sided and x[:2].max() > 0):
+                assert likelihood.value(x[:2], x[2:]) > least - 1e-7
+
+
 def test_sample_bound_and_strange_ratings(spark, documents):
     train = rated(60)
     ratings = [(i, g) for i, _, g in train] + [(None, 1), (3, None), (5, 9), (999, 2), (4, 0), (4, 0)]
