@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from depgraph.llm.common import Numbers, prepare, text_tables
-from depgraph.session import new_path
+from depgraph.session import materialize, new_path
 
 ORDER = 3
 #: Factor of each step back to a shorter history.
@@ -89,14 +89,15 @@ def _stir(mark: np.ndarray, shift: int) -> None:
     mark *= _MULTIPLIER
 
 
-def _stored_by_chunk(chunks: DataFrame) -> DataFrame:
-    """The chunks as a table bucketed by their name, so that the answers come to them and they never move."""
+def _stored_by_chunk(chunks: DataFrame) -> tuple[DataFrame, str]:
+    """The chunks as a table bucketed by their name, so that the answers come to them and they never move; its name
+    in the catalog."""
     spark = chunks.sparkSession
     name = f"lm_chunks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = chunks.write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "lm-chunks"))
     writer.saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _ngrams(size: np.ndarray, codes: bytes, words: bytes, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,7 +214,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     empty result.
     """
     prepare(docs.sparkSession)
-    chunks = _stored_by_chunk(_chunks(docs))
+    chunks, catalog_name = _stored_by_chunk(_chunks(docs))
     counted = chunks.mapInArrow(_sizes, "words long").agg(F.sum("words")).first()[0] or 0
     buckets = max(1, math.ceil(counted * (order - 1) / BUCKET_ENTRIES))
     reply = "chunk string, bucket long, n long, totals binary"
@@ -221,9 +222,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     answers = _lists(chunks, order, bits, buckets).groupBy("bucket").applyInPandas(_count, reply)
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType)])
     schema = schema.add("n_words", LongType()).add("log_score", "double").add("n_full", LongType())
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         lambda chunk, answer: _score(chunk, answer, order, bits, counted), schema
     )
+    finished = materialize(scored, "lm-scores")
+    docs.sparkSession.sql(f"DROP TABLE {catalog_name}")
+    return finished
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,10 @@ def test_packing_round_trip():
     for values in ([], [5], [1, 2**63, 0, 7]):
         data = np.array(values, dtype=np.uint64)
         assert (L._unsqueeze(L._squeeze(data), np.uint64) == data).all()
+
+
+def test_nothing_stays_in_the_catalog(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    scored = L.score_documents(documents(*((i, prose(i, 20)) for i in range(30))))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert scored.count() == 30 and scored.filter("n_words = 20").count() == 30  # read again after the table has gone
