@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depgraph.functions import columns as C
 from depgraph.operators import module_graph as G
-from depgraph.operators.ranking import dense_index, position_in_group
+from depgraph.operators.ranking import dense_index, position_in_group, running_max
 from depgraph.operators.structure import RELATIONS, structure_edges
 from depgraph.session import materialize
 from depgraph.sources.feeds import Feeds
@@ -101,6 +101,27 @@ def swimlane_y(placed: DataFrame) -> DataFrame:
     return slotted.withColumn("y", F.col("band") + C.zigzag(F.col("slot"))).drop("lane", "slot")
 
 
+def neighbour_y(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Replace y (band and slot, as :func:`swimlane_y` gives them) by a place near the dependencies of the same topic.
+
+    A module aims at the mean of its band and the y of its direct dependencies of its own topic.  In each column modules
+    are taken by their aim, then in topological order, and each gets the first whole slot from its aim upwards that lies
+    above the one before it, so no two modules of a column share a slot.  The slot of the i-th module is i plus the greatest ``floor(aim) - i`` so far, a running maximum, so no column
+    is walked one by one.
+    """
+    deps = placed.select(F.col("id").alias("dep"), F.col("topic").alias("dep_topic"), F.col("y").alias("dep_y"))
+    own = placed.select(F.col("id").alias("importer"), "topic")
+    near = edges.join(deps, "dep").join(own, "importer").filter("topic = dep_topic").groupBy(F.col("importer").alias("id")).agg(
+        F.sum("dep_y").alias("near_y"), F.count(F.lit(1)).alias("near")
+    )
+    mean = (F.col("band") + F.coalesce("near_y", F.lit(0.0))) / (F.lit(1) + F.coalesce("near", F.lit(0)))
+    aimed = placed.join(near, "id", "left").withColumns({"aim": mean, "lane": F.col("x").cast("bigint")})
+    ranked = position_in_group(aimed, ["lane"], ["aim", "topo"], "place")
+    lifted = running_max(ranked, ["aim", "topo"], "lift", F.floor("aim") - F.col("place"), ["lane"])
+    slot = F.col("place") + F.col("lift")
+    return lifted.withColumn("y", F.col("aim") + (slot - F.floor("aim"))).drop("near_y", "near", "aim", "lane", "place", "lift")
+
+
 def decl_counts(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("module").agg(F.count(F.lit(1)).alias("declCount"))
 
@@ -150,9 +171,10 @@ def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def module_map(
     feeds: Feeds, topics: DataFrame, root: str, bad_lines: int = 0,
     graph: G.ModuleGraph | None = None, levels: DataFrame | None = None,
-    words: DataFrame | None = None, scores: DataFrame | None = None,
+    words: DataFrame | None = None, scores: DataFrame | None = None, near_dependencies: bool = False,
 ) -> ModuleMap:
-    """The whole map; stages computed earlier may be passed in.
+    """The whole map; stages computed earlier may be passed in.  With ``near_dependencies`` y follows the dependencies
+    of a module (:func:`neighbour_y`), without it the slot in its band alone.
 
     Rank and structure edges do not depend on the levels, so their jobs are submitted
     next to the level and closure jobs and share the cluster with them.
@@ -180,7 +202,10 @@ def module_map(
         F.max_by(F.struct("isDeprecated", "title", "docstring"), "seq").alias("p")
     )
     counts = decl_counts(feeds.declarations).withColumnRenamed("module", "name")
-    nodes = swimlane_y(placed).join(props, "name").join(counts, "name", "left").select(
+    lanes = swimlane_y(placed)
+    if near_dependencies:
+        lanes = neighbour_y(lanes, graph.edges)
+    nodes = lanes.join(props, "name").join(counts, "name", "left").select(
         "topo", "name", "topic", "x", "y", "r", "color",
         F.coalesce("declCount", F.lit(0)).alias("declCount"), "closureSize",
         F.col("p.isDeprecated").alias("isDeprecated"), F.col("p.title").alias("title"),

@@ -62,6 +62,27 @@ def running_total(
     )
 
 
+def running_max(
+    df: DataFrame, order: Sequence[str], name: str, value: Column, group: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of this row and the earlier rows of the group; null among nulls only.
+
+    ``order`` and ``group`` as in :func:`running_total`.
+    """
+    cells = _cells(df.withColumn("_value", value), [*group, *order])
+    keys = [_CELL, *group]
+    most = cells.groupBy(*keys).agg(F.max("_value").alias("_most"))
+    earlier = Window.orderBy(_CELL) if not group else Window.partitionBy(*group).orderBy(_CELL)
+    before = most.select(*keys, F.max("_most").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        cells.withColumn("_own", F.max("_value").over(inside))
+        .join(before, keys)
+        .withColumn(name, F.greatest("_own", "_before"))
+        .drop(_CELL, "_value", "_own", "_before")
+    )
+
+
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """0-based position in the global order of unique ``order`` columns."""
     return running_total(df, order, name)

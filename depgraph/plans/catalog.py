@@ -923,6 +923,22 @@ def _(w):
     return w.map.nodes.select("name", "y")
 
 
+@query("W9_neighbour_y", """SELECT name, aim + (place + lift - floor(aim)) AS y FROM (
+    SELECT name, aim, place, max(floor(aim) - place) OVER (PARTITION BY lane ORDER BY place ROWS UNBOUNDED PRECEDING) AS lift
+    FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY aim, topo) - 1 AS place FROM (
+    SELECT m.name, m.topo, CAST(trunc(x.x) AS BIGINT) AS lane, (p.band + coalesce(s.total, 0)) / (1 + coalesce(s.n, 0)) AS aim
+    FROM mnodes i JOIN mmap m ON m.name = i.name JOIN mx x ON x.id = i.id JOIN mtopics p ON p.id = i.id
+    LEFT JOIN (SELECT e.importer, sum(d.y) AS total, count(*) AS n FROM medges e JOIN mnodes a ON a.id = e.dep
+    JOIN mmap d ON d.name = a.name JOIN mnodes b ON b.id = e.importer JOIN mmap o ON o.name = b.name
+    WHERE o.topic = d.topic GROUP BY e.importer) s ON s.importer = i.id)))""")
+def _(w):
+    doc = M.module_map(
+        w.feeds, w.topics, fixture.ROOT, graph=w.module_graph, levels=w.levels, words=w.closure, scores=w.scores,
+        near_dependencies=True,
+    )
+    return doc.nodes.select("name", "y")
+
+
 # ---- sorts, limits, top-k ---------------------------------------------------------------------------------------------
 
 @query("K1_edge_salience", "SELECT dep, importer, round(score, 6) AS score FROM salience")

@@ -89,3 +89,27 @@ def test_structure_edges_resolve_and_fall_back_only_for_fields(make_feeds, spark
     assert rows(X.structure_edges(make_feeds([], records), alive)) == [
         ("extends", "Root.C", "Root.P"), ("fields", "Root.C", "Root.O"), ("instantiates", "Root.C", "Root.P"),
     ]
+
+
+def test_one_deep_module_does_not_set_the_rounds_of_all(spark, monkeypatch):
+    """A module whose declarations form one chain of 5,000, among 3,000 shallow ones, one of them with a circle."""
+    from pyspark.sql import functions as F
+
+    from depgraph import session
+    from depgraph.operators import module_graph as G
+
+    written = []
+    monkeypatch.setattr(session, "materialize", lambda *a, f=session.materialize, **k: written.append(a[1:2]) or f(*a, **k))
+    for place in (G, B):
+        monkeypatch.setattr(place, "materialize", session.materialize)
+    deep = spark.range(5000).select(F.lit("Deep").alias("module"), F.col("id").alias("idx"))
+    shallow = spark.range(9000).select(F.format_string("M%04d", F.expr("id div 3")).alias("module"), (F.col("id") % 3).alias("idx"))
+    chain = spark.range(1, 5000).select(F.lit("Deep").alias("module"), F.col("id").alias("src_idx"), (F.col("id") - 1).alias("dst_idx"))
+    pairs = spark.range(3000).select(F.format_string("M%04d", "id").alias("module"), F.lit(2).cast("bigint").alias("src_idx"), F.lit(0).cast("bigint").alias("dst_idx"))
+    circle = spark.createDataFrame([("M0007", 0, 1), ("M0007", 1, 0)], "module string, src_idx bigint, dst_idx bigint")
+    columns = B.depth_columns(deep.unionByName(shallow), chain.unionByName(pairs).unionByName(circle))
+    found = {(r["module"], r["idx"]): r["column"] for r in columns.collect()}
+    assert len(written) < 30
+    want = {("Deep", i): i for i in range(5000)}
+    want |= {(f"M{m:04d}", i): int(i == 2) for m in range(3000) for i in range(3)}
+    assert found == want | {("M0007", i): 1 for i in range(3)}

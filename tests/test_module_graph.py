@@ -210,6 +210,29 @@ def test_zero_spread_radii_and_topics(spark, make_feeds):
     assert rows(M.unmatched_prefixes(doc.nodes)) == [("Zeta", 6)]
 
 
+def test_modules_settle_near_their_dependencies(spark):
+    """Column 3 holds five modules: means of band and dependencies, then upwards to free slots."""
+    placed = spark.createDataFrame([
+        (0, 0, 0.0, "A", 10.0, 10.0), (1, 1, -1.0, "A", 10.0, 15.0), (2, 2, -2.0, "B", 50.0, 50.0),
+        (3, 3, 3.2, "A", 10.0, 10.0), (4, 4, 3.9, "A", 10.0, 11.0), (5, 5, 3.5, "A", 10.0, 9.0), (6, 6, 3.0, "B", 50.0, 50.0), (7, 7, 3.1, "A", 10.0, 12.0),
+    ], "id long, topo long, x double, topic string, band double, y double")
+    edges = spark.createDataFrame([(3, 1), (4, 0), (4, 2), (5, 1), (5, 0), (6, 0), (7, 1)], "importer long, dep long")
+    found = {r["id"]: r["y"] for r in M.neighbour_y(placed, edges).collect()}
+    assert found[0] == found[1] == 10.0 and found[2] == 50.0  # each alone in its column
+    # aims: 3 and 7 at (10 + 15) / 2, 4 at 10 (its other dependency is of another topic), 5 at 35 / 3, 6 at its band
+    assert found[4] == 10.0 and found[5] == pytest.approx(35 / 3) and found[3] == 12.5 and found[7] == 13.5 and found[6] == 50.0
+
+
+def test_settled_slots_are_unique_in_a_column(spark):
+    draw = random.Random(8)
+    data = [(i, i, float(draw.randrange(4)), draw.choice("AB"), 10.0, 10.0 + draw.randrange(-3, 4)) for i in range(300)]
+    placed = spark.createDataFrame(data, "id long, topo long, x double, topic string, band double, y double")
+    edges = spark.createDataFrame([(i, draw.randrange(i)) for i in range(1, 300) for _ in range(2)], "importer long, dep long").distinct()
+    found = M.neighbour_y(placed, edges).collect()
+    slots = {(int(r["x"]), int(r["y"] // 1)) for r in found}
+    assert len(slots) == len(found) == 300
+
+
 def test_radius_formula(spark):
     scores = spark.createDataFrame([(0, 0.0), (1, 0.25), (2, 1.0)], "id long, score double")
     assert [round(r["r"], 9) for r in M.radii(scores).orderBy("id").collect()] == [0.2, 1.7, 3.2]
