@@ -7,22 +7,27 @@ and their places.  Matches of consecutive suffixes of an item on one diagonal jo
 match.  Words that no test item uses share one number, and no suffix that starts with one is kept,
 since nothing can match there.
 
-The test set reaches the tasks in blocks of bounded size; each block is searched in turn.
+The test set is stored in blocks of bounded size, which tasks load and search one after the other.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from depgraph.llm.common import prepare, text_tables, unused
+from depgraph.session import new_path
+from depgraph.sources.byte_files import open_range, place
 
 #: Words of a test window; an item with fewer words is one window.
 WINDOW = 10
@@ -85,6 +90,33 @@ def blocks_of(items: DataFrame, window: int, item_id: str = "item_id", text: str
         yield Tests(held, window)
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str, size: int) -> Tests:
+    return pickle.loads(open_range(path, 0, size))
+
+
+@dataclass(frozen=True)
+class StoredTests:
+    """A block of test items in a file of the shared folder.  Tasks load the blocks one after the other and hold one at
+    a time, so neither their number nor the benchmark's size weighs on the memory of a task or the driver."""
+
+    path: str
+    size: int
+
+    @classmethod
+    def of(cls, spark: SparkSession, tests: Tests) -> StoredTests:
+        path, raw = new_path(spark, "test-items"), pickle.dumps(tests)
+        files, target = place(path)
+        files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        with files.open_output_stream(target) as out:
+            out.write(raw)
+        return cls(path, len(raw))
+
+    @property
+    def value(self) -> Tests:
+        return _loaded(self.path, self.size)
+
+
 class SuffixArray:
     """Suffixes of a numbered text (0: a word that matches nothing), sorted by ``depth`` words or more."""
 
@@ -194,7 +226,7 @@ def _join_runs(runs: np.ndarray) -> np.ndarray:
     return np.stack([item[head], diagonal[head], place[head], place[last] + length[last] - place[head]])
 
 
-def _report(words: list[list[bytes]], blocks: list, window: int) -> list[dict]:
+def _report(words: list[list[bytes]], blocks: list[StoredTests], window: int) -> list[dict]:
     hits: list[dict] = [{"n_words": len(w), "n_hit": 0, "items": [], "matches": []} for w in words]
     spans: list[list] = [[] for _ in words]
     for block in blocks:
@@ -238,7 +270,7 @@ def annotate(
     spark = prepare(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     whole = unused("text", [*carry, name])
-    blocks = [spark.sparkContext.broadcast(block) for block in blocks_of(items, window)]
+    blocks = [StoredTests.of(spark, block) for block in blocks_of(items, window)]
     report = StructType.fromDDL(REPORT)
     schema = StructType([docs.schema[c] for c in carry]).add(name, report)
     arrow = to_arrow_schema(StructType().add(name, report)).field(0).type
