@@ -161,7 +161,8 @@ def fit(
     mean, spread = grades.mean(), max(grades.std(), 1e-9)
     shift = np.bincount(slots, weights=(grades - mean)[owner]) / np.sqrt(seen) / spread
     kept = ((seen >= MIN_DOCUMENTS) & (np.abs(shift) >= LEAST_SHIFT))[slots]
-    likelihood = Likelihood(slots[kept], values[kept], owner[kept], grades, levels)
+    slots, values, owner = slots[kept], values[kept], owner[kept]
+    likelihood = Likelihood(slots, values, owner, grades, levels)
     w = np.zeros(len(used))
     gaps = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(gaps), np.zeros_like(gaps)]
