@@ -36,7 +36,7 @@ def _expected(blocks):
 
 
 def test_the_file_has_the_layout_of_a_pack(spark, tmp_path, blocks):
-    path = tmp_path / "declpack.bin"
+    path = tmp_path / "blocks.pack"
     pack.write_pack(blocks, str(path), "v1", "t0", "root", STATS)
     raw = path.read_bytes()
     (length,) = struct.unpack("<Q", raw[:8])
@@ -51,7 +51,7 @@ def test_the_file_has_the_layout_of_a_pack(spark, tmp_path, blocks):
         assert json.loads(raw[start:start + r["l"]]) == expected[module]
         offset += r["l"]
     assert set(header["modules"]) == set(expected) and len(raw) == 8 + length + offset
-    assert [p.name for p in tmp_path.iterdir()] == ["declpack.bin"]  # parts are gone
+    assert [p.name for p in tmp_path.iterdir()] == ["blocks.pack"]  # parts are gone
 
 
 @pytest.mark.parametrize("partitions", ["1", "9"])
@@ -67,7 +67,7 @@ def test_same_blocks_give_the_same_bytes(spark, tmp_path, blocks, partitions):
 
 
 def test_blocks_are_read_back_by_ranges(spark, tmp_path, blocks, monkeypatch):
-    path = str(tmp_path / "declpack.bin")
+    path = str(tmp_path / "blocks.pack")
     pack.write_pack(blocks, path, "v1", "t0", "root", STATS)
     everything = pack.read_pack(spark, path)
     assert {r.module: json.loads(bytes(r.data)) for r in everything.collect()} == _expected(blocks)
@@ -89,7 +89,7 @@ def test_blocks_are_read_back_by_ranges(spark, tmp_path, blocks, monkeypatch):
 
 def test_one_module_reads_its_bytes_only(spark, tmp_path, blocks):
     """All other blocks may be damaged: their bytes are never touched."""
-    path = tmp_path / "declpack.bin"
+    path = tmp_path / "blocks.pack"
     pack.write_pack(blocks, str(path), "v1", "t0", "root", STATS)
     header, base = pack._PackReader({"path": str(path)}).header()
     own = header["modules"]["Root.A"]
@@ -104,7 +104,7 @@ def test_an_empty_pack(spark, tmp_path):
         spark.createDataFrame([], "module string, idx long, name string, k string, x double, y double, s double"),
         spark.createDataFrame([], "module string, src_idx long, dst_idx long"),
     )
-    path = str(tmp_path / "declpack.bin")
+    path = str(tmp_path / "blocks.pack")
     pack.write_pack(none, path, "v", "t", "s", STATS)
     assert pack.read_pack(spark, path).count() == 0
 
