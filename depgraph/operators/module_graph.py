@@ -111,6 +111,9 @@ def peel(
         key.cast("array<bigint>").alias("key"), F.lit(None).cast("bigint").alias("arrive"),
     )
     step = _STEP.replace("<id>", kind).replace("<key>", "array_append(best, id)" if keep_order else "own")
+    if not keep_order:  # without arrays to compare, rows are grouped by hash and not by sorting
+        for name in ("own", "best"):
+            step = step.replace(f"max({name})", "CAST(NULL AS ARRAY<BIGINT>)")
     edges = edges.select("importer", "dep", F.lit(0).cast("bigint").alias("steps"))
     rounds = Rounds(spark, "peel")
     inner: list[DataFrame] = []
