@@ -81,6 +81,8 @@ def _(w):
         F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"), F.lit("\né")).alias("text"),
         (key % 5 == 3).alias("skip"),
     )
+    # a file a label: dealt to all cores, since the few input files would be written by as few tasks
+    sources = sources.repartition(4 * w.spark.sparkContext.defaultParallelism, "label")
     sources.filter("NOT skip").drop("skip").write.partitionBy("label").text(f"{folder}/src")
     sources.filter("skip").drop("skip").write.partitionBy("label").text(f"{folder}/src/.lake/more")
     found = files.scan_sources(w.spark, f"{folder}/src", ".txt")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import json
 
 import pytest
@@ -324,3 +325,17 @@ def test_stream_ends_in_the_state_of_a_batch_load(spark, tmp_path, make_feeds):
     assert rows(streamed.declarations) == rows(batch.declarations)
     assert rows(streamed.depends_on) == rows(batch.depends_on)
     assert streamed.declarations.filter(F.col("name") == "S.x").first()["typeSignature"] == "late"
+
+
+def test_source_files_are_written_by_many_tasks(spark, tmp_path):
+    """One input file of suppliers gives a file each, by more tasks than one, and each is read again."""
+    from depgraph.plans.catalog import QUERIES
+    from depgraph.session import shared_dir
+
+    table = spark.range(40).selectExpr("id AS s_suppkey", "concat('S#', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey")
+    table.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/**/part-*.txt", recursive=True))
+    found = rows(QUERIES["S1_scan_sources"](spark, str(tmp_path)))
+    written = set(glob.glob(f"{shared_dir(spark)}/**/part-*.txt", recursive=True)) - before
+    assert len({path.rsplit("/", 1)[-1].split("-")[1] for path in written}) > 1
+    assert len(found) == 32 and ("a + b%20S#4 Größe", "nation 4\né\n") in found
