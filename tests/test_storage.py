@@ -339,3 +339,24 @@ def test_source_files_are_written_by_many_tasks(spark, tmp_path):
     written = set(glob.glob(f"{shared_dir(spark)}/**/part-*.txt", recursive=True)) - before
     assert len({path.rsplit("/", 1)[-1].split("-")[1] for path in written}) > 1
     assert len(found) == 32 and ("a + b%20S#4 Größe", "nation 4\né\n") in found
+
+
+def test_feed_files_hold_bounded_records(spark, tmp_path, monkeypatch):
+    """A larger feed is written in more files, which still follow the order of the numbers."""
+    monkeypatch.setattr(fixture, "FILE_RECORDS", 5)
+    feed = spark.range(120).selectExpr("id AS seq", "concat('n', id) AS name")
+    later = spark.range(8).selectExpr("concat('later', id) AS name").repartition(4)
+    fixture.written_in_order(feed, "seq", f"{tmp_path}/feed", later)
+    paths = sorted(glob.glob(f"{tmp_path}/feed/0*/part-*.json"))
+    lines = [[json.loads(line)["name"] for line in open(path)] for path in paths]
+    assert max(map(len, lines)) <= 12 and [n for part in lines for n in part] == [f"n{i}" for i in range(120)]
+    assert len(glob.glob(f"{tmp_path}/feed/900/part-*.json")) > 1
+
+
+def test_block_ranks_are_a_stored_table(spark, tmp_path):
+    """Catalyst sees how small the ranks are, so numbering does not shuffle the records by their few blocks."""
+    for i in range(3):
+        _write(tmp_path / f"{i}.json", [{"name": f"n{i}"}])
+    placed = spark.read.schema("name string").json(str(tmp_path)).select("name", *files.place_columns())
+    plan = files.numbered(placed, files.block_ranks(placed))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
