@@ -172,8 +172,9 @@ def module_map(
     feeds: Feeds, topics: DataFrame, root: str, bad_lines: int = 0,
     graph: G.ModuleGraph | None = None, levels: DataFrame | None = None,
     words: DataFrame | None = None, scores: DataFrame | None = None, near_dependencies: bool = False,
+    order: DataFrame | None = None,
 ) -> ModuleMap:
-    """The whole map; stages computed earlier may be passed in.  With ``near_dependencies`` y follows the dependencies
+    """The whole map; stages computed earlier may be passed in, ``words`` with the ``order`` they count in.  With ``near_dependencies`` y follows the dependencies
     of a module (:func:`neighbour_y`), without it the slot in its band alone.
 
     Rank and structure edges do not depend on the levels, so their jobs are submitted
@@ -190,11 +191,13 @@ def module_map(
         )
         scores_job = pool.submit(ranked) if scores is None else None
         levels = levels if levels is not None else G.topological_levels(graph)
-        words = words if words is not None else G.closure(graph.edges, levels)
+        places = order
+        order = order if order is not None else materialize(G.topological_order(levels), "order")
+        if words is None:
+            words, places = G.closure(graph.edges, levels, order), order
         structure = structure_job.result()
         scores = scores if scores_job is None else scores_job.result()
 
-    order = G.topological_order(levels)
     xs = node_x(G.closure_sizes(graph.nodes, words), levels)
     topics_of = assign_topics(graph.nodes, topics, root)
     placed = topics_of.join(order, "id").join(xs, "id").join(radii(scores), "id")
@@ -212,7 +215,7 @@ def module_map(
         C.truncate_doc(F.col("p.docstring")).alias("docstring"),
     )
     nodes = materialize(nodes, "map_nodes")
-    reduced = materialize(named_edges(G.transitive_reduction(graph.edges, words), graph.nodes), "map_edges")
+    reduced = materialize(named_edges(G.transitive_reduction(graph.edges, words, places), graph.nodes), "map_edges")
     stats = map_stats(nodes, graph.edges, reduced, structure, graph.external_imports, bad_lines)
     return ModuleMap(nodes, reduced, structure, topics, stats)
 

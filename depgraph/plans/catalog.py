@@ -936,7 +936,7 @@ def _(w):
 def _(w):
     doc = M.module_map(
         w.feeds, w.topics, fixture.ROOT, graph=w.module_graph, levels=w.levels, words=w.closure, scores=w.scores,
-        near_dependencies=True,
+        near_dependencies=True, order=w.order,
     )
     return doc.nodes.select("name", "y")
 
@@ -1050,12 +1050,12 @@ def _(w):
 
 @query("G4_closure", "SELECT node, dep FROM mclosure")
 def _(w):
-    return G.closure_pairs(w.closure)
+    return G.closure_pairs(w.closure, w.order)
 
 
 @query("G5_transitive_reduction", "SELECT importer, dep FROM mreduced")
 def _(w):
-    return G.transitive_reduction(w.module_graph.edges, w.closure)
+    return G.transitive_reduction(w.module_graph.edges, w.closure, w.order)
 
 
 @query("G6_pagerank", "SELECT id, round(score, 9) AS score FROM mscores")

@@ -58,9 +58,13 @@ class Workspace:
     def levels(self) -> DataFrame:
         return G.topological_levels(self.module_graph)
 
+    @cached_property
+    def order(self) -> DataFrame:
+        return materialize(G.topological_order(self.levels), "order")
+
     @cached_property
     def closure(self) -> DataFrame:
-        return G.closure(self.module_graph.edges, self.levels)
+        return G.closure(self.module_graph.edges, self.levels, self.order)
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -71,7 +75,7 @@ class Workspace:
     def map(self) -> M.ModuleMap:
         return M.module_map(
             self.feeds, self.topics, fixture.ROOT, graph=self.module_graph, levels=self.levels,
-            words=self.closure, scores=self.scores,
+            words=self.closure, scores=self.scores, order=self.order,
         )
 
     @cached_property

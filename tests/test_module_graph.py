@@ -177,6 +177,21 @@ def test_cycles_behind_and_before_chains_are_stuck(spark, monkeypatch):
     assert {r["id"] for r in stuck.collect()} == {*range(40, 46), *range(50, 70), 80}
 
 
+def test_words_in_topological_order_hold_neighbours_together(spark):
+    """Modules 2..129 import module 0 or 1 by turns, and the last two all those of one kind: side by side they take fewer words."""
+    pairs = [(i, i % 2) for i in range(2, 130)] + [(130 + i % 2, i) for i in range(2, 130)]
+    nodes = spark.createDataFrame([(i, f"m{i:03d}") for i in range(132)], "id bigint, name string")
+    edges = spark.createDataFrame(pairs, "importer bigint, dep bigint")
+    levels = G.topological_levels(G.ModuleGraph(nodes, edges, 132, 0))
+    order = G.topological_order(levels)
+    words, plain = G.closure(edges, levels, order), G.closure(edges, levels)
+    assert words.filter("node >= 130").count() == 5
+    assert plain.filter("node >= 130").count() == 6
+    every = {*pairs, (130, 0), (131, 1)}
+    assert {tuple(r) for r in G.closure_pairs(words, order).collect()} == every
+    assert {tuple(r) for r in G.transitive_reduction(edges, words, order).collect()} == set(pairs)
+
+
 def test_words_hold_sixty_four_dependencies(spark):
     """One module that imports 130 leaves, and one that imports it: ids at both ends of words, the sign bit among them."""
     nodes = spark.createDataFrame([(i, f"m{i:03d}") for i in range(132)], "id long, name string")
