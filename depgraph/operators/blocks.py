@@ -69,14 +69,15 @@ def index_declarations(records: DataFrame, order: list[str]) -> DataFrame:
 def intra_edges(deps: DataFrame, decls: DataFrame, homes: DataFrame) -> DataFrame:
     """(module, src_idx, dst_idx): dependencies of first records that stay in their module.
 
-    The join on the target goes first: it drops the cross-module bulk of the edges.
+    The join on the target goes first: it drops the cross-module bulk of the edges.  Repeats are dropped at the end,
+    where few rows are left.
     """
     at_home = decls.join(
         homes.select("name", F.col("module").alias("home")), "name"
     ).filter("home = module")
     targets = at_home.select("module", F.col("name").alias("dst"), F.col("idx").alias("dst_idx"))
     sources = decls.select("module", "seq", F.col("name").alias("src"), F.col("idx").alias("src_idx"))
-    inner = deps.filter("src <> dst").select("module", "seq", "src", "dst").distinct()
+    inner = deps.filter("src <> dst").select("module", "seq", "src", "dst")
     return inner.join(targets, ["module", "dst"]).join(
         sources, ["module", "src", "seq"]
     ).select("module", "src_idx", "dst_idx").distinct()

@@ -113,3 +113,16 @@ def test_one_deep_module_does_not_set_the_rounds_of_all(spark, monkeypatch):
     want = {("Deep", i): i for i in range(5000)}
     want |= {(f"M{m:04d}", i): int(i == 2) for m in range(3000) for i in range(3)}
     assert found == want | {("M0007", i): 1 for i in range(3)}
+
+
+def test_inner_edges_are_joined_before_repeats_are_dropped(spark):
+    """The dependencies of all modules are dealt out once, for the join on the target, and not once more by all columns."""
+    decls = spark.createDataFrame([("A", 0, "a.x", 1), ("A", 1, "a.y", 2)], "module string, idx bigint, name string, seq bigint")
+    homes = spark.createDataFrame([("a.x", "A"), ("a.y", "A")], "name string, module string")
+    deps = spark.createDataFrame(
+        [(2, "a.y", "A", "a.x"), (2, "a.y", "A", "a.x"), (2, "a.y", "A", "b.z"), (2, "a.y", "A", "a.y")],
+        "seq bigint, src string, module string, dst string",
+    )
+    edges = B.intra_edges(deps, decls, homes)
+    assert [tuple(r) for r in edges.collect()] == [("A", 1, 0)]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
