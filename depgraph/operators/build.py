@@ -96,8 +96,13 @@ def namespace_tree(namespaces: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---- edges straight from the records ----------------------------------------------------
 
 def dependency_rows(deps: DataFrame) -> DataFrame:
+    """Distinct (src, dst, context) in the order of src and dst.
+
+    Repeats are rare, so rows are dealt out first and made distinct where they arrive; a hub is split over ranges.
+    """
     context = C.dep_context(F.col("inType"), F.col("inValue"))
-    return deps.select("src", "dst", context.alias("context")).distinct()
+    rows = deps.select("src", "dst", context.alias("context"))
+    return rows.repartitionByRange("src", "dst").distinct().sortWithinPartitions("src", "dst")
 
 
 def extends_rows(extends: DataFrame) -> DataFrame:

@@ -25,6 +25,10 @@ _SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # rows in memory are this many times larger than in a compressed file
     "spark.sql.sources.fileCompressionFactor": "8.0",
+    # for the same reason a task gets less of a file or of a shuffle: its sort or hash table must not spill
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 

@@ -44,10 +44,14 @@ def write_graph(graph: Graph, base: str) -> int:
     for name, table in graph.tables().items():
         # both ends of an edge take part in the range bounds, so a hub is split over files
         keys = ["name"] if name in _NODE_TABLES else table.columns[:2]
-        _ordered(table, *keys).write.parquet(f"{base}/{folder}/{name}")
-    _ordered(graph.depends_on, "dst", "src").write.parquet(f"{base}/{folder}/depended_on_by")
-    between = ["srcModule", "dstModule", "src", "dst"]
-    _ordered(module_edges(graph), *between).write.parquet(f"{base}/{folder}/depends_by_module")
+        # dependencies are built in ranges of their ends; a file here holds a few of these ranges, in order
+        ordered = table.sortWithinPartitions(*keys) if name == "depends_on" else _ordered(table, *keys)
+        ordered.write.parquet(f"{base}/{folder}/{name}")
+    by_target = f"{base}/{folder}/depended_on_by"
+    _ordered(graph.depends_on, "dst", "src").write.parquet(by_target)
+    # read from the copy ordered by target, which is the order of the first join
+    edges = module_edges(replace(graph, depends_on=spark.read.parquet(by_target)))
+    edges.sortWithinPartitions("srcModule", "dstModule", "src", "dst").write.parquet(f"{base}/{folder}/depends_by_module")
     return _publish(spark, base, "graph", folder)
 
 
