@@ -150,11 +150,12 @@ def live_blocks(graph: Graph, modules: DataFrame) -> Blocks:
         "module", "name", F.col("kind").alias("k")
     )
     decls = materialize(index_declarations(nodes, ["name"]), "live_decls")
-    sources = decls.select(F.col("name").alias("src"), F.col("module").alias("src_module"), F.col("idx").alias("src_idx"))
+    sources = decls.select(F.col("name").alias("src"), "module", F.col("idx").alias("src_idx"))
     targets = decls.select(F.col("name").alias("dst"), "module", F.col("idx").alias("dst_idx"))
-    edges = graph.depends_on.filter("src <> dst").select("src", "dst").distinct().join(
-        targets, "dst"
-    ).join(sources, "src").filter("src_module = module").select("module", "src_idx", "dst_idx")
+    # edges are stored by source, so the join on the source moves little; repeats are dropped where few rows are left
+    edges = graph.depends_on.filter("src <> dst").select("src", "dst").join(sources, "src").join(
+        targets, ["module", "dst"]
+    ).select("module", "src_idx", "dst_idx")
     edges = materialize(edges.distinct(), "live_edges")
     return Blocks(lay_out(decls, edges).select("module", "idx", "name", "k", "x", "y", "s"), edges)
 

@@ -67,6 +67,24 @@ def test_module_strips_deal_the_edges_out_once(spark):
     assert rows(strips, "srcModule", "dstModule", "edges", "sources") == [("A", "B", 3, 2), ("B", "A", 1, 1)]
 
 
+def test_live_edges_are_joined_before_repeats_are_dropped(spark, make_feeds, monkeypatch):
+    kept = {}
+
+    def keep(df, label="stage", path=None):
+        kept[label] = _plan(df)
+        return materialize(df, label, path)
+
+    graph = build.build_graph(make_feeds(
+        [module("Root.A", declarations=[declaration("a1"), declaration("a2")])],
+        [record("a1", 1, ["a2", "a1"]), {**record("a1", 2), "deps": [{"name": "a2", "inType": True, "inValue": False}]}, record("a2", 3)],
+    ), lambda tables: {name: materialize(table, name) for name, table in tables.items()})
+    monkeypatch.setattr(B, "materialize", keep)
+    live = B.live_blocks(graph, spark.createDataFrame([("Root.A",)], "name string"))
+    assert graph.depends_on.filter("src <> dst").count() == 2
+    assert rows(live.edges) == [("Root.A", 0, 1)]
+    assert "Aggregate" not in kept["live_edges"].split("Join", 1)[1]
+
+
 def test_stored_dependencies_are_not_dealt_out_again(spark, make_feeds, tmp_path):
     graph = _graph(make_feeds)
     store.write_graph(graph, str(tmp_path / "g"))
