@@ -1,6 +1,6 @@
 """Reachability around selected nodes: hops, neighbours, closures, selections.
 
-Edges are rows (src, dst).  A walk keeps the visited set in written tables and only
+Edges are rows (src, dst).  A walk keeps the visited sets in written tables and only
 asks for the size of the newest frontier.
 """
 
@@ -9,27 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.session import Rounds
+from depgraph.operators.ranking import dense_index
+from depgraph.session import Rounds, materialize
+
+
+# Origins in one word of a set, and nodes of a frontier that Catalyst may still send to every task.
+_WORD = 64
+_FEW = 100_000
 
 
 def _walk(start: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
     """(origin, node) reached from ``start`` (origin, node) along src -> dst within ``rounds``.
 
-    Repeated edges only repeat reached rows, which are made distinct anyway, so the edges are not.
+    Origins are numbered, and a node holds the set of those that reach it as words of 64 bits: an edge moves one row
+    for up to 64 origins.  Repeated edges only repeat bits.
     """
     steps = edges.select("src", "dst")
     visited = Rounds(edges.sparkSession, "walk")
-    frontier = start.select("origin", "node").distinct()
+    start = materialize(start.select("origin", "node").distinct(), "walk_start")
+    numbers = materialize(dense_index(start.select("origin").distinct(), ["origin"], "number"), "walk_origins")
+    word, bit = F.expr(f"number div {_WORD}"), F.expr(f"shiftleft(1L, CAST(number % {_WORD} AS INT))")
+    frontier = materialize(start.join(numbers, "origin").groupBy("node", word.alias("word")).agg(
+        F.bit_or(bit).alias("bits")
+    ), "walk_first")
+    many = False
     while rounds is None or len(visited) < rounds:
-        reached = frontier.join(steps, frontier["node"] == steps["src"]).select(
-            "origin", F.col("dst").alias("node")
-        ).distinct()
+        # a large frontier has its nodes once a word: it is hashed, and the edges need no sorting
+        near = frontier.hint("shuffle_hash") if many else frontier
+        reached = steps.join(near, near["node"] == steps["src"]).select(
+            F.col("dst").alias("node"), "word", "bits", F.lit(0).cast("bigint").alias("seen")
+        )
         if len(visited):
-            reached = reached.join(visited.all(), ["origin", "node"], "leftanti")
-        frontier, counts = visited.add(reached, rows=F.count(F.lit(1)))
+            reached = reached.unionByName(visited.all().select(
+                "node", "word", F.lit(0).cast("bigint").alias("bits"), F.col("bits").alias("seen")
+            ))
+        fresh = reached.groupBy("node", "word").agg(
+            F.expr("bit_or(bits) & ~bit_or(seen)").alias("bits")
+        ).filter("bits <> 0")
+        frontier, counts = visited.add(fresh, rows=F.count(F.lit(1)))
         if not counts["rows"]:
             break
-    return visited.all()
+        many = counts["rows"] > _FEW
+    # the bits of a word, spelled out by the origins of that word
+    return visited.all().join(numbers.select("origin", word.alias("word"), bit.alias("bit")), "word").filter(
+        "(bits & bit) <> 0"
+    ).select("origin", "node")
 
 
 def _reverse(edges: DataFrame) -> DataFrame:

@@ -85,6 +85,34 @@ def test_live_edges_are_joined_before_repeats_are_dropped(spark, make_feeds, mon
     assert "Aggregate" not in kept["live_edges"].split("Join", 1)[1]
 
 
+def test_a_walk_moves_sets_of_origins(spark, monkeypatch):
+    sizes = []
+
+    class Counted(Rounds):
+        def add(self, df, **metrics):
+            table, counts = super().add(df, **metrics)
+            sizes.append(table.count())
+            return table, counts
+
+    monkeypatch.setattr(V, "Rounds", Counted)
+    origins = [f"o{i:03d}" for i in range(130)]
+    edges = [(o, "hub") for o in origins] + [("hub", "x"), ("x", "y"), ("y", "hub"), ("y", "o007")] + [("hub", "x")]
+    names = spark.createDataFrame([(o,) for o in origins], "name string")
+    reached = V.k_hop(spark.createDataFrame(edges, "src string, dst string"), names, 4)
+    expected = sorted((o, node) for o in origins for node in ("hub", "o007", "x", "y"))
+    assert rows(reached, "origin", "node") == expected
+    assert rows(V.distinct_reach(reached)) == [(o, 4) for o in origins]
+    # a row for each node and each word of 64 origins, not for each origin
+    assert sizes == [3, 3, 3, 3]
+
+
+def test_a_large_frontier_is_hashed(spark, monkeypatch):
+    monkeypatch.setattr(V, "_FEW", 0)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    names = spark.createDataFrame([("a",), ("d",)], "name string")
+    assert rows(V.k_hop(edges, names, 3)) == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d")]
+
+
 def test_stored_dependencies_are_not_dealt_out_again(spark, make_feeds, tmp_path):
     graph = _graph(make_feeds)
     store.write_graph(graph, str(tmp_path / "g"))
