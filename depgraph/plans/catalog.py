@@ -185,7 +185,9 @@ def _(w):
             "modules": none, "namespaces": none, "depends_on": F.concat_ws("|", "dst", "context"),
             "declarations": F.concat(F.coalesce("label", none), F.lit("|"), F.coalesce("typeSignature", none)),
         }.get(name, F.col(table.columns[1] if len(table.columns) > 1 else "name"))
-        part = table.select(F.lit(name).alias("part"), F.col(table.columns[0]).alias("a"), second.alias("b")).distinct()
+        part = table.select(F.lit(name).alias("part"), F.col(table.columns[0]).alias("a"), second.alias("b"))
+        # dealt out by name or source, the order they are stored in, and made distinct where they arrive
+        part = part.repartition("a").distinct()
         rows = part if rows is None else rows.unionByName(part)
     return rows
 

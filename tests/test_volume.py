@@ -122,3 +122,19 @@ def test_stored_dependencies_are_not_dealt_out_again(spark, make_feeds, tmp_path
     assert rows(strip, "src", "dst") == [("a1", "b1"), ("a2", "b1")]
     between = store.stored_module_edges(spark, str(tmp_path / "g"))
     assert rows(between.select("src", "dst")) == rows(R.module_edges(graph).select("src", "dst"))
+
+
+class _Stored:
+    """A workspace of a stored graph only."""
+
+    def __init__(self, spark, stored_graph):
+        self.spark, self.stored_graph = spark, stored_graph
+
+
+def test_key_content_is_dealt_out_by_source(spark, make_feeds, tmp_path, monkeypatch):
+    store.write_graph(_graph(make_feeds), str(tmp_path / "g"))
+    monkeypatch.setattr(catalog, "workspace", lambda *_: _Stored(spark, str(tmp_path / "g")))
+    content = catalog.QUERIES["S8_write_graph"](spark, "")
+    parts = _plan(content).split("RepartitionByExpression")
+    assert len(parts) == 15 and content.count() == content.distinct().count()
+    assert content.filter(F.col("part") == "depends_on").count() == 6
