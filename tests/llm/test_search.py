@@ -67,6 +67,72 @@ def test_skipped_blocks_do_not_change_the_answer(spark, documents, monkeypatch):
     assert sum(scored) < len(own.entry_block) / 2
 
 
+def shard(spark, documents, docs):
+    index = S.build_index(documents(*docs).coalesce(1)).first().asDict()
+    wanted = np.unique(np.array([S.xxhash.xxh3_64_intdigest(w) for _, t in docs for w in t.encode().split()], dtype=np.uint64))
+    number = {w: int(np.searchsorted(wanted, S.xxhash.xxh3_64_intdigest(w))) for _, t in docs for w in t.encode().split()}
+    return index, wanted, number
+
+
+def test_scores_of_earlier_shards_spare_work(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(S, "FREQUENT", 2)
+    docs = [(i, prose(i, 30, 60)) for i in range(200)]
+    index, wanted, number = shard(spark, documents, docs)
+    own = S._Shard(index, wanted, np.full(len(wanted), 2.0), 30.0)
+    added, plain = [], own._sums
+    own._sums = lambda first, size: added.append(int(size.sum())) or plain(first, size)
+    query = np.unique([number[w] for w in docs[7][1].encode().split()])
+    ids, scores = own.top([query], 5)[0]
+    whole = sum(added)
+    added.clear()
+    for floor, left in ((scores[4], 5), (scores[1], 2), (scores[0], 1), (scores[0] + 1, 0)):
+        got = own.top([query], 5, np.array([float(floor)]))[0]
+        assert [x.tolist() for x in got] == [ids[:left].tolist(), scores[:left].tolist()]
+    added.clear()
+    own.top([query], 5, np.array([float(scores[0]) * 3]))
+    assert sum(added) < whole / 4
+
+
+def test_equal_scores_at_the_threshold_stay(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_DOCS", 8)
+    docs = [(100 - i, "same words here" if i % 3 else f"other x{i}") for i in range(60)]
+    queries = spark.createDataFrame([(1, "same words"), (2, "other")], "query_id long, text string")
+    got = S.top_k(documents(*docs).coalesce(1), queries, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(docs, [(1, "same words"), (2, "other")], 4))
+
+
+@pytest.mark.parametrize("product", [0, 1 / 256, 1e9])
+def test_products_are_exact(spark, documents, monkeypatch, product):
+    monkeypatch.setattr(S, "PRODUCT", product)
+    monkeypatch.setattr(S, "FREQUENT", 1 / 64)
+    docs = [(i, prose(i, 200, 300)) for i in range(300)]
+    index, wanted, number = shard(spark, documents, docs)
+    idf = np.linspace(0.01, 30, len(wanted))  # some numbers are beyond single precision
+    own = S._Shard(index, wanted, idf, 150.0)
+    queries = [np.unique([number[w] for w in t.encode().split()]) for _, t in docs[:40]]
+    bags = [Counter(t.split()) for _, t in docs]
+    for query, (ids, scores) in zip(queries, own.top(queries, 6)):
+        want = []
+        for (i, _), bag in zip(docs, bags):
+            held = [(number[w.encode()], n) for w, n in bag.items() if number[w.encode()] in query]
+            parts = S.contributions(idf[[t for t, _ in held]], np.array([n for _, n in held], dtype=float), np.float64(bag.total()), 150.0)
+            want.append((-int(parts.sum()), i))
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == sorted(want)[:6]
+
+
+def test_queries_that_share_frequent_terms_are_answered_together(monkeypatch):
+    monkeypatch.setattr(S, "MERGE_QUERIES", 16)
+    random = np.random.default_rng(3)
+    kind = random.integers(0, 2, 64)
+    kind[np.argsort(kind, kind="stable")] = np.repeat([0, 1], 32)
+    which = [np.flatnonzero(random.random(20) < 0.7) + 20 * c for c in kind]
+    edges = np.cumsum([0, *map(len, which)])
+    order = S._grouped(edges, np.concatenate(which), np.full(40, 30), 100)
+    assert sorted(order.tolist()) == list(range(64))
+    assert all(len(set(kind[order[a:a + 16]])) == 1 for a in range(0, 64, 16))
+
+
 def test_null_numbers_repeated_rows_and_clashing_columns(spark, documents):
     from pyspark.sql import functions as F
 
