@@ -98,8 +98,7 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     A last document without tokens leaves no trace in its file; the names tell that it is there."""
     written = token_files.write_token_files(table(spark, sf_dir, "documents"), leave_open=True)
     counts = token_files.token_counts(token_files.token_blocks(written.files))
-    named = token_files.document_names(written.names).join(counts, ["file", "document"], "left")
-    return named.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("closed", F.lit(False)).alias("closed"))
+    return token_files.named_counts(written.names, counts)
 
 
 _OP7_SQL = """

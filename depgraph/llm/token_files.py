@@ -78,7 +78,7 @@ def write_token_files(
         files, home = place(folder)
         files.create_dir(home, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-        size, first, waiting, names = 0, 0, None, pa.null()
+        size, first, waiting, names = 0, 0, None, pa.null()  # every row names the file, so none has to look it up
         with files.open_output_stream(f"{home}/{name}") as out:
             for part in text_tables(batches, "text", TABLE_BYTES):
                 names = part.column("doc_id").type
@@ -90,7 +90,7 @@ def write_token_files(
                     out.write(tokens.tobytes())
                     size += tokens.nbytes
                 yield pa.record_batch([
-                    pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([first], pa.int64()),
+                    pa.array([name], pa.string()), pa.array([None], pa.int64()), pa.array([first], pa.int64()),
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(names)),
                 ], ["file", "bytes", "first", "doc_ids"])
                 first += part.num_rows
@@ -102,12 +102,11 @@ def write_token_files(
             pa.array([name], pa.string()), pa.array([size], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(names)),
         ], ["file", "bytes", "first", "doc_ids"])
 
-    # the rows of a task stay together in its file of the table, under the task's number
-    written = docs.select("doc_id", "text").mapInArrow(encode, schema).withColumn("task", F.spark_partition_id())
-    rows = materialize(written, "token-names")
-    files = rows.filter("file IS NOT NULL").select("task", F.concat(F.lit(f"{folder}/"), "file").alias("file"), "bytes")
-    names = rows.filter("first IS NOT NULL").select("task", "first", "doc_ids").join(files.select("task", "file"), "task")
-    return TokenFiles(files.select("file", "bytes"), names.select("file", "first", "doc_ids"))
+    written = docs.select("doc_id", "text").mapInArrow(encode, schema)
+    rows = materialize(written, "token-names").withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
+    return TokenFiles(
+        rows.filter("bytes IS NOT NULL").select("file", "bytes"), rows.filter("first IS NOT NULL").select("file", "first", "doc_ids")
+    )
 
 
 def read_token_files(spark: SparkSession, path: str, token_bytes: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -184,3 +183,13 @@ def document_names(names: DataFrame) -> DataFrame:
     """file, document, doc_id of files written by :func:`write_token_files`."""
     named = names.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
     return named.select("file", (F.col("first") + F.col("i")).alias("document"), "doc_id")
+
+
+def named_counts(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and closed of every document that ``names`` knows; one without a count has no tokens and is open.
+
+    Both sides have a row for each document, out of arrays that Catalyst takes for a row a block: it would send millions of
+    rows through the driver, so the join is told to sort.
+    """
+    named = document_names(names).join(counts.hint("merge"), ["file", "document"], "left")
+    return named.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("closed", F.lit(False)).alias("closed"))

@@ -84,3 +84,15 @@ def test_repeated_rows_null_numbers_and_empty_table(spark, documents, empty):
     named = counts.join(T.document_names(written.names), ["file", "document"]).collect()
     assert sorted((r.doc_id or 0) for r in named) == [0, 1, 1]
     assert T.token_counts(T.token_blocks(T.write_token_files(empty).files)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no public tokenizer on this machine")
+def test_rows_of_documents_are_never_broadcast(spark, documents, tmp_path):
+    """Tables of arrays look small; their rows, one a document, do not fit the driver of a large corpus."""
+    from depgraph.llm.queries import op9_separator_scan
+
+    documents((1, "a"), (2, None), (3, "b c"), (3, "b c")).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op9_separator_scan(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == [(1, 1), (2, 0), (3, 2), (3, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
