@@ -113,8 +113,9 @@ def _(w):
 
 
 def _extract_json(w: Workspace) -> str:
+    """The declaration feed as compressed files; each is read by one task, so their records are bounded."""
     path = new_path(w.spark, "extract")
-    fixture.extract_feed(w.tables).write.json(path)
+    fixture.extract_feed(w.tables).write.option("maxRecordsPerFile", fixture.FILE_RECORDS).json(path, compression="gzip")
     return path
 
 

@@ -29,6 +29,8 @@ _SQL_CONF = {
     "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.parquet.compression.codec": "zstd",
+    # what a finished query shuffled is deleted at once; every step that is read again is a stored table
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 

@@ -360,3 +360,41 @@ def test_block_ranks_are_a_stored_table(spark, tmp_path):
     placed = spark.read.schema("name string").json(str(tmp_path)).select("name", *files.place_columns())
     plan = files.numbered(placed, files.block_ranks(placed))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark, tmp_path):
+    """What a stored table shuffled is no longer on disk once the table is; reading it again works."""
+    import time
+
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {path for d in dirs for path in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, counted = shuffled(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    counted.write.parquet(f"{tmp_path}/kept")
+    end = time.time() + 20
+    while (left := shuffled() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+    assert rows(counted) == rows(counted) == rows(spark.read.parquet(f"{tmp_path}/kept"))
+
+
+def test_the_extract_feed_is_written_in_compressed_files_of_bounded_records(spark, monkeypatch):
+    import gzip
+
+    from depgraph.plans import catalog
+
+    class Plain:
+        tables = None
+
+    Plain.spark = spark
+    feed = spark.range(23).selectExpr("id AS seq", "concat('n', id) AS name", "'t' AS typeSignature", "'Root.A' AS module").coalesce(1)
+    monkeypatch.setattr(fixture, "FILE_RECORDS", 5)
+    monkeypatch.setattr(fixture, "extract_feed", lambda _: feed)
+    folder = catalog._extract_json(Plain)
+    paths = glob.glob(f"{folder.removeprefix('file:')}/part-*.json.gz")
+    assert sorted(len(gzip.open(path).readlines()) for path in paths) == [3, 5, 5, 5, 5]
+    assert not glob.glob(f"{folder.removeprefix('file:')}/part-*.json")
+    records, bad = files.read_extract(spark, folder)
+    assert bad == 0 and rows(records, "seq", "name") == rows(feed, "seq", "name")
