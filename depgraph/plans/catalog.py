@@ -304,11 +304,12 @@ def _(w):
 
 
 def _unnumbered(w: Workspace) -> tuple[str, str]:
-    """Both feeds as JSON files without numbers, some names declared again in later records."""
+    """Both feeds as compressed JSON files without numbers, some names declared again in later records."""
     modules = fixture.written_in_order(
-        fixture.module_feed(w.tables), "seq", new_path(w.spark, "modules"), fixture.repeated_modules(w.tables)
+        fixture.module_feed(w.tables), "seq", new_path(w.spark, "modules"), fixture.repeated_modules(w.tables), "gzip"
     )
-    return modules, fixture.written_in_order(fixture.extract_feed(w.tables), "seq", new_path(w.spark, "records"))
+    records = new_path(w.spark, "records")
+    return modules, fixture.written_in_order(fixture.extract_feed(w.tables), "seq", records, compression="gzip")
 
 
 _AGAIN = "n.name IN (SELECT name FROM declarations WHERE seq % 90 = 1)"

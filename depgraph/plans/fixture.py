@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgraph.session import file_system, materialize
+from depgraph.session import discard, file_system, materialize, new_path
 
 ROOT = "Root"
 BUCKET = 10
@@ -291,21 +291,25 @@ def repeated_modules(tables: dict[str, DataFrame]) -> DataFrame:
 FILE_RECORDS = 30_000
 
 
-def written_in_order(feed: DataFrame, key: str, folder: str, later: DataFrame | None = None) -> str:
+def written_in_order(
+    feed: DataFrame, key: str, folder: str, later: DataFrame | None = None, compression: str = "none",
+) -> str:
     """Writes a feed without its numbers as JSON files of unlike size, in the order of ``key``.
 
     Returns a pattern for all files; their paths, and the times they are written, follow the order.  Three files or
     more a folder: a task sorts about as many records whatever the size of the feed.
     """
-    feed = materialize(feed, "nested")
+    path = new_path(feed.sparkSession, "nested")
+    feed = materialize(feed, path=path)
     last = feed.agg(F.max(key)).first()[0] or 0
     cuts = [-1, last // 40, last // 4, last // 3, last]
     for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
         part = feed.filter(F.col(key).between(low + 1, high))
         tasks = max(3, part.count() // FILE_RECORDS)
-        part.repartitionByRange(tasks, key).sortWithinPartitions(key).drop("seq").write.json(f"{folder}/{number:03d}")
+        part.repartitionByRange(tasks, key).sortWithinPartitions(key).drop("seq").write.json(f"{folder}/{number:03d}", compression=compression)
+    discard(feed.sparkSession, path)
     if later is not None:
-        later.write.json(f"{folder}/900")
+        later.write.json(f"{folder}/900", compression=compression)
     return f"{folder}/*"
 
 

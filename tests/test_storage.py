@@ -398,3 +398,20 @@ def test_the_extract_feed_is_written_in_compressed_files_of_bounded_records(spar
     assert not glob.glob(f"{folder.removeprefix('file:')}/part-*.json")
     records, bad = files.read_extract(spark, folder)
     assert bad == 0 and rows(records, "seq", "name") == rows(feed, "seq", "name")
+
+
+def test_ordered_feed_files_are_compressed_and_the_nested_copy_is_dropped(spark, tmp_path):
+    from depgraph.session import shared_dir
+
+    def nested():
+        return set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/**/nested-*", recursive=True))
+
+    before = nested()
+    feed = spark.range(120).selectExpr("id AS seq", "concat('n', id) AS name", "'t' AS typeSignature")
+    later = spark.createDataFrame([("late", "t")], "name string, typeSignature string")
+    pattern = fixture.written_in_order(feed, "seq", f"{tmp_path}/feed", later, "gzip")
+    assert nested() == before
+    assert len(glob.glob(f"{tmp_path}/feed/*/part-*.json.gz")) == len(glob.glob(f"{tmp_path}/feed/*/part-*")) > 12
+    records, bad = files.read_extract(spark, pattern)
+    assert bad == 0
+    assert [r["name"] for r in records.orderBy("seq").collect()] == [*(f"n{i}" for i in range(120)), "late"]
