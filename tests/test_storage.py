@@ -415,3 +415,14 @@ def test_ordered_feed_files_are_compressed_and_the_nested_copy_is_dropped(spark,
     records, bad = files.read_extract(spark, pattern)
     assert bad == 0
     assert [r["name"] for r in records.orderBy("seq").collect()] == [*(f"n{i}" for i in range(120)), "late"]
+
+
+def test_items_are_dealt_out_once_in_a_merge(spark):
+    """Repeated items come together, nulls too, and each range lies in few tasks."""
+    place = "seq struct<own: bigint, _file: string, _block: bigint, _row: bigint>"
+    every = [((None, f"f{i % 3}", 0, i), f"s{i % 20}", None if i % 7 == 0 else "A", f"t{i % 5}" if i % 11 else None, True, i % 2 == 0) for i in range(200)]
+    items = spark.createDataFrame(every, f"{place}, src string, module string, dst string, inType boolean, inValue boolean")
+    merged = incremental._merged("deps", items, 4)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert rows(merged, *items.columns) == rows(incremental.merge_items(items))
+    assert merged.filter(F.col("range") != incremental._in_range("src", 4)).count() == 0
